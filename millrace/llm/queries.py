@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import op2_chat_formatting
 from .decontam import OP3_SQL, op3_benchmark_decontamination
 from .quality import op6_quality_classifier
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_benchmark_decontamination, op6_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op6_quality_classifier)}
 SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
