@@ -4,7 +4,7 @@ A text is marked (every space becomes the word mark, one more stands before the
 of marks and what follows up to the next mark; no piece of the vocabulary crosses that border. The distinct marked
 words of a batch are sorted, which lays their trie out in depth-first order: a word keeps the forward scores of the
 prefix it shares with the word before it, and only the rest is searched anew. The best segmentation maximises the sum
-of the pieces' scores; characters that no piece covers cost more than any piece and are written as bytes.
+of the pieces' scores; a character that is no piece costs more than any normal piece and is written as bytes.
 
 Decoding gives the text back exactly: marks within a text are written as bytes and so stay marks, and a space that no
 piece covers is written as its byte.
@@ -16,6 +16,7 @@ Ties go to the segmentation whose last piece is longest, then so on backwards. T
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,7 +76,7 @@ class Pieces:
         what concerns the prefix shared with the word before is kept.
         """
         out, before, best = [], "", [(0.0, 0, -1)]
-        score, unknown, longest = self.score, self.unknown, self.longest
+        score, unknown, longest, inf = self.score, self.unknown, self.longest, math.inf
         for word in words:
             shared = 0
             most = min(len(before), len(word))
@@ -83,7 +84,7 @@ class Pieces:
                 shared += 1
             del best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, at, found = best[end - 1][0] + unknown, end - 1, -1
+                top, at, found = (-inf if word[end - 1] in score else best[end - 1][0] + unknown), end - 1, -1
                 for start in range(max(0, end - longest), end):
                     hit = score.get(word[start:end])
                     if hit is not None:
@@ -145,8 +146,7 @@ def encode_column(column: pa.Array, vocabulary: Pieces) -> tuple[np.ndarray, np.
         words = []
         for i in at.tolist():
             w = raw[start[i] : end[i]].decode()
-            w = w.replace(MARK, "") if MARK in w else w
-            w = w.replace(" ", MARK)
+            w = w.replace(MARK, _INNER).replace(" ", MARK)
             words.append(MARK + w if first[i] else w)
         ids = vocabulary.ids(words)
         size = np.array([len(x) for x in ids], dtype=np.int64)
