@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op2_chat_formatting
 from .decontam import OP3_SQL, op3_benchmark_decontamination
 from .embeddings import op9_embedding_near_dedup
+from .jaccard import op5_ngram_jaccard_join
 from .pieces import op8_sentencepiece
 from .quality import op6_quality_classifier
 from .toxicity import op1_toxicity
@@ -12,7 +13,7 @@ from .toxicity import op1_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op6_quality_classifier, op8_sentencepiece, op9_embedding_near_dedup,
+        op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op5_ngram_jaccard_join, op6_quality_classifier, op8_sentencepiece, op9_embedding_near_dedup,
     )
 }
 SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
