@@ -15,18 +15,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bit of a total that marks the one block which stands for the key.
 OWNER = np.uint32(1 << 31)
 Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
-def blocks(docs: DataFrame, *more: Column, partitions: int | None = None) -> tuple[DataFrame, int]:
-    """(blk, doc_id, text, *more) dealt by block, and the number of blocks. Null texts stay null."""
+def blocks(docs: DataFrame, *more: Column) -> tuple[DataFrame, int]:
+    """(blk, rows): the rows (doc_id, text, *more) of ``docs`` in compressed pieces, dealt by block, and the number of blocks."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = partitions or max(2, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("blk"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *more)
-    return rows.repartition(n, "blk"), n
+    n = max(2, -(-size // BLOCK_BYTES))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            at = batch.column("blk").to_numpy()
+            order = np.argsort(at, kind="stable")
+            names, start = np.unique(at[order], return_index=True)
+            sorted_ = batch.drop_columns(["blk"]).take(pa.array(order))
+            pieces = []
+            for a, b in zip(start, np.append(start[1:], len(at)), strict=True):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, sorted_.schema, options=options) as writer:
+                    writer.write_batch(sorted_.slice(a, b - a))
+                pieces.append(out.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array(names, pa.int32()), pa.array(pieces, pa.binary())], names=["blk", "rows"])
+
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("blk"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows.mapInArrow(pack, "blk int, rows binary").repartition(n, "blk"), n
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """The rows of one block, in an order that does not depend on the run (by doc_id, then as hashed by their bytes)."""
+    found = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in table["rows"].to_pylist())
+    return found.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def ranges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -35,49 +57,96 @@ def ranges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array([i * width for i in range(n)], dtype=np.uint64)), len(keys))
 
 
-def counted(rows: DataFrame, n: int, keys: Keys) -> DataFrame:
-    """(blk, part, totals): for each block and range, the corpus totals of the keys that ``keys`` finds in the block, in key order.
+def packed(key: np.ndarray) -> bytes:
+    """Sorted keys as steps, in as few bytes for each as hold them all; a low byte that is always zero is left out."""
+    low = 8 if not (key & np.uint64(255)).any() else 0
+    step = np.diff(key >> np.uint64(low), prepend=np.uint64(0))
+    raw = step.astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(raw[:, :width]).tobytes() + key[:1].tobytes() + bytes([low])
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = np.zeros((n, 8), dtype=np.uint8)
+    width = (len(data) - 9) // n
+    raw[:, :width] = np.frombuffer(data[:-9], dtype=np.uint8).reshape(n, width)
+    low = np.uint64(data[-1])
+    step = raw.view("<u8").ravel().astype(np.uint64)
+    step[0] = np.frombuffer(data[-9:-1], dtype=np.uint64)[0] >> low
+    return np.cumsum(step, dtype=np.uint64) << low
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: small numbers leave long runs of zeros, which Spark's shuffle compresses."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+BACK = "blk int, part int, totals binary, tally array<bigint>"
+Tally = Callable[[np.ndarray, np.ndarray], list[int]]
+
+
+def counted(rows: DataFrame, n: int, keys: Keys, tally: Tally | None = None) -> DataFrame:
+    """(blk, part, totals, tally): for each block and range, the corpus totals of the keys that ``keys`` finds in the block, in key order.
 
     ``keys`` gives sorted different keys and their counts within the block; it must give the same keys whenever it
-    sees the same rows, whatever their order. Totals are capped at 2**31 - 1; the highest bit marks the owner.
+    sees the same rows, whatever their order. Totals are capped at 2**31 - 1; the highest bit marks the owner: one
+    block for each key. With ``tally``, a function of a range's different keys and totals that gives numbers to be
+    summed over all ranges, every block gets one more row (part -1) with the sums.
     """
 
     def send(table: pa.Table) -> pa.Table:
-        key, count = keys(table)
+        key, count = keys(opened(table))
         cut = ranges(key, n)
         count = np.minimum(count, 2**31 - 1).astype(np.uint32)
         parts = [k for k in range(n) if cut[k + 1] > cut[k]]
         return pa.table({
             "part": pa.array(parts, pa.int32()), "blk": pa.array([table["blk"][0].as_py()] * len(parts), pa.int32()),
-            "keys": pa.array([key[cut[k] : cut[k + 1]].tobytes() for k in parts], pa.binary()), "counts": pa.array([count[cut[k] : cut[k + 1]].tobytes() for k in parts], pa.binary()),
+            "keys": pa.array([packed(key[cut[k] : cut[k + 1]]) for k in parts], pa.binary()), "counts": pa.array([planes(count[cut[k] : cut[k + 1]]) for k in parts], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(table["keys"].to_pylist()), dtype=np.uint64)
-        count = np.frombuffer(b"".join(table["counts"].to_pylist()), dtype=np.uint32)
-        # the order of the rows may differ between runs; the owner must not: take the block with the smallest number
-        blk = np.repeat(np.array(table["blk"].to_pylist(), dtype=np.int64), [len(x) // 8 for x in table["keys"].to_pylist()])
-        order = np.lexsort((blk, key))
+        table = table.sort_by("blk")  # the order of rows may differ between runs; the owner must not
+        count = [unplanes(x) for x in table["counts"].to_pylist()]
+        key = np.concatenate([unpacked(x, len(c)) for x, c in zip(table["keys"].to_pylist(), count, strict=True)])
+        cut = np.cumsum([0, *map(len, count)])
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
         first = np.ones(len(key), dtype=bool)
-        first[1:] = key[order][1:] != key[order][:-1]
+        first[1:] = ordered[1:] != ordered[:-1]
         group = np.cumsum(first) - 1
-        total = np.bincount(group, weights=count[order]).astype(np.float64)
+        total = np.minimum(np.bincount(group, weights=np.concatenate(count)[order]), 2**31 - 1).astype(np.uint32)
         out = np.empty(len(key), dtype=np.uint32)
-        out[order] = np.minimum(total[group], 2**31 - 1).astype(np.uint32) | (first.astype(np.uint32) << np.uint32(31))
-        cut = np.cumsum([0, *(len(x) // 8 for x in table["keys"].to_pylist())])
-        return pa.table({"blk": table["blk"], "part": table["part"], "totals": pa.array([out[cut[i] : cut[i + 1]].tobytes() for i in range(len(table))], pa.binary())})
+        out[order] = total[group] | (first.astype(np.uint32) << np.uint32(31))
+        back = [planes(out[cut[i] : cut[i + 1]]) for i in range(len(table))]
+        sums = [None] * len(back) + ([tally(ordered[first], total)] if tally else [])
+        blk, part = table["blk"].to_pylist() + [-1] * bool(tally), table["part"].to_pylist() + [-1] * bool(tally)
+        return pa.table({"blk": pa.array(blk, pa.int32()), "part": pa.array(part, pa.int32()), "totals": pa.array(back + [None] * bool(tally), pa.binary()), "tally": pa.array(sums, pa.list_(pa.int64()))})
 
     sent = rows.groupBy("blk").applyInArrow(send, "part int, blk int, keys binary, counts binary")
-    return sent.groupBy("part").applyInArrow(add, "blk int, part int, totals binary")
+    back = sent.groupBy("part").applyInArrow(add, BACK)
+    if not tally:
+        return back
+    sums = back.where("blk < 0").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n"))
+    one = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("tally"))
+    each = one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("blk"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("totals"), "tally")
+    return back.where("blk >= 0").unionByName(each)
 
 
 def totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Totals and owner marks that came back to a block, in the order of its keys."""
-    rows = sorted(zip(table["part"].to_pylist(), table["totals"].to_pylist(), strict=True))
-    raw = np.frombuffer(b"".join(x for _, x in rows), dtype=np.uint32)
+    rows = sorted((p, x) for p, x in zip(table["part"].to_pylist(), table["totals"].to_pylist(), strict=True) if p >= 0)
+    raw = np.concatenate([np.zeros(0, dtype=np.uint32), *(unplanes(x) for _, x in rows)])
     return (raw & ~OWNER).astype(np.int64), (raw & OWNER) > 0
 
 
+def tallied(table: pa.Table) -> np.ndarray:
+    return np.array(next(x for p, x in zip(table["part"].to_pylist(), table["tally"].to_pylist(), strict=True) if p < 0), dtype=np.int64)
+
+
 def gathered(pieces: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different keys of all pieces, with how often each comes."""
     found = [x for x in pieces if len(x)]

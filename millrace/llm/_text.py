@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; longer single texts are handled alone and whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def random_u64(n: int, seed: int) -> np.ndarray:

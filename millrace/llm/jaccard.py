@@ -1,9 +1,9 @@
 """N-gram Jaccard join: exact similarity join of shingle sets by indexed prefixes and set relations.
 
 Every document becomes the set of its ``width``-word shingles. Shingles are ordered by how many documents hold them,
-rarest first (exact counts over all documents, see ``_blocks``); two sets that link share one of the first
-``n - ceil(t * n) + 1`` of either, so only those positions of a set enter the index, and only those that a second
-document holds. An index list is cut into blocks by set size; members whose sizes rule a link out are skipped with
+rarest first (exact counts over all documents, see ``_blocks``; shingles outside a fixed part of the hash space are not
+counted and come last). Two sets that link share one of the first ``n - ceil(t * n) + 1`` of either, so only those
+positions of a set enter the index, and only those that a second document may hold. An index list is cut into blocks by set size; members whose sizes rule a link out are skipped with
 their block. Sets that meet in a block form a candidate group.
 
 In a group one set leads: the overlap of every other set with it is computed once, and the answer for two members
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import blocks, counted, gathered, totals
+from ._blocks import blocks, counted, gathered, opened, totals
 from ._components import components, forest
 from ._jobs import table, written
 from ._text import NON_SPACE, Slice, gram_hashes, mix, slices, word_hashes
@@ -37,6 +37,8 @@ from .embeddings import grouped
 WIDTH = 5
 #: Similarity from which sets link, as a fraction of whole numbers.
 SIMILARITY = (80, 100)
+#: Shingles of so large a share of the hash space come first in the order and are counted: this times (1 - similarity).
+COUNTED = 2.5
 #: Sets of a candidate group that one block holds at most.
 GROUP = 4096
 _D1, _D2 = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
@@ -92,16 +94,23 @@ def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.searchsorted(np.array(edges), n, side="right")
 
 
+def _counted(v: np.ndarray, num: int, den: int) -> np.ndarray:
+    return (v & np.uint64(0xFFFF)).astype(np.int64) * den < 65536 * COUNTED * (den - num)
+
+
 FOUND = "doc_id bigint, n bigint, d1 bigint, d2 bigint, token bigint, class int"
 
 
 def _indexed(width: int, num: int, den: int):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        docs = opened(docs)
         v, bounds = _sets(docs, width)
         n = np.diff(bounds)
         d1, d2 = _digests(v, bounds)
-        key, _ = gathered([v])
-        df = totals(back)[0][np.searchsorted(key, v)]
+        asked = _counted(v, num, den)
+        key, _ = gathered([v[asked]])
+        df = np.full(len(v), 1 << 40)  # uncounted shingles follow all others and always enter
+        df[asked] = totals(back)[0][np.searchsorted(key, v[asked])]
         owner = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((v, df, owner))
         rank = np.arange(len(v)) - bounds[owner]
@@ -110,8 +119,7 @@ def _indexed(width: int, num: int, den: int):
         doc = owner[entry]
         c = size_class(n, num, den)[doc].astype(np.int32)
         nothing = pa.nulls(len(n), pa.int64())
-        ids = docs["doc_id"].combine_chunks() if isinstance(docs["doc_id"], pa.ChunkedArray) else docs["doc_id"]
-        one = pa.table([ids, pa.array(n), pa.array(d1), pa.array(d2), nothing, pa.nulls(len(n), pa.int32())], names=["doc_id", "n", "d1", "d2", "token", "class"])
+        one = pa.table([docs["doc_id"], pa.array(n), pa.array(d1), pa.array(d2), nothing, pa.nulls(len(n), pa.int32())], names=["doc_id", "n", "d1", "d2", "token", "class"])
         m = 2 * len(entry)  # in the block of the own class, and in that of the next smaller one
         two = pa.table(
             [pa.nulls(m, pa.int64()), pa.array(np.tile(n[doc], 2)), pa.array(np.tile(d1[doc], 2)), pa.array(np.tile(d2[doc], 2)),
@@ -225,7 +233,8 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SI
     rows, n = blocks(docs)
 
     def keys(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return gathered([_sets(part, width)[0]])
+        v = _sets(part, width)[0]
+        return gathered([v[_counted(v, num, den)]])
 
     back = counted(rows, n, keys)
     found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_indexed(width, num, den), FOUND))

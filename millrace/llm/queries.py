@@ -10,12 +10,14 @@ from .katz import op7_lm_scoring
 from .pii import op4_pii
 from .pieces import op8_sentencepiece
 from .quality import op6_quality_classifier
+from .suffixes import op10_suffix_array_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_pii, op5_ngram_jaccard_join, op6_quality_classifier, op7_lm_scoring, op8_sentencepiece, op9_embedding_near_dedup,
+        op10_suffix_array_dedup,
     )
 }
 SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
