@@ -73,7 +73,9 @@ def suffix_array(s: list[int]) -> list[int]:
             q = before[i]
             before[i] = p
             while q > p:  # shorten the way for later
-                q, before[q] = before[q], p
+                further = before[q]
+                before[q] = p
+                q = further
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
         split: dict[int, dict[int, list[int]]] = {}
