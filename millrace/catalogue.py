@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import changes, trade, traffic
+
+QUERIES = {**traffic.QUERIES, **trade.QUERIES, **changes.QUERIES}
+SQL = {**traffic.SQL, **trade.SQL, **changes.SQL}
