@@ -1,12 +1,13 @@
 """Personal data: patterns for the protected entities, and information-theoretic sanitisation of the terms that reveal them.
 
-DataFrame functions only. Four kinds of entity are found by pattern. For each entity c and each term t near it, the
-corpus gives the pointwise mutual information PMI(c; t) = log2(p(c, t) / (p(c) p(t))); a term that only ever comes with the entity
-reaches IC(c) = -log2 p(c), the entity's own information. The share PMI / IC is the term's disclosure. In the documents
+DataFrame functions only. Four kinds of entity are found by pattern. For each entity c and each term t of the documents that
+hold it, the corpus gives the pointwise mutual information PMI(c; t) = log2(p(c, t) / (p(c) p(t))); a term that only ever comes with
+the entity reaches IC(c) = -log2 p(c), the entity's own information. The share PMI / IC is the term's disclosure. In the documents
 that hold c, terms whose disclosure reaches ``GENERALISE`` are generalised, those that reach ``REMOVE`` removed.
 
-p(c), p(c, t) and p(t) are shares of documents. A term needs ``SUPPORT`` different surroundings next to the entity, and
-surroundings that differ in at least half of the documents, so copies of one text are no evidence.
+p(c), p(c, t) and p(t) are shares of the different texts, so copies of one text are no evidence. A term needs ``SUPPORT``
+different texts together with the entity, however many there are, which must also have that many different least hashes of
+three words in a row: near copies share that hash as often as they share such threes. Either of two hash functions will do.
 
 Defined results: null texts are empty. Texts of any length are handled whole. Repeated rows count as rows and give
 equal results. Base spans are never changed by what the method adds; added spans lie outside them. Other columns stay.
@@ -14,7 +15,7 @@ equal results. Base spans are never changed by what the method adds; added spans
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 from ._jobs import table, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
+TAGS = tuple("" if k == "term" else f"[{k.upper()}]" for k in KINDS)
 GENERALISE, REMOVE = 0.85, 0.95
 SUPPORT = 3
-#: Characters on either side of an entity whose words are near it.
-NEAR = 64
-#: Terms that are broadcast at most; more are joined by a shuffle.
+#: Rows of terms or entities that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The contract's patterns, in forms that never search a run of characters twice: a match can begin only where a run
@@ -62,8 +62,8 @@ def running(widths: Column) -> Column:
     return let(widths, lambda w: F.when(F.size(w) > 0, blocked(w)).otherwise(F.array().cast("array<int>")))
 
 
-def matches(text: Column, pattern: str, around: bool = False) -> Column:
-    """array<struct<start, end, value[, near]>> of the leftmost non-overlapping matches, in code points, end exclusive."""
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points, end exclusive."""
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
     def placed(x: Column) -> Column:
@@ -71,17 +71,7 @@ def matches(text: Column, pattern: str, around: bool = False) -> Column:
         ends = running(F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: F.length(a) + F.length(b)))
 
         def one(e: Column) -> Column:
-            def item(v: Column, i: Column) -> Column:
-                end = F.get(e, i)
-                columns = [(end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")]
-                if around:
-                    left, right = F.get(p, i), F.get(p, i + 1)
-                    left = F.when(F.length(left) > NEAR, F.regexp_replace(F.substring(left, -NEAR, NEAR), rf"^(?:{WORD})", "")).otherwise(left)
-                    right = F.when(F.length(right) > NEAR, F.regexp_replace(F.substring(right, 1, NEAR), rf"(?:{WORD})$", "")).otherwise(right)
-                    columns.append(F.concat(left, F.lit("\n"), right).alias("near"))
-                return F.struct(*columns)
-
-            return F.transform(m, item)
+            return F.transform(m, lambda v, i: F.struct((F.get(e, i) - F.length(v)).alias("start"), F.get(e, i).alias("end"), v.alias("value")))
 
         return let(ends, one)
 
@@ -105,18 +95,18 @@ def entity(kind: str, v: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, kind, end, value, near>>, sorted by start, then kind (number in KINDS)."""
+    """array<struct<start, kind, end, value>>, sorted by start, then kind (number in KINDS)."""
     maybe = {
         "email": (EMAIL, F.contains(text, F.lit("@"))),
         "ip": (IP, text.rlike(r"[0-9]\.[0-9]")),
         "card": (CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){11}")),
         "phone": (PHONE, F.contains(text, F.lit("+"))),
     }
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,near:string>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     parts = []
     for k, (kind, (pattern, guard)) in enumerate(maybe.items()):
-        good = F.filter(matches(text, pattern, around=True), lambda x: _valid(kind, x["value"]))  # noqa: B023
-        spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), entity(kind, x["value"]).alias("value"), x["near"].alias("near")))
+        good = F.filter(matches(text, pattern), lambda x: _valid(kind, x["value"]))  # noqa: B023
+        spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), entity(kind, x["value"]).alias("value")))
         parts.append(F.when(guard, spans).otherwise(none))
     return F.array_sort(F.concat(*parts))
 
@@ -130,40 +120,57 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))).withColumn("__h", F.xxhash64("text"))
 
 
-def _entities(spans: Column) -> Column:
-    """array<struct<c, t, s>>: entity, term near it, and the term's own neighbours as a hash."""
-
-    def terms(x: Column) -> Column:
-        return let(words(x["near"]), lambda w: F.transform(w, lambda t, i: F.struct(x["value"].alias("c"), t.alias("t"), F.xxhash64(F.coalesce(F.get(w, i - 1), F.lit("")), F.coalesce(F.get(w, i + 1), F.lit(""))).alias("s"))))
-
-    return F.filter(F.array_distinct(F.flatten(F.transform(spans, terms))), lambda x: (F.length(x["t"]) > 2) & x["t"].rlike(_TERM))
+def _likeness(text: Column) -> Column:
+    """Two least hashes of three words in a row: the same for copies, and for two texts as often as they share such threes."""
+    least = lambda w, k: F.array_min(F.transform(w, lambda t, i: F.xxhash64(F.lit(k), t, F.get(w, i + 1), F.get(w, i + 2))))
+    return let(words(text), lambda w: F.struct(least(w, 0).alias("a"), least(w, 1).alias("b")))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, __id, __h, spans, near) of every row: base spans without their values, and what stands near the entities. Written."""
+    """(doc_id, __id, __h, spans, entities) of every row: base spans without their values, and the entities. Written."""
     found = _keys(docs.select("doc_id", "text")).select("doc_id", "__id", "__h", base_spans(F.col("text")).alias("b"))
     return written(
         found.select(
             "doc_id", "__id", "__h", F.transform("b", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("spans"),
-            F.array_distinct(F.transform("b", lambda x: x["value"])).alias("entities"), F.when(F.size("b") > 0, _entities(F.col("b"))).alias("near"),
+            F.array_distinct(F.transform("b", lambda x: x["value"])).alias("entities"),
         )
     )
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(c, t, share): terms that reveal an entity, with the share of the entity's information they give away. Written."""
-    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["c"].alias("c"), x["t"].alias("t"), F.lit(None).cast("bigint").alias("s"))))
-    near = found.where(F.size("near") > 0).select(F.explode(F.concat(pairs, F.col("near"))).alias("x")).select("x.*")
-    seen = near.groupBy("c", "t").agg(F.count_if(F.col("s").isNull()).alias("n_ct"), F.count_distinct("s").alias("kinds"))
-    likely = written(seen.where((F.col("kinds") >= SUPPORT) & (2 * F.col("kinds") >= F.col("n_ct"))))
-    terms = likely.select("t").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    everywhere = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("t")).join(terms, "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    entities = found.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
-    n = found.count()
+def evidence(docs: DataFrame) -> DataFrame:
+    """(__h, like, terms, entities) of the different texts, terms outside the entities. Written."""
+    one = _keys(docs.select("doc_id", "text")).groupBy("__h").agg(F.first("text").alias("text")).withColumn("b", base_spans(F.col("text")))
+    outside = rewritten(F.col("text"), F.col("b"), [" "] * len(KINDS))
+    terms = F.filter(F.array_distinct(words(outside)), lambda t: (F.length(t) > 2) & t.rlike(_TERM))
+    entities = F.array_distinct(F.transform("b", lambda x: x["value"]))
+    return written(one.select("__h", F.when(F.size("b") > 0, _likeness(F.col("text"))).alias("like"), terms.alias("terms"), entities.alias("entities")))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(c, t, share): terms that reveal an entity, with the share of the entity's information they give away. Written.
+
+    A share of GENERALISE bounds n_t by the entity's n_c, so terms that are too common for every entity, and pairs
+    whose term is too common for theirs, are left out before pairs are counted; neither can be in the result.
+    """
+    seen = evidence(docs)
+    n = seen.count()
+    entities = written(seen.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= SUPPORT))
+    most = lambda n_c: F.pow(n_c.cast("double"), GENERALISE) * (n + 1.0) ** (1 - GENERALISE) * (1 + 1e-9)
+    everywhere = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    top = entities.agg(F.max(most(F.col("n_c"))).alias("most")).first()["most"] or 0.0
+    rare = written(everywhere.where((F.col("n_t") >= SUPPORT) & (F.col("n_t") <= top)))
+    held = seen.select("__h", F.explode("entities").alias("c")).join(_small(entities), "c").groupBy("__h").agg(F.collect_list(F.struct("c", "n_c")).alias("cs"))
+    own = seen.where(F.size("entities") > 0).select("__h", "like", F.explode("terms").alias("t")).join(_small(rare), "t")
+    pairs = own.join(held, "__h").select("like", F.explode("cs").alias("x"), "t", "n_t").select("like", "x.c", "x.n_c", "t", "n_t").where(F.col("n_t") <= most(F.col("n_c")))
+    both = pairs.groupBy("c", "t").agg(F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"), F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
     share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / F.log2(F.lit(n + 1) / F.col("n_c"))
-    return written(likely.join(everywhere, "t").join(entities, "c").select("c", "t", share.alias("share")).where(F.col("share") >= GENERALISE))
+    likely = written(both.select("c", "t", share.alias("share")).where(F.col("share") >= GENERALISE))
+    unlike = pairs.join(_small(likely), ["c", "t"]).groupBy("c", "t", "share").agg(F.count_distinct("like.a").alias("a"), F.count_distinct("like.b").alias("b"))
+    return written(unlike.where(F.greatest("a", "b") >= SUPPORT).select("c", "t", "share"))
 
 
 def added(docs: DataFrame, found: DataFrame, reveal: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ def added(docs: DataFrame, found: DataFrame, reveal: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, __id, __h, spans, more) of every row of ``docs`` (doc_id, text): base spans, and those that the method adds."""
     found = find(docs)
-    reveal = disclosing(docs, found)
+    reveal = disclosing(docs)
     out = found.select("doc_id", "__id", "__h", "spans")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     if reveal.isEmpty():
@@ -196,9 +203,9 @@ def named(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def rewritten(text: Column, all_spans: Column) -> Column:
+def rewritten(text: Column, all_spans: Column, by: Sequence[str] = TAGS) -> Column:
     """The text with every span replaced by its tag (removed terms by nothing); overlapping spans are replaced in order of their starts."""
-    tags = F.array(*(F.lit("" if k == "term" else f"[{k.upper()}]") for k in KINDS))
+    tags = F.array(*map(F.lit, by))
 
     def cut(chunks: Column) -> Column:
         def between(a: Column, b: Column) -> Column:
