@@ -3,7 +3,7 @@
 Counts of words and word pairs are summed in ranges of the key space (``_blocks``), which hold the n-gram tables in parts;
 each block of documents gets back the counts of what it holds. A pair seen r times after h has the probability
 d(r) r / (c(h) + SPARE); any other word falls back to its unigram probability times a(h), the weight that makes the
-probabilities after h sum to one exactly: a(h) = (1 - seen mass) / (1 - unigram mass of the words seen after h). A word seen
+probabilities after h sum to one exactly: a(h) = (1 - seen mass) / (1 - unigram mass of the words seen after h), where 1 - seen mass is summed from what the discounts take. A word seen
 r times has d(r) r / (N + SPARE), and all unknown words together have what is left.
 
 Good-Turing discounts apply up to five occurrences; where the counts of counts give none between 0 and 1, absolute
@@ -109,12 +109,16 @@ class Katz:
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, self._discounted(count, self.word) / (self.tokens + SPARE), self.unknown)
 
+    def taken(self, count: np.ndarray) -> np.ndarray:
+        """What the discount of a pair's count leaves for back-off; zero, not a rounded difference, where there is no discount."""
+        return count - self._discounted(count, self.pair)
+
     def seen(self, count: np.ndarray, history: np.ndarray) -> np.ndarray:
         return self._discounted(count, self.pair) / (history + SPARE)
 
 
-SCORED = "kind int, a bigint, b bigint, n bigint, m bigint, x float, y float, p double, q double, doc_id bigint, held_out boolean"
-_SCORED = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "abnm"), ("x", pa.float32()), ("y", pa.float32()), ("p", pa.float64()), ("q", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_())])
+SCORED = "kind int, a bigint, b bigint, n bigint, m bigint, x double, y double, p double, q double, doc_id bigint, held_out boolean"
+_SCORED = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "abnm"), ("x", pa.float64()), ("y", pa.float64()), ("p", pa.float64()), ("q", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_())])
 
 
 def _rows(kind: int, size: int, **columns) -> pa.Table:
@@ -123,7 +127,7 @@ def _rows(kind: int, size: int, **columns) -> pa.Table:
 
 
 def _score(docs: pa.Table, back: pa.Table) -> pa.Table:
-    """Of one block. Kind 0: documents, their scores short of back-off weights; 1: shares of a history's seen mass and unigram mass; 2: tokens that wait for a weight."""
+    """Of one block. Kind 0: documents, their scores short of back-off weights; 1: shares of the counts that a history's discounts take, and of its unigram mass; 2: tokens that wait for a weight."""
     if not len(docs):
         return _rows(0, 0)
     blk, docs = docs["blk"][0].as_py(), opened(docs)
@@ -149,8 +153,8 @@ def _score(docs: pa.Table, back: pa.Table) -> pa.Table:
     own = np.flatnonzero(owner & (total > 0) & (key < _WORD))
     place = first[own] - m
     h, at_h = np.unique(before[place], return_inverse=True)
-    mass, reach = model.seen(both[place], past[place]), lower[place]
-    out.append(_rows(1, len(h), a=key[h].view(np.int64), x=np.bincount(at_h, weights=mass, minlength=len(h)), y=np.bincount(at_h, weights=reach, minlength=len(h))))
+    taken, reach = model.taken(both[place]), lower[place]
+    out.append(_rows(1, len(h), a=key[h].view(np.int64), n=total[h], x=np.bincount(at_h, weights=taken, minlength=len(h)), y=np.bincount(at_h, weights=reach, minlength=len(h))))
     wait = np.flatnonzero((both == 0) & (past > 0))
     row = np.repeat(np.arange(n), np.diff(bounds))[wait]
     some, times = np.unique(np.stack([row, before[wait]]), axis=1, return_counts=True) if len(wait) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
@@ -163,7 +167,8 @@ def score(docs: DataFrame, train) -> DataFrame:
     rows, n = blocks(docs, F.coalesce(train, F.lit(True)).alias("train"))
     back = counted(rows, n, _keys, _tally)
     found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_score, SCORED))
-    weights = found.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.log10((1 - F.sum(F.col("x").cast("double"))) / (1 - F.sum(F.col("y").cast("double")))).alias("weight"))
+    spare = (F.lit(SPARE) + F.sum("x")) / (F.max("n") + F.lit(SPARE))
+    weights = found.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.log10(spare / (1 - F.sum("y"))).alias("weight"))
     waiting = found.where("kind = 2").select("a", F.col("b").alias("h"), "n").join(weights, "h").groupBy("a").agg(F.sum(F.col("n") * F.col("weight")).alias("more"))
     return (
         found.where("kind = 0").join(waiting, "a", "left")

@@ -1,6 +1,8 @@
 """What the operators do with all of their input: cases that a cut would lose."""
 
-from millrace.llm import pii
+import math
+
+from millrace.llm import katz, pii
 
 
 def test_pii_terms_of_large_and_templated_input(spark):
@@ -19,3 +21,13 @@ def test_pii_terms_of_large_and_templated_input(spark):
     texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert all("quillfeather" not in texts[k] for k in range(80)) and all("ambrosine" not in texts[k] for k in range(80, 140))
     assert all("zanzibarish" in texts[k] for k in range(140, 190)) and all(fill(9000, 60) in texts[k] for k in range(190, 195))
+
+
+def test_lm_back_off_weight_of_a_very_frequent_history(spark):
+    k = 2_000_000
+    docs = spark.createDataFrame([(1, "a b " * k), (2, "a zz")], "doc_id bigint, text string")
+    found = {r.doc_id: r.score for r in katz.score(docs, docs.doc_id == 1).collect()}
+    # counts: a k, b k, end 1; the discount of a single occurrence is 0.01 for words and pairs
+    weight = (0.5 / (k + 0.5)) / (1 - k / (2 * k + 1.5))
+    first, unknown, end = 0.01 / 1.5, (0.5 + 0.99) / (2 * k + 1.5), 0.01 / (2 * k + 1.5)
+    assert math.isclose(found[2], math.log10(first) + math.log10(weight * unknown) + math.log10(end), rel_tol=1e-9)
