@@ -2,7 +2,11 @@
 
 import math
 
-from millrace.llm import katz, pii
+import numpy as np
+import pyarrow as pa
+
+from millrace.llm import katz, pii, toxicity
+from millrace.llm._text import slices
 
 
 def test_pii_terms_of_large_and_templated_input(spark):
@@ -31,3 +35,26 @@ def test_lm_back_off_weight_of_a_very_frequent_history(spark):
     weight = (0.5 / (k + 0.5)) / (1 - k / (2 * k + 1.5))
     first, unknown, end = 0.01 / 1.5, (0.5 + 0.99) / (2 * k + 1.5), 0.01 / (2 * k + 1.5)
     assert math.isclose(found[2], math.log10(first) + math.log10(weight * unknown) + math.log10(end), rel_tol=1e-9)
+
+
+def test_toxicity_gate_misses_nothing_that_the_decoder_handles():
+    calls = []
+
+    class Recorder(toxicity.Channel):
+        def decode(self, word):
+            calls.append(word)
+            return word
+
+    words = [w for c in toxicity.LEET for w in (f"{c}diot", f"id{c}ot", f"idio{c}", f"idio{c}{c}", f"{c}-x", f"x_{c}_y", f"{c}9é", f"é{c}")]
+    words += ["\u00e9\u00e9\u00e9t", "\u54c8\u54c8\u54c8", "\U00010400" * 3, "idiooot", "i d i o t", "\u00e9.t.\u00e9.t", "a_b_c_d", "id10t", "hello!", "\u201cquoted\u201d", "plain"]
+    texts = [t for w in words for t in (w, f"{w} people here", f"what a {w}", f"you {w}, go")] + ["", None]
+    decoded = []
+    for t in texts:
+        calls.clear()
+        Recorder({}).restore(t or "")
+        decoded.append(bool(calls))
+    together = np.concatenate([toxicity.disguised(p) for p in slices(pa.array(texts, pa.string()))])
+    alone = [bool(toxicity.disguised(next(slices(pa.array([t], pa.string()))))[0]) for t in texts]
+    for flags in (together, alone):
+        assert not [t for t, want, f in zip(texts, decoded, flags, strict=True) if want and not f]
+    assert not together[texts.index("plain")] and sum(decoded) > 400
