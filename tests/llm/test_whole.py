@@ -58,3 +58,9 @@ def test_toxicity_gate_misses_nothing_that_the_decoder_handles():
     for flags in (together, alone):
         assert not [t for t, want, f in zip(texts, decoded, flags, strict=True) if want and not f]
     assert not together[texts.index("plain")] and sum(decoded) > 400
+
+
+def test_toxicity_language_model_counts_all_documents(spark):
+    docs = spark.createDataFrame([(k, f"word{'abcdefghij'[k % 10]} same") for k in range(50)] + [(99, "xylophonist")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    assert "xylo" in toxicity.fit(docs, labels).logp
