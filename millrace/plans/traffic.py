@@ -56,10 +56,10 @@ def is_new_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.repaired_is_new(page_log(spark, sf_dir), "mid").select("event_id", "mid", "is_new")
 
 
-def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of ASCII letters and digits, which Spark and DuckDB read alike; a document's time is its id in seconds."""
+def _keywords(spark: SparkSession, sf_dir: str, tokenizer=lambda c: tokens(c, "[A-Za-z0-9]+")) -> DataFrame:
+    """By default words of ASCII letters and digits, as the SQL has them; a document's time is its id in seconds."""
     docs = table(spark, sf_dir, "documents").select("text", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias("ts"))
-    words = split_words(docs, "text", "keyword", lambda c: tokens(c, "[A-Za-z0-9]+"))
+    words = split_words(docs, "text", "keyword", tokenizer)
     return windows.tumbling(words, "ts", "10 seconds", ["keyword"], F.count("keyword").alias("keyword_count"))
 
 
@@ -71,6 +71,15 @@ def keyword_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keywords(spark, sf_dir).groupBy("cur_date", "keyword").agg(total("keyword_count", "keyword_count"))
 
 
+def keyword_window_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every script, by the operator's own pattern."""
+    return _keywords(spark, sf_dir, tokens)
+
+
+def keyword_totals_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keywords(spark, sf_dir, tokens).groupBy("cur_date", "keyword").agg(total("keyword_count", "keyword_count"))
+
+
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five channel figures of every day in one aggregate; a day without sessions has null ratios."""
     sv = F.sum("sv_ct").cast("double")
@@ -126,3 +135,5 @@ QUERIES = {
     f.__name__: f
     for f in (page_view_window, home_detail_uv_window, login_back_window, register_window, cart_uu_window, payment_uu_window, visitor_first_visit, is_new_repair, keyword_window, keyword_totals, channel_stats)
 }
+#: Without SQL: DuckDB's lower and character classes need not be Spark's.
+WITHOUT_SQL = {f.__name__: f for f in (keyword_window_unicode, keyword_totals_unicode)}
