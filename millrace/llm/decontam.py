@@ -6,7 +6,7 @@ hashed from prefix sums, looked up, and every hit is compared word for word befo
 out in blocks of bounded size (usually one), each with a pass over the rows, so no broadcast grows with it.
 
 Defined results: null and empty texts have no words, are never contaminated, and name no items. An item without
-words (null, empty, marks only) has no window. Items that share a window are all named; repeated item rows count
+words (null, empty, marks only) has no window; one without id hits but names no item. Items that share a window are all named; repeated item rows count
 once. Repeated documents are judged alike, each on its own.
 """
 
@@ -39,10 +39,10 @@ class Windows:
     maybe: dict[int, np.ndarray]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], width: int) -> Windows:
-        known: dict[int, dict[int, tuple[bytes, set[str]]]] = {}
-        clash: list[tuple[int, int, bytes, str]] = []
-        ids = [str(k) for k, _ in items]
+    def of(cls, items: list[tuple[str | None, str | None]], width: int) -> Windows:
+        known: dict[int, dict[int, tuple[bytes, set[str | None]]]] = {}
+        clash: list[tuple[int, int, bytes, str | None]] = []
+        ids = [k if k is None else str(k) for k, _ in items]
         for part in slices(pa.array([t for _, t in items], pa.large_string())):
             hashes, start, end, bounds = word_hashes(part, ALNUM)
             folded = LOWER[part.data].tobytes()
@@ -65,7 +65,7 @@ class Windows:
         for length, grams in known.items():
             order = sorted(grams)
             hashes = np.array(order, dtype=np.uint64)
-            by_length[length] = (hashes, [grams[g][0] for g in order], [sorted(grams[g][1]) for g in order])
+            by_length[length] = (hashes, [grams[g][0] for g in order], [sorted(x for x in grams[g][1] if x is not None) for g in order])
             maybe[length] = np.zeros(1 << FILTER_BITS, dtype=bool)
             maybe[length][(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return cls(by_length, maybe)
@@ -102,7 +102,7 @@ def blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) ->
     n = max(1, -(-size // most))
     for k in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select(F.col("item_id").cast("string"), "text").collect()
-        yield Windows.of([(r[0], r[1]) for r in rows if r[0] is not None], width)
+        yield Windows.of([(r[0], r[1]) for r in rows], width)
 
 
 FOUND = "n_words bigint, hits array<struct<first: int, last: int>>, items array<string>"

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm import katz, pii, toxicity
+from millrace.llm import decontam, katz, pii, toxicity
 from millrace.llm._text import slices
 
 
@@ -64,3 +64,10 @@ def test_toxicity_language_model_counts_all_documents(spark):
     docs = spark.createDataFrame([(k, f"word{'abcdefghij'[k % 10]} same") for k in range(50)] + [(99, "xylophonist")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
     assert "xylo" in toxicity.fit(docs, labels).logp
+
+
+def test_benchmark_rows_without_id_contaminate(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "other words here"), (3, "named item text")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta"), (7, "named item text"), (None, None)], "item_id bigint, text string")
+    found = {r.doc_id: (len(r.hits), r.items, r.contaminated) for r in decontam.judged(decontam.scan(docs, bench)).collect()}
+    assert found == {1: (1, [], True), 2: (0, [], False), 3: (1, ["7"], True)}
