@@ -14,7 +14,8 @@ them. When all groups are taken, each holds the suffixes of one Lyndon prefix. A
 every suffix behind those of its group that it follows, since what follows its Lyndon prefix is already in place.
 
 Defined results: null and empty texts have no bytes. Matches never cross documents; overlapping matches and matches
-in one document count; windows are judged on the input. Repeated rows repeat each other. Equality is by 64-bit hashes.
+in one document count; windows are judged on the input. Repeated rows repeat each other. Equality is by 64-bit
+hashes, of whole snippets by 55 bits.
 """
 
 from __future__ import annotations
