@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of one Arrow batch between Spark and a Python worker, unless the session asks for fewer.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been bounded: an executor holds several of them outside its heap."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = str(conf.get(key, None) or 0).lower().removesuffix("b")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            conf.set(key, str(most))
+    return df
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(function: Callable) -> Callable:
+    """A function of Arrow batches after which the worker's freed memory goes back."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
+def released_table(function: Callable) -> Callable:
+    """The same for a function of one group's table."""
+
+    def run(table):
+        out = function(table)
+        release()
+        return out
+
+    return run
+
+
+def released_tables(function: Callable) -> Callable:
+    """The same for a function of two groups' tables."""
+
+    def run(left, right):
+        out = function(left, right)
+        release()
+        return out
+
+    return run
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
@@ -26,11 +83,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Lets Spark delete the shuffle files of a job that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back. Lost executors then cost no recomputation."""
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back. Lost executors then cost no recomputation,
+    and the job's shuffle files go as soon as it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; longer single texts are handled alone and whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def random_u64(n: int, seed: int) -> np.ndarray:
@@ -44,17 +44,22 @@ _BASE, _BASE_WORD = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _powers_to(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(n, base, dtype=U64)
+    up[0] = 1
+    down = np.full(n, U64(pow(int(base), -1, 2**64)), dtype=U64)
+    down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept per process and grown when a longer text comes."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
-        up = np.full(size, base, dtype=U64)
-        up[0] = 1
-        down = np.full(size, U64(pow(int(base), -1, 2**64)), dtype=U64)
-        down[0] = 1
-        have = _powers[int(base)] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+    """base**i and base**-i modulo 2**64 for i < n at least; a process keeps those of one slice, longer texts make their own."""
+    usual = SLICE_BYTES + (SLICE_BYTES >> 1)
+    if n > usual:
+        return _powers_to(base, n)
+    if int(base) not in _powers:
+        _powers[int(base)] = _powers_to(base, usual)
+    return _powers[int(base)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,22 +1,30 @@
 """N-gram Jaccard join: exact similarity join of shingle sets by indexed prefixes and set relations.
 
-Every document becomes the set of its ``width``-word shingles. Shingles are ordered by how many documents hold them,
-rarest first (exact counts over all documents, see ``_blocks``; shingles outside a fixed part of the hash space are not
-counted and come last). Two sets that link share one of the first ``n - ceil(t * n) + 1`` of either, so only those
-positions of a set enter the index, and only those that a second document may hold. An index list is cut into blocks by set size; members whose sizes rule a link out are skipped with
-their block. Sets that meet in a block form a candidate group.
-
-In a group one set leads: the overlap of every other set with it is computed once, and the answer for two members
-follows from what each differs by from the leader, since |s ^ t| = |e_s| + |e_t| - 2 |e_s & e_t| for the differences
-e_s, e_t. Members whose component is settled already are skipped; sets far from the leader are led by another,
-and reach across only where the triangle inequality of the Jaccard distance allows a link.
-
-Equal sets are one set throughout. Groups larger than ``GROUP`` are dealt out in pairs of blocks that cover all pairs.
-Sets are compared by 64-bit hashes of their shingles, equal sets are told by 128 bits.
+Every document becomes the set of its ``width``-word shingles; equal sets are one set. Shingles are ordered by how many
+documents hold them, rarest first (exact counts over all documents, see ``_blocks``; shingles outside a fixed part of
+the hash space are not counted and come last). Two sets that link share one of the first ``n - ceil(t * n) + 1`` of
+either, so only those positions of a set enter the index, and only those that a second document may hold.
+
+An index list (all sets with one shingle) is cut into blocks by set size, and its entries carry their positions. A link
+of x and y (x not the larger) that meets at their first common shingle, at positions i and j, has
+``min(n_x - i, n_y - j) >= t / (1 + t) * (n_x + n_y)``. So x stands at a shallow position, and blocks without a
+shallow entry are skipped, as are entries too deep for the shallowest one of their block.
+
+1. In each block one set leads (a shallow one), and every other entry is checked against it, word for word.
+2. What the checks link makes components. A block whose other entries lie in one component is settled and skipped.
+3. In the blocks left over one set leads again: the overlap of every other set with it is computed once, and the answer
+   for two members follows from what each differs by from the leader, since |s ^ t| = |e_s| + |e_t| - 2 |e_s & e_t| for the
+   differences e_s, e_t. Members of one component are skipped; sets far from the leader are led by another, and reach
+   across only where the triangle inequality of the Jaccard distance allows a link.
+
+Only checked links join sets, so components never grow by chance. A leader's entries, and blocks left over, are dealt out
+in pieces of at most ``GROUP`` shingles. Sets are compared by 64-bit hashes of their shingles and named by 64 bits;
+equal sets are told by 128 bits.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with fewer words than
 ``width`` the whole sequence is the one shingle. Repeated rows are equal sets. A row without doc_id takes the
-component of the rows it equals, or null. Empty tables give no rows; other columns are ignored.
+component of the rows it equals or links with; a component without any doc_id has a null name. Empty tables give no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import blocks, counted, gathered, opened, totals
 from ._components import components, forest
-from ._jobs import table, written
+from ._jobs import released, released_tables, table, written
 from ._text import NON_SPACE, Slice, gram_hashes, mix, slices, word_hashes
 from .embeddings import grouped
 
@@ -39,9 +47,10 @@ WIDTH = 5
 SIMILARITY = (80, 100)
 #: Shingles of so large a share of the hash space come first in the order and are counted: this times (1 - similarity).
 COUNTED = 2.5
-#: Sets of a candidate group that one block holds at most.
-GROUP = 4096
+#: Shingles of the sets that are compared in one piece (one larger set goes alone).
+GROUP = 400_000
 _D1, _D2 = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
+_SET = np.uint64(0x6A09E667F3BCC908)
 
 
 def shingles(part: Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,43 +107,67 @@ def _counted(v: np.ndarray, num: int, den: int) -> np.ndarray:
     return (v & np.uint64(0xFFFF)).astype(np.int64) * den < 65536 * COUNTED * (den - num)
 
 
-FOUND = "doc_id bigint, n bigint, d1 bigint, d2 bigint, token bigint, class int"
+def _keys(part: pa.Table, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: its sets and where each begins, their digests, which shingles are counted; and the keys to count: those, and the sets."""
+    v, bounds = _sets(part, width)
+    d1, d2 = _digests(v, bounds)
+    asked = _counted(v, num, den)
+    key, count = gathered([v[asked], mix(d1.view(np.uint64) + _SET)])
+    return v, bounds, d1, d2, asked, key, count
+
+
+FOUND = "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, token bigint, class int, guest boolean, place bigint, body string"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("token", pa.int64()), ("class", pa.int32()), ("guest", pa.bool_()), ("place", pa.int64()), ("body", pa.string())])
+
+
+def _made(rows: int, **columns) -> pa.Table:
+    made = {k: x.cast(_FOUND.field(k).type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, _FOUND.field(k).type) for k, x in columns.items()}
+    return pa.table([made[f.name] if f.name in made else pa.nulls(rows, f.type) for f in _FOUND], schema=_FOUND)
 
 
 def _indexed(width: int, num: int, den: int):
+    """Rows of a block: its documents (no token, no body); index entries of the sets it owns (token); and those sets' texts (body)."""
+
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _made(0)
         docs = opened(docs)
-        v, bounds = _sets(docs, width)
+        v, bounds, d1, d2, asked, key, _ = _keys(docs, width, num, den)
         n = np.diff(bounds)
-        d1, d2 = _digests(v, bounds)
-        asked = _counted(v, num, den)
-        key, _ = gathered([v[asked]])
+        total, owned = totals(back)
         df = np.full(len(v), 1 << 40)  # uncounted shingles follow all others and always enter
-        df[asked] = totals(back)[0][np.searchsorted(key, v[asked])]
+        df[asked] = total[np.searchsorted(key, v[asked])]
+        _, once = np.unique(d1, return_index=True)
+        mine = np.zeros(len(n), dtype=bool)  # one document stands for all equal sets
+        mine[once] = owned[np.searchsorted(key, mix(d1[once].view(np.uint64) + _SET))]
         owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((v, df, owner))
-        rank = np.arange(len(v)) - bounds[owner]
+        some = np.flatnonzero(mine[owner])
+        order = some[np.lexsort((v[some], df[some], owner[some]))]
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         prefix = n - -(-n * num // den) + 1
-        entry = order[(rank < prefix[owner]) & (df[order] > 1)]
+        enters = (rank < prefix[owner[order]]) & (df[order] > 1) & (n[owner[order]] * (den - num) >= num)  # smaller sets link with equal sets only
+        entry, place = order[enters], rank[enters]
         doc = owner[entry]
         c = size_class(n, num, den)[doc].astype(np.int32)
-        nothing = pa.nulls(len(n), pa.int64())
-        one = pa.table([docs["doc_id"], pa.array(n), pa.array(d1), pa.array(d2), nothing, pa.nulls(len(n), pa.int32())], names=["doc_id", "n", "d1", "d2", "token", "class"])
-        m = 2 * len(entry)  # in the block of the own class, and in that of the next smaller one
-        two = pa.table(
-            [pa.nulls(m, pa.int64()), pa.array(np.tile(n[doc], 2)), pa.array(np.tile(d1[doc], 2)), pa.array(np.tile(d2[doc], 2)),
-             pa.array(np.tile(v[entry].view(np.int64), 2)), pa.array(np.concatenate([c, c - 1]).astype(np.int32))],
-            names=one.schema.names,
+        one = _made(len(n), doc_id=docs["doc_id"], h=docs["h"], n=n, d1=d1, d2=d2)
+        two = _made(  # in the block of the own class, and as a guest in that of the next smaller one
+            2 * len(entry), n=np.tile(n[doc], 2), d1=np.tile(d1[doc], 2), token=np.tile(v[entry].view(np.int64), 2),
+            guest=np.repeat([False, True], len(entry)), place=np.tile(place, 2), **{"class": np.concatenate([c, c - 1])},
         )
-        return pa.concat_tables([one, two])
+        sent = np.unique(doc)
+        three = _made(len(sent), n=n[sent], d1=d1[sent], body=docs["text"].take(pa.array(sent)))
+        return pa.concat_tables([one, two, three])
 
     return run
 
 
-def link_forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that span the same components as all links among these sets (sorted, not empty), by leaders and differences."""
+def link_forest(sets: list[np.ndarray], num: int, den: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that, with what is ``settled`` (a number for each set), span the same components as all links among these sets.
+
+    Sets are sorted and not empty. By leaders and differences, see above.
+    """
     size = np.array([len(s) for s in sets])
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if settled is None else np.unique(settled, return_inverse=True)[1]
     edges: list[tuple[int, int]] = []
     plus, minus = den + num, den - num
 
@@ -210,62 +243,116 @@ def _by_differences(near, pool, sets, size, lead, flat, start, common, apart, la
                 join(pool[near[i]], pool[j])
 
 
-def _verified(width: int, num: int, den: int, keys: list[str]):
+def _checked(width: int, num: int, den: int):
+    """Links (u, v) of leaders with their entries; rows come sorted by leader and piece, the leader's own first in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, own = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            v, bounds = _sets(batch, width)
+            u, d1 = batch.column("lead").to_numpy(), batch.column("d1").to_numpy()
+            found = []
+            for k in range(batch.num_rows):
+                s = v[bounds[k] : bounds[k + 1]]
+                if u[k] == d1[k]:
+                    lead, own = u[k], s
+                elif lead == u[k] and len(s) and len(own):
+                    both = np.count_nonzero(own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s)
+                    if both * den >= (len(s) + len(own) - both) * num:
+                        found.append(k)
+            yield pa.record_batch([pa.array(u[found]), pa.array(d1[found])], names=["u", "v"])
+
+    return run
+
+
+def _compared(width: int, num: int, den: int, keys: list[str]):
+    """Links (u, v) among the sets of blocks left over, without those that are settled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, keys):
             v, bounds = _sets(group, width)
-            d1, d2 = _digests(v, bounds)
-            right = (d1 == group["d1"].to_numpy()) & (d2 == group["d2"].to_numpy())  # an id may come with several texts
-            at = np.flatnonzero(right & (np.diff(bounds) > 0))
-            rep = group["rep"].to_numpy()
-            found = link_forest([v[bounds[i] : bounds[i + 1]] for i in at], num, den)
+            at = np.flatnonzero(np.diff(bounds) > 0)
+            d1 = group["d1"].to_numpy()
+            found = link_forest([v[bounds[i] : bounds[i + 1]] for i in at], num, den, group["settled"].to_numpy()[at])
             if found:
                 i, j = np.array(found).T
-                u, w = forest(rep[at[i]], rep[at[j]])
+                u, w = forest(d1[at[i]], d1[at[j]])
                 yield pa.record_batch([pa.array(u), pa.array(w)], names=["u", "v"])
 
     return run
 
 
+def _pieces(total: Column) -> Column:
+    return F.ceil(total / GROUP).cast("int")
+
+
+def links(entries: DataFrame, bodies: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, component) of every set that links with another, from index entries and the texts of the sets."""
+    share = num / (num + den)
+    need = lambda n, least: share * (n + least) - 1e-6
+    reach = F.col("n") - F.col("place")
+    lead = ~F.col("guest") & (reach >= need(F.col("n"), F.col("n")))
+    blocks_ = (
+        entries.groupBy("token", "class")
+        .agg(F.min(F.when(lead, F.col("d1"))).alias("lead"), F.min(F.when(lead, F.col("n"))).alias("least"), F.max(F.when(lead, reach)).alias("reach"), F.min("d1").alias("a"), F.max("d1").alias("b"))
+        .where("lead is not null and a < b").drop("a", "b")
+    )
+    may = (reach >= need(F.col("n"), F.col("least"))) & (F.col("reach") >= need(F.col("n"), F.col("least")))
+    members = written(entries.join(blocks_, ["token", "class"]).where((F.col("d1") != F.col("lead")) & may).select("token", "class", "lead", "d1", "n"))
+    pairs = members.groupBy("lead", "d1").agg(F.first("n").alias("n"))
+    split = pairs.groupBy("lead").agg(_pieces(F.sum("n")).alias("s"))
+    leaders = split.select("lead", F.col("lead").alias("d1"), F.explode(F.expr("sequence(0, s - 1)")).alias("piece"), F.lit(0).alias("later"))
+    others = pairs.join(split, "lead").select("lead", "d1", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int").alias("piece"), F.lit(1).alias("later"))
+    texts = bodies.select("d1", F.col("body").alias("text"))
+    order = ["lead", "piece", "later"]
+    sorted_ = leaders.unionByName(others).join(texts, "d1").repartition("lead", "piece").sortWithinPartitions(*order)
+    checked = written(sorted_.mapInArrow(released(_checked(width, num, den)), "u bigint, v bigint"))
+    parts = written(components(checked))
+
+    settled = F.coalesce("component", "d1")
+    known = members.select("token", "class", "d1", "n").join(parts, F.col("d1") == F.col("node"), "left").select("token", "class", "d1", "n", settled.alias("settled"))
+    open_ = known.groupBy("token", "class").agg(F.min("settled").alias("a"), F.max("settled").alias("b"), F.sum(F.xxhash64("d1") % (1 << 40)).alias("who"), F.count("*").alias("many"), F.sum("n").alias("size")).where("a < b")
+    once = open_.groupBy("who", "many").agg(F.min(F.struct("token", "class", "size")).alias("x")).select("x.*")  # blocks of the same sets need one look
+    group = once.select("token", "class", F.ceil(2 * F.col("size") / GROUP).cast("int").alias("s"))
+    left = known.join(group, ["token", "class"]).withColumn("piece", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
+    keys = ["token", "class", "one", "two"]
+    dealt = left.select("token", "class", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "d1", "settled").join(texts, "d1").repartition(*keys).sortWithinPartitions(*keys)
+    more = written(dealt.mapInArrow(released(_compared(width, num, den, keys)), "u bigint, v bigint"))
+    out = parts if more.isEmpty() else components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return out
+
+
+def _members(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, h, n, component, component_id) of every row; h is the hash of its text, component a name that is null for empty sets only."""
+    num, den = similarity
+    rows, n = blocks(docs, F.xxhash64("text").alias("h"))
+    back = counted(rows, n, lambda part: _keys(part, width, num, den)[5:])
+    found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(released_tables(_indexed(width, num, den)), FOUND))
+    sets = found.where("token is null and body is null").select("doc_id", "h", "n", "d1", "d2")
+    entries = found.where("token is not null").select("token", "class", "guest", "place", "n", "d1")
+    linked = links(entries, found.where("body is not null").select("d1", "body"), width, num, den).withColumnRenamed("node", "d1")
+    named = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).join(linked, "d1", "left").withColumn("component", F.coalesce("component", "d1"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = named.join(least, "component").select("d1", "d2", "n", "component", "component_id")
+    return sets.join(known, ["d1", "d2", "n"], "left").select("doc_id", "h", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
-    num, den = similarity
-    rows, n = blocks(docs)
-
-    def keys(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = _sets(part, width)[0]
-        return gathered([v[_counted(v, num, den)]])
-
-    back = counted(rows, n, keys)
-    found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_indexed(width, num, den), FOUND))
-    sets, entries = found.where("token is null").select("doc_id", "n", "d1", "d2"), found.where("token is not null").select("token", "class", "d1")
-    lists = entries.groupBy("token", "class").agg(F.min("d1").alias("lead"), F.max("d1").alias("last")).where("lead < last").drop("last")
-    candidates = entries.join(lists, ["token", "class"]).where("d1 <> lead").select(F.col("d1").alias("u"), F.col("lead").alias("v")).distinct()
-    met = components(candidates).withColumnRenamed("node", "d1")
-    split = met.groupBy("component").count().select("component", F.ceil(F.col("count") / GROUP).cast("int").alias("s"))
-    reps = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = met.join(split, "component").join(reps.where("rep is not null"), "d1").select("component", "s", "rep", "d1", "d2")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(members, "rep")
-    order = ["component", "one", "two"]
-    dealt = (
-        texts.withColumn("blk", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
-        .select("component", F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "rep", "d1", "d2", "text")
-        .repartition(*order).sortWithinPartitions(*order)
-    )
-    linked = components(dealt.mapInArrow(_verified(width, num, den, order), "u bigint, v bigint")).withColumnRenamed("node", "rep")
-    known = reps.join(linked, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return (
-        sets.join(known, ["d1", "d2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    return _members(docs, width, similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The first document (smallest doc_id) of every group of near-duplicates, once, with its columns; rows without doc_id stay."""
-    kept = groups(docs, width, similarity).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"))
-    once = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of every group of near-duplicates the row with the smallest doc_id (of several, that with the least hash of its text), with all its columns.
+
+    Rows with empty sets are no duplicates of each other. Rows equal in doc_id and text stay once; rows without doc_id all stay.
+    """
+    found = _members(docs, width, similarity).where("doc_id is not null")
+    first = found.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.h").alias("h"))
+    kept = first.unionByName(found.where("n = 0").select(F.col("doc_id").alias("id"), "h").distinct())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    once = rows.join(kept, ["id", "h"]).groupBy("id", "h").agg(F.first("row").alias("row"))
+    return once.unionByName(rows.where("id is null")).select("row.*")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

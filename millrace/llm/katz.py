@@ -1,14 +1,19 @@
-"""Language model scores: a Katz back-off bigram model with Good-Turing discounts, counted over all training documents.
-
-Counts of words and word pairs are summed in ranges of the key space (``_blocks``), which hold the n-gram tables in parts;
-each block of documents gets back the counts of what it holds. A pair seen r times after h has the probability
-d(r) r / (c(h) + SPARE); any other word falls back to its unigram probability times a(h), the weight that makes the
-probabilities after h sum to one exactly: a(h) = (1 - seen mass) / (1 - unigram mass of the words seen after h), where 1 - seen mass is summed from what the discounts take. A word seen
-r times has d(r) r / (N + SPARE), and all unknown words together have what is left.
-
-Good-Turing discounts apply up to five occurrences; where the counts of counts give none between 0 and 1, absolute
-discounting with D = N1 / (N1 + 2 N2) takes their place. SPARE keeps some mass back for every history, also where all
-its pairs are too frequent to be discounted. A text's first word comes after the end mark, which closes every text.
+"""Language model scores: Katz back-off n-grams with Good-Turing discounts, counted over all training documents.
+
+For every order the counts of all n-grams are summed in ranges of the key space (``_blocks``) and written: the n-gram
+tables, in one partition for each range. Each block of documents gets back the counts of what it holds. An n-gram seen
+r times after history h has the probability d(r) r / (c(h) + SPARE). Any other word takes its probability after the
+shorter history times a(h), recursively down to single words; a(h) is the weight that makes the probabilities after h
+sum to one exactly: a(h) = left(h) / (1 - sum over the words seen after h of their probability after the shorter
+history), where left(h) = (SPARE + what the discounts take) / (c(h) + SPARE) is summed as such, never as a difference
+from one. Weights are made for the histories that a text without all its n-grams in the tables asks for, from the
+whole tables; they are written too. A word seen r times has d(r) r / (N + SPARE), and all unknown words together have
+what is left.
+
+Good-Turing discounts apply up to five occurrences, for each order from its own counts of counts; where those give none
+between 0 and 1, absolute discounting with D = N1 / (N1 + 2 N2) takes their place. SPARE keeps some mass back for every
+history, also where all its n-grams are too frequent to be discounted. A text's first word comes after the end mark,
+which closes every text; histories do not reach beyond it. N-grams are told by 56-bit hashes.
 
 Defined results: null and empty texts are the end mark alone. Rows without doc_id are training rows. Repeated rows
 count as often as they come. Without training rows every text scores 0. Texts of any length are scored whole.
@@ -16,21 +21,24 @@ count as often as they come. Without training rows every text scores 0. Texts of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import blocks, counted, opened, tallied, totals
-from ._jobs import fold, table, written
+from ._blocks import answered, blocks, cut_up, cuts, met, opened, packed, planes, range_count, summed, unplanes
+from ._jobs import discard, fold, released_table, released_tables, table, written
 from ._text import NON_SPACE, mix, slices, word_hashes
 
+ORDER = 2
 DISCOUNTED = 5
 SPARE = 0.5
-END = np.uint64(0xEA09E667F3BCC909)
-#: Word keys have the highest bit; pair keys do not, and leave their lowest byte empty, which keeps what is shuffled small.
-_WORD = np.uint64(1 << 63)
-_PAIR = np.uint64(0x9FB21C651E98DF25)
+END = np.uint64(0xEA09E667F3BCC900)
+#: The lowest byte of a key stays empty, which keeps what is shuffled small.
+_KEY = np.uint64(0xFFFFFFFFFFFFFF00)
+_NEXT = np.uint64(0x9FB21C651E98DF25)
 
 
 def _tokens(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -40,41 +48,76 @@ def _tokens(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         hashes, _, _, bounds = word_hashes(piece, NON_SPACE)
         n = np.diff(bounds)
         out = np.full(len(hashes) + len(n), END, dtype=np.uint64)
-        out[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes | _WORD
+        out[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes & _KEY
         words.append(out)
         sizes.append(n + 1)
     return np.concatenate(words), np.append(0, np.cumsum(np.concatenate(sizes)))
 
 
-def _history(values: np.ndarray, bounds: np.ndarray, end) -> np.ndarray:
-    out = np.empty_like(values)
-    out[1:] = values[:-1]
-    out[bounds[:-1]] = end
-    return out
-
-
-def _grams(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys, pair keys, where each row begins, and whether each token is a training token."""
-    words, bounds = _tokens(part)
-    pairs = mix(_history(words, bounds, END) * _PAIR + words) >> np.uint64(9) << np.uint64(8)
-    train = np.repeat(part["train"].to_numpy().astype(bool), np.diff(bounds))
-    return words, pairs, bounds, train
-
-
-def _keys(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    words, pairs, _, train = _grams(part)
-    key, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-    return key, np.bincount(at, weights=np.tile(train, 2), minlength=len(key)).astype(np.int64)
-
-
-def _tally(keys: np.ndarray, counts: np.ndarray) -> list[int]:
-    """For words, then for pairs: how many there are, their occurrences, and how many occur 1, 2, .. DISCOUNTED + 1 times."""
-    out: list[int] = []
-    for kind in (1, 0):
-        own = counts[(keys >> np.uint64(63)) == kind]
-        own = own[own > 0]
-        out += [len(own), int(own.sum(dtype=np.int64)), *(int((own == r).sum()) for r in range(1, DISCOUNTED + 2))]
-    return out
+class Grams:
+    """The n-grams of one block: for order k, grams[k][i] ends with token i, and past[k][i] is its history; 0 where there is none."""
+
+    def __init__(self, part: pa.Table, order: int):
+        words, self.bounds = _tokens(part)
+        self.train = np.repeat(part["train"].to_numpy().astype(bool), np.diff(self.bounds))
+        self.grams, self.past = {1: words}, {}
+        for k in range(2, order + 1):
+            before = np.empty_like(words)
+            before[1:] = self.grams[k - 1][:-1]
+            before[self.bounds[:-1]] = END if k == 2 else 0
+            self.past[k] = before
+            self.grams[k] = np.where(before > 0, mix(before * _NEXT + words) & _KEY, np.uint64(0))
+
+    def keys(self, k: int) -> np.ndarray:
+        """The different n-grams of order ``k``, sorted; END is always a key of order 1, as a history."""
+        own = np.unique(self.grams[k])
+        own = own[1:] if len(own) and own[0] == 0 else own
+        return np.union1d(own, [END]) if k == 1 else own
+
+
+SENT = "part int, blk int, keys binary, counts binary"
+TABLE = "blk int, part int, totals binary, owned binary, keys binary, tally array<bigint>"
+_TABLE = pa.schema([("blk", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("owned", pa.binary()), ("keys", pa.binary()), ("tally", pa.list_(pa.int64()))])
+
+
+def _tally(counts: np.ndarray) -> list[int]:
+    """How many different n-grams there are, their occurrences, and how many occur 1, 2, .. DISCOUNTED + 1 times."""
+    own = counts[counts > 0]
+    return [len(own), int(own.sum()), *(int((own == r).sum()) for r in range(1, DISCOUNTED + 2))]
+
+
+def _counting(order: int, ranges: int):
+    """Send a block's n-grams of one order: twice the training count, and 1 more where a text that is not for training has it."""
+
+    def send(part: pa.Table) -> pa.Table:
+        blk = part["blk"][0].as_py()
+        own = Grams(opened(part), order)
+        key, at = own.keys(order), own.grams[order]
+        place = np.searchsorted(key, at[at > 0])
+        train = own.train[at > 0]
+        count = np.bincount(place, weights=train, minlength=len(key)).astype(np.int64)
+        asked = np.zeros(len(key), dtype=np.int64)
+        asked[place[~train]] = 1
+        return cut_up(blk, key, lambda s: planes(2 * count[s] + asked[s]), ranges)
+
+    return send
+
+
+def _summing(part: pa.Table) -> pa.Table:
+    """Totals for every block that asked, in its order of keys; and the range's table with its tally (blk -1)."""
+    part, cut, order, first, keys = met(part)
+    sent_ = np.concatenate([unplanes(x) for x in part["counts"].to_pylist()])
+    count, own = summed(sent_ >> 1, order, first)
+    asked, _ = summed(sent_ & 1, order, first)
+    back = answered(part, cut, 2 * count + (asked > 0), own)
+    every = count[order][first]
+    seen = every > 0
+    one = {
+        "blk": [-1], "part": [part["part"][0].as_py()], "totals": [planes(every[seen])], "owned": [b""],
+        "keys": [packed(keys[first][seen]) if seen.any() else b""], "tally": [_tally(every)],
+    }
+    back = pa.table([back[f.name] if f.name in back.schema.names else pa.nulls(len(back), f.type) for f in _TABLE], schema=_TABLE)
+    return pa.concat_tables([back, pa.table(one, schema=_TABLE)])
 
 
 def discounts(times: np.ndarray) -> np.ndarray:
@@ -92,88 +135,202 @@ def discounts(times: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
 class Katz:
-    """Probabilities from counts and from the tallies of all n-grams."""
+    """Probabilities from counts and from the tallies of each order's n-grams."""
 
-    def __init__(self, tally: np.ndarray):
-        half = len(tally) // 2
-        self.types, self.tokens = int(tally[0]), int(tally[1])
-        self.word, self.pair = discounts(tally[2:half]), discounts(tally[half + 2 :])
+    tallies: list[list[int]]
+
+    def __post_init__(self):
+        self.types, self.tokens = self.tallies[0][:2]
+        self.factors = {k: discounts(np.array(t[2:])) for k, t in enumerate(self.tallies, 1)}
         few = np.arange(1, DISCOUNTED + 1)
-        lost = float(((1 - self.word[1:]) * few * tally[2 : half - 1]).sum())
+        lost = float(((1 - self.factors[1][1:]) * few * np.array(self.tallies[0][2 : DISCOUNTED + 2])).sum())
         self.unknown = (SPARE + lost) / (self.tokens + SPARE)
 
-    def _discounted(self, count: np.ndarray, by: np.ndarray) -> np.ndarray:
-        return count * np.where(count <= DISCOUNTED, by[np.minimum(count, DISCOUNTED)], 1.0)
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count > 0, self._discounted(count, self.word) / (self.tokens + SPARE), self.unknown)
-
-    def taken(self, count: np.ndarray) -> np.ndarray:
-        """What the discount of a pair's count leaves for back-off; zero, not a rounded difference, where there is no discount."""
-        return count - self._discounted(count, self.pair)
-
-    def seen(self, count: np.ndarray, history: np.ndarray) -> np.ndarray:
-        return self._discounted(count, self.pair) / (history + SPARE)
-
-
-SCORED = "kind int, a bigint, b bigint, n bigint, m bigint, x double, y double, p double, q double, doc_id bigint, held_out boolean"
-_SCORED = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "abnm"), ("x", pa.float64()), ("y", pa.float64()), ("p", pa.float64()), ("q", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_())])
-
-
-def _rows(kind: int, size: int, **columns) -> pa.Table:
-    made = {"kind": pa.array(np.full(size, kind, dtype=np.int32))} | {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()}
-    return pa.table([made[f.name].cast(f.type) if f.name in made else pa.nulls(size, f.type) for f in _SCORED], schema=_SCORED)
-
-
-def _score(docs: pa.Table, back: pa.Table) -> pa.Table:
-    """Of one block. Kind 0: documents, their scores short of back-off weights; 1: shares of the counts that a history's discounts take, and of its unigram mass; 2: tokens that wait for a weight."""
-    if not len(docs):
-        return _rows(0, 0)
-    blk, docs = docs["blk"][0].as_py(), opened(docs)
-    words, pairs, bounds, train = _grams(docs)
-    key, first, at = np.unique(np.concatenate([words, pairs]), return_index=True, return_inverse=True)
-    total, owner = totals(back)
-    model = Katz(tallied(back))
-    m = len(words)
-    count, both = total[at[:m]], total[at[m:]]
-    end = int(np.searchsorted(key, END))
-    before = _history(at[:m], bounds, end)
-    past = total[before]
-    lower = model.unigram(count)
-    with np.errstate(divide="ignore"):
-        value = np.log10(np.where(both > 0, model.seen(both, past), lower))
-    base = np.log10((count + 1) / (model.tokens + model.types + 1))
-    n = len(bounds) - 1
-    uid = (blk << 32) + np.arange(n, dtype=np.int64)
-    held = ~train[bounds[:-1]]
-    add = lambda x: np.add.reduceat(x, bounds[:-1])
-    out = [_rows(0, n, a=uid, b=np.full(n, model.tokens), n=np.diff(bounds), m=add((count > 0).astype(np.int64)), p=add(base), q=add(value), doc_id=docs["doc_id"], held_out=held)]
-    # each different training pair adds to its history once, in the block that owns it
-    own = np.flatnonzero(owner & (total > 0) & (key < _WORD))
-    place = first[own] - m
-    h, at_h = np.unique(before[place], return_inverse=True)
-    taken, reach = model.taken(both[place]), lower[place]
-    out.append(_rows(1, len(h), a=key[h].view(np.int64), n=total[h], x=np.bincount(at_h, weights=taken, minlength=len(h)), y=np.bincount(at_h, weights=reach, minlength=len(h))))
-    wait = np.flatnonzero((both == 0) & (past > 0))
-    row = np.repeat(np.arange(n), np.diff(bounds))[wait]
-    some, times = np.unique(np.stack([row, before[wait]]), axis=1, return_counts=True) if len(wait) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    out.append(_rows(2, len(times), a=uid[some[0]], b=key[some[1]].view(np.int64), n=times))
+    def _discounted(self, count: np.ndarray, k: int) -> np.ndarray:
+        return count * np.where(count <= DISCOUNTED, self.factors[k][np.minimum(count, DISCOUNTED)], 1.0)
+
+    def seen(self, count: np.ndarray, history: np.ndarray, k: int) -> np.ndarray:
+        """Probability of n-grams of order ``k``; a word that is not in the table has its share of the unknown."""
+        if k == 1:
+            return np.where(count > 0, self._discounted(count, 1) / (self.tokens + SPARE), self.unknown)
+        return self._discounted(count, k) / (history + SPARE)
+
+    def taken(self, count: np.ndarray, k: int) -> np.ndarray:
+        """What the discount leaves for back-off; zero, not a rounded difference, where there is no discount."""
+        return count - self._discounted(count, k)
+
+
+FOUND = "blk int, part int, keys binary, values binary, asked binary, docs binary, waits binary"
+_FOUND = pa.schema([("blk", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "values", "asked", "docs", "waits"))])
+
+
+def _stream(data: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, data.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(data)
+    return out.getvalue().to_pybytes()
+
+
+def _judging(order: int, ranges: int, model: Katz):
+    """Of one block: its documents' scores short of back-off weights, with the histories they wait for (one row); and for each
+    range what the block's own n-grams add to the histories that anyone asks for, and which ones it asks for itself."""
+
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _FOUND.empty_table()
+        blk, docs = docs["blk"][0].as_py(), opened(docs)
+        own = Grams(docs, order)
+        count, wanted, first, at = {}, {}, {}, {}
+        for k in range(1, order + 1):
+            rows = back.filter(pa.array(back["order"].to_numpy() == k))
+            value, owned = _answers(rows)
+            key = own.keys(k)
+            valid = own.grams[k] > 0
+            at[k] = np.where(valid, np.searchsorted(key, own.grams[k]), 0)
+            count[k] = np.where(valid, (value >> 1)[at[k]], 0) if len(key) else np.zeros(len(valid), dtype=np.int64)
+            wanted[k] = dict(key=key, count=value >> 1, asked=(value & 1) > 0, owned=owned)
+            first[k] = np.unique(at[k][valid], return_index=True)[1]
+            first[k] = np.flatnonzero(valid)[first[k]]
+        history = {k: _of(own.past[k], wanted[k - 1]) for k in range(2, order + 1)}
+        n = len(own.bounds) - 1
+        row = np.repeat(np.arange(n), np.diff(own.bounds))
+        value = model.seen(count[1], None, 1)
+        done = np.ones(len(value), dtype=np.int64)  # highest order that knows the token
+        for k in range(2, order + 1):
+            value = np.where(count[k] > 0, model.seen(count[k], history[k][0], k), value)
+            done = np.where(count[k] > 0, k, done)
+        waits_row, waits_key = [], []
+        for k in range(2, order + 1):
+            some = np.flatnonzero((done < k) & (history[k][0] > 0))
+            waits_row.append(row[some])
+            waits_key.append(own.past[k][some])
+        waits_row, waits_key = np.concatenate([np.zeros(0, dtype=np.int64), *waits_row]), np.concatenate([np.zeros(0, dtype=np.uint64), *waits_key])
+        asked, place = np.unique(waits_key, return_inverse=True)
+        pair, times = np.unique(waits_row * max(len(asked), 1) + place, return_counts=True)
+        add = lambda x: np.add.reduceat(x, own.bounds[:-1])
+        base = np.log10((count[1] + 1) / (model.tokens + model.types + 1))
+        result = pa.table({
+            "doc_id": docs["doc_id"], "held_out": pa.array(~own.train[own.bounds[:-1]]), "n_tokens": np.diff(own.bounds), "n_known": add((count[1] > 0).astype(np.int64)),
+            "base": add(base), "score": add(np.log10(value)),
+        })
+        waits = pa.table({"row": pair // max(len(asked), 1), "ask": pair % max(len(asked), 1), "n": times})
+        key, taken, lower = [asked], [np.zeros(len(asked))], [np.zeros(len(asked))]
+        for k in range(2, order + 1):
+            # each different training n-gram adds to its history once, in the block that owns it
+            some = first[k][(wanted[k]["owned"] & (wanted[k]["count"] > 0))[at[k][first[k]]]]
+            some = some[history[k][1][some]]
+            shorter = model.seen(count[k - 1][some], history[k - 1][0][some] if k > 2 else None, k - 1)
+            key.append(own.past[k][some])
+            taken.append(model.taken(count[k][some], k))
+            lower.append(shorter)
+        key, place = np.unique(np.concatenate(key), return_inverse=True)
+        sums = [np.bincount(place, weights=np.concatenate(x), minlength=len(key)) for x in (taken, lower)]
+        total = np.zeros(len(key), dtype=np.int64)
+        for k in range(2, order + 1):
+            spot = np.minimum(np.searchsorted(wanted[k - 1]["key"], key), len(wanted[k - 1]["key"]) - 1)
+            total = np.where(wanted[k - 1]["key"][spot] == key, wanted[k - 1]["count"][spot], total)
+        mine = np.isin(key, asked, assume_unique=True)
+        cut = cuts(key, ranges)
+        parts = [p for p in range(ranges) if cut[p + 1] > cut[p]]
+        spans = [slice(cut[p], cut[p + 1]) for p in parts]
+        m = len(parts)
+        pieces = pa.table(
+            [pa.array([blk] * m, pa.int32()), pa.array(parts, pa.int32()), pa.array([packed(key[s]) for s in spans], pa.binary()), pa.array([_stream(pa.table({"c": total[s], "taken": sums[0][s], "lower": sums[1][s]})) for s in spans], pa.binary()),
+             pa.array([np.packbits(mine[s]).tobytes() for s in spans], pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+            schema=_FOUND,
+        )
+        whole = pa.table([pa.array([blk], pa.int32()), pa.array([-1], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([_stream(result)], pa.binary()), pa.array([_stream(waits)], pa.binary())], schema=_FOUND)
+        return pa.concat_tables([whole, pieces])
+
+    return run
+
+
+def _answers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and owner marks of one order that came back to a block, in the order of its keys."""
+    found = sorted(zip(rows["part"].to_pylist(), rows["totals"].to_pylist(), rows["owned"].to_pylist(), strict=True))
+    value = [unplanes(x) for _, x, _ in found]
+    own = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(v)).astype(bool) for (_, _, x), v in zip(found, value, strict=True)]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *value]), np.concatenate([np.zeros(0, dtype=bool), *own])
+
+
+def _of(keys: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each history, and whether anyone asks for it; 0 and no where there is none."""
+    if not len(known["key"]):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    spot = np.minimum(np.searchsorted(known["key"], keys), len(known["key"]) - 1)
+    there = known["key"][spot] == keys
+    return np.where(there, known["count"][spot], 0), there & known["asked"][spot]
+
+
+WEIGHTS = "blk int, part int, weights binary, keys binary"
+
+
+def _weighing(part: pa.Table) -> pa.Table:
+    """log10 of the back-off weights of a range's histories: for the blocks that ask, and as a table (blk -1)."""
+    part = part.sort_by("blk")
+    values = [pa.ipc.open_stream(x).read_all() for x in part["values"].to_pylist()]
+    part = part.append_column("counts", pa.array([planes(v["c"].to_numpy()) for v in values], pa.binary()))
+    part, cut, order, first, keys = met(part)
+    joined = pa.concat_tables(values)
+    count = joined["c"].to_numpy()
+    taken, lower = (summed(joined[c].to_numpy(), order, first)[0] for c in ("taken", "lower"))
+    weight = np.log10((SPARE + taken) / (count + SPARE) / (1 - lower))
+    out = []
+    for i, asked in enumerate(part["asked"].to_pylist()):
+        own = weight[cut[i] : cut[i + 1]]
+        out.append(own[np.unpackbits(np.frombuffer(asked, dtype=np.uint8), count=len(own)).astype(bool)].tobytes())
+    return pa.table({
+        "blk": pa.array([*part["blk"].to_pylist(), -1], pa.int32()), "part": pa.array([*part["part"].to_pylist(), part["part"][0].as_py()], pa.int32()),
+        "weights": pa.array([*out, weight[order][first].tobytes()], pa.binary()), "keys": pa.array([None] * len(out) + [packed(keys[first])], pa.binary()),
+    })
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _finishing(whole: pa.Table, weights: pa.Table) -> pa.Table:
+    out = []
+    rows = sorted(zip(weights["part"].to_pylist(), weights["weights"].to_pylist(), strict=True))
+    weight = np.concatenate([np.zeros(0), *(np.frombuffer(w, dtype=np.float64) for _, w in rows)])
+    for docs, waits in zip(whole["docs"].to_pylist(), whole["waits"].to_pylist(), strict=True):
+        docs, waits = pa.ipc.open_stream(docs).read_all(), pa.ipc.open_stream(waits).read_all()
+        more = np.bincount(waits["row"].to_numpy(), weights=waits["n"].to_numpy() * weight[waits["ask"].to_numpy()], minlength=len(docs))
+        out.append(pa.table({
+            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"], "n_known": docs["n_known"], "base_score": docs["base"],
+            "score": docs["score"].to_numpy() + more[: len(docs)],
+        }))
+    if not out:
+        return pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
     return pa.concat_tables(out)
 
 
-def score(docs: DataFrame, train) -> DataFrame:
+def ngram_tables(rows: DataFrame, n: int, order: int = ORDER) -> tuple[DataFrame, Katz]:
+    """Written tables of all orders up to ``order`` (column order; see TABLE: blk -1 is the table, the others answer blocks), and the model's constants."""
+    ranges, tables, tallies = range_count(n), [], []
+    for k in range(1, order + 1):
+        pieces = rows.groupBy("blk").applyInArrow(released_table(_counting(k, ranges)), SENT)
+        tables.append(written(pieces.groupBy("part").applyInArrow(released_table(_summing), TABLE)))
+        found = dict(tables[-1].where("blk = -1").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col")).collect())
+        tallies.append([found.get(i, 0) for i in range(DISCOUNTED + 3)])
+    out = tables[0].withColumn("order", F.lit(1))
+    for k, t in enumerate(tables[1:], 2):
+        out = out.unionByName(t.withColumn("order", F.lit(k)))
+    return out, Katz(tallies)
+
+
+def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``; ``train`` tells training rows."""
     rows, n = blocks(docs, F.coalesce(train, F.lit(True)).alias("train"))
-    back = counted(rows, n, _keys, _tally)
-    found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_score, SCORED))
-    spare = (F.lit(SPARE) + F.sum("x")) / (F.max("n") + F.lit(SPARE))
-    weights = found.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.log10(spare / (1 - F.sum("y"))).alias("weight"))
-    waiting = found.where("kind = 2").select("a", F.col("b").alias("h"), "n").join(weights, "h").groupBy("a").agg(F.sum(F.col("n") * F.col("weight")).alias("more"))
-    return (
-        found.where("kind = 0").join(waiting, "a", "left")
-        .select("doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("m").alias("n_known"), F.col("b").alias("train_tokens"), F.col("p").alias("base_score"), (F.col("q") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    )
+    tables, model = ngram_tables(rows, n, order)
+    back = tables.where("blk >= 0").select("blk", "part", "totals", "owned", "order")
+    found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(released_tables(_judging(order, range_count(n), model)), FOUND))
+    discard(back)
+    weights = written(found.where("part >= 0").groupBy("part").applyInArrow(released_table(_weighing), WEIGHTS))
+    whole = found.where("part = -1").select("blk", "docs", "waits")
+    scored = whole.groupBy("blk").cogroup(weights.where("blk >= 0").groupBy("blk")).applyInArrow(released_tables(_finishing), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
