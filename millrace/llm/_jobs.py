@@ -116,7 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     The bound is taken on ``labels`` by a hash of doc_id, so it is the same set on every run; that bounded table
     is what is broadcast to the scan of the documents. Labels that are null are not used; an id with several
-    labels counts with its largest.
+    labels counts with its largest, one with several texts with the least of them.
     """
     keep = fold(F.col("doc_id"), modulus) != held_out
     few = (
@@ -124,4 +124,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -6,8 +6,9 @@ hashed from prefix sums, looked up, and every hit is compared word for word befo
 out in blocks of bounded size (usually one), each with a pass over the rows, so no broadcast grows with it.
 
 Defined results: null and empty texts have no words, are never contaminated, and name no items. An item without
-words (null, empty, marks only) has no window; one without id hits but names no item. Items that share a window are all named; repeated item rows count
-once. Repeated documents are judged alike, each on its own.
+words (null, empty, marks only) has no window; one without id hits but names no item. Items that share a window are all
+named; repeated item rows count once. Repeated documents are judged alike, each on its own. Columns of ``docs`` named
+n_words, hits or items are replaced by ``scan``; ``drop_contaminated`` and ``cut_spans`` leave all columns as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import table
+from ._jobs import released, small_batches, table
 from ._text import ALNUM, LOWER, Slice, gram_hashes, slices, word_hashes
 
 WIDTH = 13
@@ -33,15 +34,14 @@ FILTER_BITS = 20
 
 @dataclass
 class Windows:
-    """The windows of one block of items: by length, sorted hashes with the window's words and its items."""
+    """The windows of one block of items: by length, sorted hashes and for each the windows behind it (their words, and the items that have them)."""
 
-    by_length: dict[int, tuple[np.ndarray, list[bytes], list[list[str]]]]
+    by_length: dict[int, tuple[np.ndarray, list[list[tuple[bytes, list[str]]]]]]
     maybe: dict[int, np.ndarray]
 
     @classmethod
     def of(cls, items: list[tuple[str | None, str | None]], width: int) -> Windows:
-        known: dict[int, dict[int, tuple[bytes, set[str | None]]]] = {}
-        clash: list[tuple[int, int, bytes, str | None]] = []
+        known: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
         ids = [k if k is None else str(k) for k, _ in items]
         for part in slices(pa.array([t for _, t in items], pa.large_string())):
             hashes, start, end, bounds = word_hashes(part, ALNUM)
@@ -54,18 +54,12 @@ class Windows:
                 grams = gram_hashes(hashes[first:last], length)
                 for k, g in enumerate(grams.tolist()):
                     words = b" ".join(folded[start[j] : end[j]] for j in range(first + k, first + k + length))
-                    own = known.setdefault(length, {}).setdefault(g, (words, set()))
-                    if own[0] == words:
-                        own[1].add(ids[part.first + i])
-                    else:
-                        clash.append((length, g, words, ids[part.first + i]))
-        if clash:
-            raise ValueError("two different benchmark windows share a 64-bit hash; use another base")
+                    known.setdefault(length, {}).setdefault(g, {}).setdefault(words, set()).add(ids[part.first + i])
         by_length, maybe = {}, {}
         for length, grams in known.items():
             order = sorted(grams)
             hashes = np.array(order, dtype=np.uint64)
-            by_length[length] = (hashes, [grams[g][0] for g in order], [sorted(x for x in grams[g][1] if x is not None) for g in order])
+            by_length[length] = (hashes, [[(w, sorted(x for x in names if x is not None)) for w, names in grams[g].items()] for g in order])
             maybe[length] = np.zeros(1 << FILTER_BITS, dtype=bool)
             maybe[length][(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return cls(by_length, maybe)
@@ -76,7 +70,7 @@ class Windows:
         change = np.zeros(len(hashes) + 1, dtype=np.int32)
         items: dict[int, set[str]] = {}
         folded = None
-        for length, (known, words, names) in self.by_length.items():
+        for length, (known, windows) in self.by_length.items():
             grams = gram_hashes(hashes, length)
             at = np.flatnonzero(self.maybe[length][(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             if not len(at):
@@ -89,10 +83,12 @@ class Windows:
             for i, k, d in zip(at[inside].tolist(), spot[inside].tolist(), doc[inside].tolist(), strict=True):
                 if folded is None:
                     folded = LOWER[part.data].tobytes()
-                if b" ".join(folded[start[j] : end[j]] for j in range(i, i + length)) == words[k]:
-                    change[i] += 1
-                    change[i + length] -= 1
-                    items.setdefault(d, set()).update(names[k])
+                own = b" ".join(folded[start[j] : end[j]] for j in range(i, i + length))
+                for words, names in windows[k]:
+                    if own == words:
+                        change[i] += 1
+                        change[i + length] -= 1
+                        items.setdefault(d, set()).update(names)
         return start, end, bounds, np.cumsum(change)[:-1] > 0, items
 
 
@@ -106,26 +102,33 @@ def blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) ->
 
 
 FOUND = "n_words bigint, hits array<struct<first: int, last: int>>, items array<string>"
-_HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+NEW = ("n_words", "hits", "items")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, most: int, keep: list[str] | None = None) -> DataFrame:
+    """(row, n_words, hits, items): every row of ``docs`` with all its columns (or ``keep``) in ``row``, so that no names clash; text comes too."""
+    out = small_batches(docs).select(F.struct(*(keep if keep is not None else ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = out.schema["row"].dataType.simpleString()
+    for k, windows in enumerate(blocks(benchmark, width, most)):
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+        out = out.mapInArrow(released(_scanner(shared, k == 0)), f"row {kind}, text string, {FOUND}")
+    return out
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, most: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` (columns ``keep``; all by default) with n_words, the maximal runs of hit words (numbers, last excluded) and the items found.
 
-    One scan for each block of the benchmark and no shuffle. Names that clash with the three new columns are an error of the caller.
+    One scan for each block of the benchmark and no shuffle.
     """
-    out = docs.select(*(keep if keep is not None else docs.columns), *([F.col("text").alias("__text")]))
-    for k, windows in enumerate(blocks(benchmark, width)):
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
-        out = out.mapInArrow(_scanner(shared, k == 0), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("n_words", "hits", "items")) + ", " + FOUND)
-    return out.drop("__text")
+    stay = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in NEW]
+    return _found(docs, benchmark, width, most, stay or ["text"]).select(*(F.col("row")[c].alias(c) for c in stay), *NEW)
 
 
 def _scanner(shared, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         for batch in batches:
-            for part in slices(batch.column("__text")):
+            for part in slices(batch.column("text")):
                 rows = batch.slice(part.first, part.n)
                 start, _, bounds, hit, items = windows.hits(part)
                 found = [items.get(i, set()) for i in range(part.n)]
@@ -159,15 +162,14 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    return judged(scan(docs, benchmark, width)).where(~F.col("contaminated")).select(*docs.columns)
+    return judged(_found(docs, benchmark, width, most)).where(~F.col("contaminated")).select("row.*")
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) -> DataFrame:
     """All documents, every run of hit words cut from their texts (the marks between its words too)."""
-    found = scan(docs, benchmark, width)
-    names = docs.columns
+    found = _found(docs, benchmark, width, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,9 +187,10 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Data
                         at = end[bounds[i] + x["last"] - 1]
                     out.append(part.data[at : part.ends[i]].tobytes())
                     texts.append(b"".join(out).decode())
-                yield pa.record_batch([pa.array(texts, rows.column("text").type) if c == "text" else rows.column(c) for c in names], names=names)
+                yield pa.record_batch([rows.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return found.mapInArrow(run, docs.schema)
+    cut = found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, text string")
+    return cut.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import fold, labelled_sample, table
+from ._jobs import fold, labelled_sample, released, small_batches, table
 from ._text import ALNUM, BYTE_EXACT, NON_SPACE, Slice, gram_hashes, slices, span_hash, prefix_sums, _BASE
 
 #: Weights of the model: 2**BITS.
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     """Fit on at most ``rows`` labelled rows outside the held-out fold (a bounded sample; see the README)."""
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
     examples = []
-    for row in sample.mapInArrow(_sparse, "i binary, v binary, label int").toLocalIterator():
+    for row in small_batches(sample).mapInArrow(released(_sparse), "i binary, v binary, label int").toLocalIterator():
         index = np.frombuffer(row["i"], dtype=np.int32)
         value = np.frombuffer(row["v"], dtype=np.float32)
         examples.append((np.concatenate([[0], index]), np.concatenate([[1.0], value]), row["label"]))
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: QualityModel, keep: str = "doc_id") -> DataFra
             found = [own.scores(part) for part in slices(batch.column("text"))]
             yield pa.record_batch([batch.column(keep), pa.array(np.concatenate(found) if found else np.zeros(0))], names=[keep, "score"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} bigint, score double")
+    return small_batches(docs).select(keep, "text").mapInArrow(released(run), f"{keep} bigint, score double")
 
 
 def filter_documents(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,7 +142,7 @@ def filter_documents(docs: DataFrame, model: QualityModel, threshold: float = TH
             for part in slices(batch.column("text")):
                 yield batch.slice(part.first, part.n).filter(pa.array(own.scores(part) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(released(run), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
