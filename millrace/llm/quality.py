@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import fold, labelled_sample, released, small_batches, table
+from ._jobs import fold, labelled_sample, release, released, small_batches, table
 from ._text import ALNUM, BYTE_EXACT, NON_SPACE, Slice, gram_hashes, slices, span_hash, prefix_sums, _BASE
 
 #: Weights of the model: 2**BITS.
@@ -114,9 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     for row in small_batches(sample).mapInArrow(released(_sparse), "i binary, v binary, label int").toLocalIterator():
         index = np.frombuffer(row["i"], dtype=np.int32)
         value = np.frombuffer(row["v"], dtype=np.float32)
-        examples.append((np.concatenate([[0], index]), np.concatenate([[1.0], value]), row["label"]))
+        examples.append((np.append(np.int32(0), index), np.append(np.float32(1), value), row["label"]))
     examples.sort(key=lambda x: (len(x[0]), x[2], x[0].tobytes()))  # the same order on every run
-    return ftrl(examples)
+    model = ftrl(examples)
+    examples.clear()
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, keep: str = "doc_id") -> DataFrame:
