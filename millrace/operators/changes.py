@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANGE = "`database` string, `table` string, type string, ts bigint, data map<string,string>, old map<string,string>"
 
 
 def parsed(raw: DataFrame, schema: str = CHANGE, value: str = "value") -> DataFrame:
-    """JSON text into columns; malformed, empty and null texts go."""
-    return raw.select(F.from_json(value, schema).alias("r")).where("r is not null").select("r.*")
+    """JSON text into columns; malformed, empty and null texts go, and records without any of the columns.
+
+    The text is parsed behind a generator, which Catalyst does not copy into every expression that uses a column.
+    """
+    found = raw.select(F.inline(F.array(F.from_json(value, schema))))
+    return found.where(reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNotNull() for c in found.columns)))
 
 
 def cleaned(changes: DataFrame, database: str, types: Sequence[str] | None = None, without: Sequence[str] = ()) -> DataFrame:
@@ -42,8 +46,18 @@ def projected(changes: DataFrame, *columns: str, **renamed: str) -> DataFrame:
     return changes.select(*(F.col("data")[c].alias(c) for c in columns), *(F.col("data")[c].alias(n) for n, c in renamed.items()), "ts")
 
 
+def cdc(row: str) -> str:
+    """Schema of change records as a log-based capture writes them: op (r: snapshot, c, u, d), before, after, ts_ms; ``row`` is that of the table."""
+    return f"op string, before struct<{row}>, after struct<{row}>, ts_ms bigint"
+
+
+def captured(raw: DataFrame, row: str, value: str = "value") -> DataFrame:
+    """(op, columns of the row image): raw capture records of one table; malformed ones go."""
+    return unwrapped(parsed(raw, cdc(row), value).where("op is not null"))
+
+
 def unwrapped(cdc: DataFrame) -> DataFrame:
-    """Row image of configuration records (op, before, after): the earlier one where op is d, else the later one."""
+    """Row image of capture records (op, before, after): the earlier one where op is d, else the later one."""
     return cdc.select("op", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")).alias("row")).select("op", "row.*")
 
 
@@ -58,11 +72,15 @@ def routed(changes: DataFrame, config: DataFrame, keys: Sequence[tuple[str, str]
     return joined.withColumn("data", F.map_filter("data", lambda k, _: F.array_contains(names, k)))
 
 
-def upserted(changes: DataFrame, key: str, columns: Sequence[str], deleted: Column, order: str = "ts") -> DataFrame:
+def upserted(changes: DataFrame, key: str, columns: Sequence[str], deleted: Column, order: Sequence[str] = ("ts",)) -> DataFrame:
     """State of a keyed table after all changes: for each column the last value that is not null since the last delete.
 
-    One shuffle: the window over the key and the aggregation by it share the partitioning.
+    ``order`` says which change is later; times alone often tie, so add a sequence where there is one. Changes that
+    still tie: deletes come first, and of several values the greatest stays. One aggregate, combined before its shuffle.
     """
-    gone = F.max(F.when(deleted, F.col(order))).over(Window.partitionBy(key))
-    live = changes.withColumn("__gone", gone).where(F.col("__gone").isNull() | (F.col(order) > F.col("__gone")))
-    return live.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
+    at = F.struct(*order)
+    put = ~F.coalesce(deleted, F.lit(False))
+    last = [F.max(F.when(put & F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"__{k}") for k, c in enumerate(columns)]
+    found = changes.groupBy(key).agg(F.max(F.when(~put, at)).alias("__gone"), F.max(F.when(put, at)).alias("__put"), *last)
+    since = lambda c: F.col("__gone").isNull() | (F.col(c) >= F.col("__gone"))
+    return found.where(F.col("__put").isNotNull() & since("__put")).select(key, *(F.when(since(f"__{k}.at"), F.col(f"__{k}.v")).alias(c) for k, c in enumerate(columns)))

@@ -1,7 +1,8 @@
-"""Keyed state as window functions: first of day, first ever, returning users, deltas of repeated rows.
+"""Keyed state in batch: first of day, first ever, returning users, first visits, deltas of repeated rows.
 
-Rows are taken in the order of ``order``; give enough columns to make it total. One shuffle by the key, which a later
-aggregation by the same key reuses.
+Rows are taken in the order of ``order``; give enough columns to make it total. What needs only first rows is an
+aggregate by key and day, combined before its shuffle and split by day, so that one busy key is no large task; the
+rest are window functions over what is left.
 """
 
 from __future__ import annotations
@@ -16,41 +17,53 @@ def _by(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def first_of_day(keys: Sequence[str], ts: str, order: Sequence[str]) -> Column:
-    """1 on a key's first row of a day, else 0."""
-    day = F.to_date(ts)
-    return (~day.eqNullSafe(F.lag(day).over(_by(keys, order)))).cast("int")
+def firsts(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each combination of ``keys`` (columns ``columns``, all by default)."""
+    rest = [c for c in (columns if columns is not None else df.columns) if c not in order]
+    return df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__r")).select(*(F.col("__r")[c].alias(c) for c in (columns if columns is not None else df.columns)))
+
+
+def firsts_of_day(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each key and day."""
+    return firsts(df, [*keys, F.to_date(ts)], order, columns)
 
 
 def first_ever(keys: Sequence[str], order: Sequence[str]) -> Column:
+    """1 on a key's first row of all, else 0. Give it the first rows of days only."""
     return (F.row_number().over(_by(keys, order)) == 1).cast("int")
 
 
 def returning(keys: Sequence[str], ts: str, order: Sequence[str], days: int = 7) -> Column:
-    """1 where a row comes more than ``days`` times 24 hours after the midnight that began the key's last active day."""
+    """1 where a row comes more than ``days`` times 24 hours after the midnight that began the key's last active day.
+
+    Give it the first rows of days only: then a key has one row a day at most.
+    """
     last = F.date_trunc("day", F.lag(ts).over(_by(keys, order))).cast("timestamp_ntz")
     return F.coalesce((F.col(ts).cast("timestamp_ntz") > last + F.expr(f"interval {days} days")).cast("int"), F.lit(0))
 
 
-def first_visit(df: DataFrame, key: str, ts: str = "ts", is_new: str = "is_new") -> DataFrame:
-    """First visit date of each key: the date of its first row, or the day before where that row says the visitor is known."""
+def first_visit(df: DataFrame, key: str, ts: str = "ts", is_new: str = "is_new", order: Sequence[str] | None = None) -> DataFrame:
+    """First visit date of each key: the date of its first row, or the day before where that row says the visitor is known.
+
+    Rows that are neither new ("1") nor known ("0") do not count. Of rows that tie in ``order`` (by default ``ts``) a known one is first.
+    """
     day = F.to_date(ts)
     known = F.when(F.col(is_new) == "0", F.date_sub(day, 1)).otherwise(day)
-    return df.where(F.col(is_new).isin("0", "1")).groupBy(key).agg(F.min_by(known, F.col(ts)).alias("first_visit"))
+    first = F.min(F.struct(*(order or [ts]), known.alias("__visit")))
+    return df.where(F.col(is_new).isin("0", "1")).groupBy(key).agg(first["__visit"].alias("first_visit"))
+
 
+def repaired_is_new(df: DataFrame, key: str, ts: str = "ts", is_new: str = "is_new", order: Sequence[str] | None = None) -> DataFrame:
+    """Visitors that claim to be new on another day than their first visit are known.
 
-def repaired_is_new(df: DataFrame, key: str, ts: str = "ts", is_new: str = "is_new") -> DataFrame:
-    """Visitors that claim to be new on a later day than their first are known."""
-    first = F.min(F.to_date(ts)).over(Window.partitionBy(key))
-    return df.withColumn(is_new, F.when((F.col(is_new) == "1") & (F.to_date(ts) > first), "0").otherwise(F.col(is_new)))
+    The first visits are an aggregate; joining them lets Spark broadcast them or split a busy key.
+    """
+    visits = first_visit(df, key, ts, is_new, order).select(F.col(key).alias("__key"), "first_visit")
+    late = (F.col(is_new) == "1") & (F.to_date(ts) != F.col("first_visit"))
+    return df.join(visits, F.col(key) == F.col("__key"), "left").withColumn(is_new, F.when(late, "0").otherwise(F.col(is_new))).drop("__key", "first_visit")
 
 
 def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], amounts: Sequence[str]) -> DataFrame:
     """Each amount less the one that the same key had before, so that sums count the last version of a row only."""
     w = _by(keys, order)
     return df.select(*(c for c in df.columns if c not in amounts), *((F.col(a) - F.coalesce(F.lag(a).over(w), F.lit(0))).alias(a) for a in amounts))
-
-
-def one_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("__k", F.row_number().over(_by(keys, order))).where("__k = 1").drop("__k")

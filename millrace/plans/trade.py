@@ -20,16 +20,60 @@ def _dictionary(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.one_of(table(spark, sf_dir, "lineitem"), LINE, LINE_ORDER)
+    return keyed.firsts(table(spark, sf_dir, "lineitem"), LINE, LINE_ORDER, [*LINE, *LINE_ORDER])
 
 
-def order_detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_details(detail: DataFrame, orders: DataFrame, activity: DataFrame, coupon: DataFrame, key: list[str], order_id: str = "order_id") -> DataFrame:
     """Details with their order, and with activity and coupon where there are any: one final row for each detail."""
-    detail, orders = _details(spark, sf_dir), table(spark, sf_dir, "orders")
+    return detail.join(orders, order_id).join(activity, key, "left").join(coupon, key, "left")
+
+
+def order_detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detail = _details(spark, sf_dir)  # one aggregate, whose exchange all three uses share
     activity = detail.where("l_discount > 0.05").select(*LINE, F.col("l_discount").alias("activity"))
     coupon = detail.where("l_tax > 0.04").select(*LINE, F.col("l_tax").alias("coupon"))
-    base = detail.select(*LINE, "l_partkey", "l_quantity", "l_extendedprice").join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return base.drop("o_orderkey").join(activity, LINE, "left").join(coupon, LINE, "left")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
+    found = order_details(detail.select(*LINE, "l_partkey", "l_quantity", "l_extendedprice"), orders, activity, coupon, LINE, "l_orderkey")
+    return found.select(*LINE, "l_partkey", "l_quantity", "l_extendedprice", "o_custkey", "o_orderstatus", "activity", "coupon")
+
+
+def _amounts(lines: DataFrame) -> DataFrame:
+    """Lines with the four amounts of an order detail: before and after what activity and coupon take off."""
+    price = F.col("l_extendedprice").cast(MONEY)
+    cut = lambda c: F.round(price * F.col(c).cast("decimal(9,4)"), 2).cast(MONEY)
+    found = lines.withColumn("original_amount", price).withColumn("activity_reduce_amount", cut("l_discount")).withColumn("coupon_reduce_amount", cut("l_tax"))
+    return found.withColumn("order_amount", (F.col("original_amount") - F.col("activity_reduce_amount") - F.col("coupon_reduce_amount")).cast(MONEY))
+
+
+AMOUNTS = ["original_amount", "activity_reduce_amount", "coupon_reduce_amount", "order_amount"]
+
+
+def order_cancel_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancelled orders (status F) with each of their details once and its amounts, where the detail came at most 30 days after the order."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    detail = _amounts(_details(spark, sf_dir)).select(*LINE, "l_partkey", "l_quantity", "l_shipdate", *AMOUNTS[1:])
+    found = detail.join(orders, "l_orderkey").where(F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("interval 30 days"))
+    return found.select(
+        *LINE, "o_custkey", "l_partkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("cancel_time"), F.col("l_quantity").alias("sku_num"),
+        *(F.col(a).cast("double").alias(a) for a in AMOUNTS[1:]),
+    )
+
+
+def sku_facts_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four amounts of each part in windows of 10 seconds. Repeated details count once, with their last amounts; the supplier is that
+    of the window's first detail; names of six look-ups come after the sums."""
+    lines = _amounts(table(spark, sf_dir, "lineitem")).select(*LINE, *LINE_ORDER, *AMOUNTS)
+    changed = keyed.deltas(lines, LINE, LINE_ORDER, AMOUNTS)
+    first = F.min(F.struct(*LINE, "l_suppkey"))["l_suppkey"].alias("spu_id")
+    found = windows.tumbling(changed, "l_shipdate", "10 seconds", ["l_partkey"], first, *(F.sum(c).cast("double").alias(c) for c in AMOUNTS))
+    part = table(spark, sf_dir, "part")
+    brands, kinds = part.groupBy("p_brand").agg(F.min("p_name").alias("tm_name")), part.groupBy("p_type").agg(F.max("p_name").alias("name"))
+    tables = {"part": part, "brand": brands, "kind": kinds} | {t: table(spark, sf_dir, t) for t in ("supplier", "nation", "region")}
+    return enrich_all(
+        found, tables, Dim("part", "p_partkey", "l_partkey", {"p_name": "sku_name", "p_brand": "tm_id", "p_type": "category3_id"}), Dim("supplier", "s_suppkey", "spu_id", {"s_name": "spu_name", "s_nationkey": "category2_id"}),
+        Dim("brand", "p_brand", "tm_id", {"tm_name": "tm_name"}), Dim("kind", "p_type", "category3_id", {"name": "category3_name"}),
+        Dim("nation", "n_nationkey", "category2_id", {"n_name": "category2_name", "n_regionkey": "category1_id"}), Dim("region", "r_regionkey", "category1_id", {"r_name": "category1_name"}),
+    )
 
 
 def order_cancel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +148,7 @@ _ORDER = ", ".join(LINE_ORDER)
 _LAG = f"OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ORDER})"
 _DIC = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FLAGS + PRIORITIES) + ") AS {0}(dic_code, dic_name)"
 _PRI = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PRIORITIES) + ") AS {0}(dic_code, dic_name)"
+_CUT = "CAST(l_extendedprice AS DECIMAL(18,2)) AS o, " + ", ".join(f"CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST({x} AS DECIMAL(9,4)), 2) AS DECIMAL(18,2)) AS {n}" for x, n in (("l_discount", "a"), ("l_tax", "c")))
 _DETAIL = f"(SELECT * FROM lineitem QUALIFY ROW_NUMBER() {_LAG} = 1)"
 SQL = {
     "order_detail_join": f"""
@@ -112,6 +157,19 @@ SQL = {
         FROM d JOIN orders ON d.l_orderkey = o_orderkey
         LEFT JOIN (SELECT * FROM d WHERE l_discount > 0.05) a ON a.l_orderkey = d.l_orderkey AND a.l_linenumber = d.l_linenumber
         LEFT JOIN (SELECT * FROM d WHERE l_tax > 0.04) c ON c.l_orderkey = d.l_orderkey AND c.l_linenumber = d.l_linenumber""",
+    "order_cancel_facts": f"""
+        WITH d AS (SELECT *, {_CUT} FROM {_DETAIL})
+        SELECT l_orderkey, l_linenumber, o_custkey, l_partkey, strftime(o_orderdate, '%Y-%m-%d') AS date_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS cancel_time, l_quantity AS sku_num,
+            CAST(a AS DOUBLE) AS activity_reduce_amount, CAST(c AS DOUBLE) AS coupon_reduce_amount, CAST(o - a - c AS DOUBLE) AS order_amount
+        FROM d JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_shipdate <= o_orderdate + INTERVAL 30 DAY""",
+    "sku_facts_window": f"""
+        WITH m AS (SELECT *, o - a - c AS f FROM (SELECT *, {_CUT} FROM lineitem)),
+        l AS (SELECT *, {", ".join(f"{x} - COALESCE(LAG({x}) {_LAG}, 0) AS {x}d" for x in "oacf")} FROM m),
+        w AS (SELECT {edges_sql("l_shipdate", 10)}, l_partkey, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) AS spu_id, CAST(SUM(od) AS DOUBLE) AS original_amount, CAST(SUM(ad) AS DOUBLE) AS activity_reduce_amount,
+            CAST(SUM(cd) AS DOUBLE) AS coupon_reduce_amount, CAST(SUM(fd) AS DOUBLE) AS order_amount FROM l GROUP BY ALL)
+        SELECT w.*, p_name AS sku_name, p.p_brand AS tm_id, p.p_type AS category3_id, s_name AS spu_name, s_nationkey AS category2_id, b.m AS tm_name, k.m AS category3_name, n_name AS category2_name, n_regionkey AS category1_id, r_name AS category1_name
+        FROM w LEFT JOIN part p ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = spu_id LEFT JOIN (SELECT p_brand, MIN(p_name) AS m FROM part GROUP BY 1) b ON b.p_brand = p.p_brand
+        LEFT JOIN (SELECT p_type, MAX(p_name) AS m FROM part GROUP BY 1) k ON k.p_type = p.p_type LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""",
     "order_cancel_join": """
         SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS cancel_time
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""",
@@ -147,5 +205,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (order_detail_join, order_cancel_join, payment_interval_join, refund_join, refund_pay_join, comment_lookup, cart_add_delta, sku_order_window, province_order_window)
+    for f in (order_detail_join, order_cancel_facts, sku_facts_window, order_cancel_join, payment_interval_join, refund_join, refund_pay_join, comment_lookup, cart_add_delta, sku_order_window, province_order_window)
 }

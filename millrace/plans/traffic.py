@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import split_words, tokens
-from millrace.operators import keyed, windows
+from millrace.operators import keyed, rules, windows
+from millrace.sources import serving
 
 from .inputs import MONEY, PAGE_LOG_SQL, edges_sql, page_log, table
 
@@ -18,19 +19,24 @@ def total(column, name):
 
 
 def page_view_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = page_log(spark, sf_dir).withColumn("uv", keyed.first_of_day(["mid"], "ts", ORDER))
-    return windows.tumbling(log, "ts", "10 seconds", ["ch", "vc", "ar", "is_new"], total("uv", "uv_ct"), total("sv", "sv_ct"), F.count("*").alias("pv_ct"), F.sum("dur").cast("double").alias("dur_sum"))
+    """All views and each visitor's first ones of a day are summed together: two partial aggregates instead of a sort of every view."""
+    log = page_log(spark, sf_dir)
+    dims = ["ch", "vc", "ar", "is_new"]
+    views = log.select("ts", *dims, F.lit(0).alias("uv"), "sv", F.lit(1).alias("pv"), "dur")
+    visitors = keyed.firsts_of_day(log, ["mid"], "ts", ORDER, [*ORDER, *dims]).select("ts", *dims, F.lit(1).alias("uv"), F.lit(0).alias("sv"), F.lit(0).alias("pv"), F.lit(None).cast(MONEY).alias("dur"))
+    return windows.tumbling(views.unionByName(visitors), "ts", "10 seconds", dims, total("uv", "uv_ct"), total("sv", "sv_ct"), total("pv", "pv_ct"), F.sum("dur").cast("double").alias("dur_sum"))
 
 
 def home_detail_uv_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = page_log(spark, sf_dir).where(F.col("event_type").isin("view", "click")).withColumn("uv", keyed.first_of_day(["mid", "event_type"], "ts", ORDER)).where("uv = 1")
-    return windows.tumbling(log, "ts", "10 seconds", [], F.count_if(F.col("event_type") == "view").alias("home_uv_ct"), F.count_if(F.col("event_type") == "click").alias("good_detail_uv_ct"))
+    log = rules.home_or_detail(page_log(spark, sf_dir), "event_type", home="view", detail="click")
+    first = keyed.firsts_of_day(log, ["mid", "event_type"], "ts", ORDER, [*ORDER, "event_type"])
+    return windows.tumbling(first, "ts", "10 seconds", [], F.count_if(F.col("event_type") == "view").alias("home_uv_ct"), F.count_if(F.col("event_type") == "click").alias("good_detail_uv_ct"))
 
 
 def login_back_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = page_log(spark, sf_dir).where("event_type = 'signup'")
-    log = log.withColumn("uu", keyed.first_of_day(["mid"], "ts", ORDER)).withColumn("back", keyed.returning(["mid"], "ts", ORDER)).where("uu = 1")
-    return windows.tumbling(log, "ts", "10 seconds", [], total("uu", "uu_ct"), total("back", "back_ct"))
+    first = keyed.firsts_of_day(log, ["mid"], "ts", ORDER, ["mid", *ORDER]).withColumn("back", keyed.returning(["mid"], "ts", ORDER))
+    return windows.tumbling(first, "ts", "10 seconds", [], F.count("*").alias("uu_ct"), total("back", "back_ct"))
 
 
 def register_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,22 +44,30 @@ def register_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cart_uu_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = page_log(spark, sf_dir).where("event_type = 'click'").withColumn("uu", keyed.first_of_day(["mid"], "ts", ORDER)).where("uu = 1")
-    return windows.tumbling(log, "ts", "10 seconds", [], total("uu", "cart_add_uu_ct"))
+    first = keyed.firsts_of_day(page_log(spark, sf_dir).where("event_type = 'click'"), ["mid"], "ts", ORDER, ["ts", "event_id"])
+    return windows.tumbling(first, "ts", "10 seconds", [], F.count("*").alias("cart_add_uu_ct"))
 
 
 def payment_uu_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payer's first row of all is the first of its days' first rows."""
     log = page_log(spark, sf_dir).where("event_type = 'purchase'")
-    log = log.withColumn("uu", keyed.first_of_day(["mid"], "ts", ORDER)).withColumn("new", keyed.first_ever(["mid"], ORDER)).where("uu = 1")
-    return windows.tumbling(log, "ts", "5 seconds", [], total("uu", "payment_suc_unique_user_ct"), total("new", "payment_suc_new_user_ct"))
+    first = keyed.firsts_of_day(log, ["mid"], "ts", ORDER, ["mid", *ORDER]).withColumn("new", keyed.first_ever(["mid"], ORDER))
+    return windows.tumbling(first, "ts", "5 seconds", [], F.count("*").alias("payment_suc_unique_user_ct"), total("new", "payment_suc_new_user_ct"))
 
 
 def visitor_first_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.first_visit(page_log(spark, sf_dir), "mid").select("mid", F.date_format("first_visit", "yyyy-MM-dd").alias("first_visit"))
+    return keyed.first_visit(page_log(spark, sf_dir), "mid", order=ORDER).select("mid", F.date_format("first_visit", "yyyy-MM-dd").alias("first_visit"))
 
 
 def is_new_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.repaired_is_new(page_log(spark, sf_dir), "mid").select("event_id", "mid", "is_new")
+    return keyed.repaired_is_new(page_log(spark, sf_dir), "mid", order=ORDER).select("event_id", "mid", "is_new")
+
+
+def is_new_repair_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visitors whose rows disagree: every third claims to be known, every seventh says neither; times tie within an hour."""
+    log = page_log(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "ts"))
+    log = log.withColumn("is_new", F.when(F.col("event_id") % 7 == 0, "2").when(F.col("event_id") % 3 == 0, "0").otherwise("1"))
+    return keyed.repaired_is_new(log, "mid", order=ORDER).select("event_id", "mid", "is_new")
 
 
 def _keywords(spark: SparkSession, sf_dir: str, tokenizer=lambda c: tokens(c, "[A-Za-z0-9]+")) -> DataFrame:
@@ -81,12 +95,8 @@ def keyword_totals_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five channel figures of every day in one aggregate; a day without sessions has null ratios."""
-    sv = F.sum("sv_ct").cast("double")
-    return page_view_window(spark, sf_dir).groupBy("cur_date", "ch").agg(
-        total("uv_ct", "uv_ct"), total("sv_ct", "sv_ct"), F.try_divide(F.sum("pv_ct").cast("double"), sv).alias("pv_per_session"),
-        (F.try_divide(F.sum(F.col("dur_sum").cast(MONEY)).cast("double"), sv) / 100).alias("dur_per_session"), F.try_divide(F.count_if(F.col("pv_ct") == 1).cast("double"), sv).alias("uj_rate"),
-    )
+    """The five channel figures of every day."""
+    return serving.channel_figures(page_view_window(spark, sf_dir), "cur_date")
 
 
 _FIRST = "CASE WHEN CAST(ts AS DATE) IS NOT DISTINCT FROM LAG(CAST(ts AS DATE)) OVER (PARTITION BY {k} ORDER BY ts, event_id) THEN 0 ELSE 1 END"
@@ -120,8 +130,13 @@ SQL = {
         SELECT mid, strftime(arg_min(CASE WHEN is_new = '0' THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END, ts), '%Y-%m-%d') AS first_visit
         FROM ({PAGE_LOG_SQL}) GROUP BY mid""",
     "is_new_repair": f"""
-        SELECT event_id, mid, CASE WHEN is_new = '1' AND CAST(ts AS DATE) > MIN(CAST(ts AS DATE)) OVER (PARTITION BY mid) THEN '0' ELSE is_new END AS is_new
-        FROM ({PAGE_LOG_SQL})""",
+        SELECT event_id, p.mid, CASE WHEN is_new = '1' AND CAST(ts AS DATE) <> d THEN '0' ELSE is_new END AS is_new
+        FROM ({PAGE_LOG_SQL}) p JOIN (
+            SELECT mid, arg_min(CASE WHEN is_new = '0' THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END, ts) AS d FROM ({PAGE_LOG_SQL}) GROUP BY mid) v ON v.mid = p.mid""",
+    "is_new_repair_mixed": f"""
+        WITH l AS (SELECT event_id, mid, date_trunc('hour', ts) AS h, CASE WHEN event_id % 7 = 0 THEN '2' WHEN event_id % 3 = 0 THEN '0' ELSE '1' END AS n FROM ({PAGE_LOG_SQL})),
+        v AS (SELECT mid, CASE WHEN n = '0' THEN CAST(h AS DATE) - 1 ELSE CAST(h AS DATE) END AS d FROM l WHERE n IN ('0', '1') QUALIFY ROW_NUMBER() OVER (PARTITION BY mid ORDER BY h, event_id) = 1)
+        SELECT event_id, l.mid, CASE WHEN n = '1' AND CAST(h AS DATE) <> d THEN '0' ELSE n END AS is_new FROM l LEFT JOIN v ON l.mid = v.mid""",
     "keyword_window": _KEYWORDS,
     "keyword_totals": f"SELECT cur_date, keyword, CAST(SUM(keyword_count) AS BIGINT) AS keyword_count FROM ({_KEYWORDS}) GROUP BY ALL",
     "channel_stats": f"""
@@ -133,7 +148,7 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (page_view_window, home_detail_uv_window, login_back_window, register_window, cart_uu_window, payment_uu_window, visitor_first_visit, is_new_repair, keyword_window, keyword_totals, channel_stats)
+    for f in (page_view_window, home_detail_uv_window, login_back_window, register_window, cart_uu_window, payment_uu_window, visitor_first_visit, is_new_repair, is_new_repair_mixed, keyword_window, keyword_totals, channel_stats)
 }
 #: Without SQL: DuckDB's lower and character classes need not be Spark's.
 WITHOUT_SQL = {f.__name__: f for f in (keyword_window_unicode, keyword_totals_unicode)}

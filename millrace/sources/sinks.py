@@ -1,10 +1,14 @@
-"""Sinks: JSON records with snake_case names, partitioned tables, and keyed upserts in micro-batches."""
+"""Sinks: JSON records with snake_case names, partitioned and routed tables, keyed upserts and dimensions in micro-batches.
+
+Sinks of micro-batches write a batch's number into the path, so that a repeated batch replaces its own files.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import renamed, to_snake
@@ -25,11 +29,109 @@ def stream_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
 
 
-def latest_by_key(key: Sequence[str], order: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that gives ``write`` the last row of every key of a micro-batch."""
+def latest_by_key(key: Sequence[str], order: Sequence[str], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that gives ``write`` the last row of every key of a micro-batch; of rows that tie, the greatest."""
 
     def each(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        rest = [c for c in batch.columns if c not in order]
+        last = batch.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("__r")).select(*(F.col("__r")[c].alias(c) for c in batch.columns))
         write(last, number)
 
     return each
+
+
+def routed_to(path: str, by: str = "sink_table") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each row to the folder its column ``by`` names."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={number}")
+
+    return each
+
+
+def routed_table(spark: SparkSession, path: str, name: str, by: str = "sink_table") -> DataFrame:
+    """The rows that ``routed_to`` wrote for one name; other folders are not read."""
+    return spark.read.parquet(path).where(F.col(by) == name).drop(by, "batch")
+
+
+class Dimension:
+    """A keyed table kept up by micro-batches of changes: nulls leave a column as it is, deletes remove the row.
+
+    Rows lie in ``buckets`` folders by a hash of their key. A micro-batch merges and writes the buckets it touches, each
+    in a folder with its number; readers take the latest of each bucket, and earlier ones but the last are deleted.
+    Every column keeps the order of its last change, so changes may come late. Deleted keys are kept as such.
+    """
+
+    def __init__(self, path: str, key: str, columns: Sequence[str], order: Sequence[str] = ("ts",), buckets: int = 64):
+        self.path, self.key, self.columns, self.order, self.buckets = path, key, list(columns), list(order), buckets
+
+    def _folders(self, spark: SparkSession) -> dict[int, list[int]]:
+        """Numbers of the batches that wrote each bucket; one listing of at most a few folders a bucket."""
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/number=*")
+        found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path) or []
+        out: dict[int, list[int]] = {}
+        for x in found:
+            if m := re.search(r"bucket=(\d+)/number=(\d+)$", str(x.getPath())):
+                out.setdefault(int(m[1]), []).append(int(m[2]))
+        return out
+
+    def _stored(self, spark: SparkSession, folders: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/bucket={b}/number={n}" for b, n in folders.items()]
+        return spark.read.parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, deleted: Column, number: int) -> None:
+        """Take in the changes of one micro-batch; repeating a number gives the same table."""
+        spark = batch.sparkSession
+        order = F.struct(*self.order)
+        last = [F.max(F.when(~deleted & F.col(c).isNotNull(), F.struct(order.alias("at"), F.col(c).alias("v")))).alias(c) for c in self.columns]
+        new = batch.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max(F.when(deleted, order)).alias("gone"), F.max(F.when(~deleted, order)).alias("put"), *last)
+        new = new.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]
+            before = {b: max((k for k in ns if k < number), default=None) for b, ns in self._folders(spark).items() if b in touched}
+            old = self._stored(spark, {b: n for b, n in before.items() if n is not None})
+            every = new if old is None else old.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).select(*new.columns).unionByName(new)
+            merged = every.groupBy("bucket", self.key).agg(*(F.max(c).alias(c) for c in ("gone", "put", *self.columns)))
+            stage = f"{self.path}/_stage-{number}"
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(stage)
+            path = spark._jvm.org.apache.hadoop.fs.Path
+            fs = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+            for b in touched:
+                to = path(f"{self.path}/bucket={b}/number={number}")
+                fs.delete(to, True)
+                fs.mkdirs(to.getParent())
+                fs.rename(path(f"{stage}/bucket={b}"), to)
+            fs.delete(path(stage), True)
+            for b, ns in self._folders(spark).items():
+                for n in sorted(ns)[:-2]:
+                    fs.delete(path(f"{self.path}/bucket={b}/number={n}"), True)
+        finally:
+            new.unpersist()
+
+    def sink(self, deleted: Column) -> Callable[[DataFrame, int], None]:
+        return lambda batch, number: self.merge(batch, deleted, number)
+
+    def table(self, spark: SparkSession) -> DataFrame | None:
+        """The rows as they are now; None before the first batch."""
+        stored = self._stored(spark, {b: max(ns) for b, ns in self._folders(spark).items()})
+        if stored is None:
+            return None
+        since = lambda c: F.col("gone").isNull() | (F.col(c) >= F.col("gone"))
+        return stored.where(F.col("put").isNotNull() & since("put")).select(self.key, *(F.when(since(f"{c}.at"), F.col(f"{c}.v")).alias(c) for c in self.columns))
+
+
+def create_table(spark: SparkSession, name: str, columns: str, partitioned_by: Sequence[str] = ()) -> bool:
+    """Create a Parquet table; False, and nothing done, where it exists or no columns are given."""
+    if not columns.strip() or spark.catalog.tableExists(name):
+        return False
+    by = f" PARTITIONED BY ({', '.join(partitioned_by)})" if partitioned_by else ""
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet{by}")
+    return True
+
+
+def drop_table(spark: SparkSession, name: str) -> bool:
+    """Drop a table; False where there is none."""
+    if not spark.catalog.tableExists(name):
+        return False
+    spark.sql(f"DROP TABLE {name}")
+    return True

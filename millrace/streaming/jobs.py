@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from millrace.operators.changes import routed
 from millrace.operators.windows import tumbling
 
 DELAY = "5 seconds"
@@ -28,3 +33,37 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
     for x, y in keys:
         on &= a[x] == b[y]
     return a.join(b, on, how)
+
+
+@dataclass(frozen=True)
+class Job:
+    """A streaming job: where rows come from, what is made of them, and where each micro-batch goes.
+
+    ``run`` starts it; with ``once`` it takes what is there and ends. Spark's checkpoint folder gives every micro-batch
+    its number, and the sinks of ``millrace.sources.sinks`` write a number's rows once however often it is repeated.
+    """
+
+    name: str
+    source: Callable[[SparkSession], DataFrame]
+    transform: Callable[[DataFrame], DataFrame]
+    sink: Callable[[DataFrame, int], None]
+    checkpoint: str
+    every: str = "2 seconds"
+
+    def run(self, spark: SparkSession, once: bool = False) -> StreamingQuery:
+        writer = self.transform(self.source(spark)).writeStream.queryName(self.name).option("checkpointLocation", self.checkpoint).foreachBatch(self.sink)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.every)).start()
+
+
+def routing(config: Callable[[SparkSession], DataFrame], keys: Sequence[tuple[str, str]], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that routes a micro-batch by the configuration as it is then: changes hold from the next one on."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        write(routed(batch, config(batch.sparkSession), keys), number)
+
+    return each
+
+
+def order_counts(stream: DataFrame, ts: str, size: str, key: str, order_id: str, amount: str, delay: str = DELAY) -> DataFrame:
+    """Sum and number of different orders of each window and key; streams cannot count distinct values, so a set is kept."""
+    return windowed(stream, ts, size, [key], F.sum(amount).alias("order_amount"), F.size(F.collect_set(order_id)).alias("order_count"), delay=delay)
