@@ -2,11 +2,16 @@
 
 1. Every window of WIDTH bytes names the smallest hash among its 64-byte strings, so equal windows name the same one
    at the same place; a run of windows that name one place is a snippet. Blocks count snippets and named strings over all documents.
-2. A snippet that comes twice is repeated as a whole. Where different snippets name the same string, they meet in
-   groups; the rest of the corpus holds no repeated window.
-3. A group's snippets are cut into phrases at places that their bytes decide, and the phrases' suffix array is built
-   by linear grouping (``suffix_array``). A window can only repeat where the suffix at its first phrase shares all
-   phrases inside the window with a neighbour in that order; those windows are then compared by their hash.
+2. Equal snippets are one: all windows of a snippet that comes twice repeat. Where different snippets name the same
+   string, they meet in a group; the rest of the corpus holds no repeated window.
+3. The snippets of some groups are cut into phrases at places that their bytes decide, the phrases' suffix array is
+   built by linear grouping (``suffix_array``), and the common prefixes of its neighbours are measured. A window is whole
+   phrases, with less than a phrase before them and behind. Windows with the same bytes before and behind, in the array's
+   order, repeat exactly where the common prefix with a neighbour covers the phrases. (Windows without any border, in
+   monotonous text, are compared whole.)
+4. A group of more than ``HOT`` snippets is split by more of the bytes around the named string: half of what its windows
+   do not share yet, to the right where a window has them there and else to the left. So each window goes to one smaller
+   group, with all windows equal to it; after eight rounds at most the windows of a group are equal.
 
 The suffix array: suffixes are grouped by their first symbol; groups are taken in descending order, and the members' nearest
 places before them that are in lower groups (previous-smaller pointers) rise within their own group by how many members point to
@@ -14,12 +19,13 @@ them. When all groups are taken, each holds the suffixes of one Lyndon prefix. A
 every suffix behind those of its group that it follows, since what follows its Lyndon prefix is already in place.
 
 Defined results: null and empty texts have no bytes. Matches never cross documents; overlapping matches and matches
-in one document count; windows are judged on the input. Repeated rows repeat each other. Equality is by 64-bit
-hashes, of whole snippets by 55 bits.
+in one document count; windows are judged on the input. Repeated rows repeat each other. Named strings, and whole
+snippets, are told by 63-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import blocks, counted, opened, totals
-from ._jobs import table, written
+from ._jobs import released, released_tables, table, written
 from ._text import _BASE, BYTE_EXACT, Slice, byte_windows, mix, prefix_sums, slices, span_hash
 
 WIDTH, GRAM = 200, 64
-#: Different snippets that may name one string before their windows are counted one by one, spread over all tasks.
-HOT = 20_000
+#: Different snippets of one group; larger groups are split by more bytes.
+HOT = 500
 #: Bytes of snippets in one suffix array.
 TOGETHER = 1 << 18
 _TOP = np.uint64(1 << 63)
@@ -158,7 +164,7 @@ def snippets(part: Slice) -> tuple[np.ndarray, ...]:
     first, last = start[np.append(0, change)], start[np.append(change - 1, len(start) - 1)]
     place = named[np.append(0, change)]
     whole = span_hash(prefix_sums(BYTE_EXACT[part.data], _BASE), first, last + WIDTH, _BASE)
-    return first, last - first + 1, place, mix(grams[place]) | _TOP, mix(whole + (place - first).astype(np.uint64) * _SALT) >> np.uint64(9) << np.uint64(8)
+    return first, last - first + 1, place, mix(grams[place]) | _TOP, mix(whole + (place - first).astype(np.uint64) * _SALT) & ~_TOP
 
 
 def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -203,16 +209,17 @@ def _judge(rows: pa.Table, back: pa.Table) -> pa.Table:
     blk, rows = rows["blk"][0].as_py(), opened(rows)
     parts = [(part, snippets(part)) for part in slices(rows["text"])]
     key = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.concatenate(x[3:]) for _, x in parts)]))
-    total = totals(back)[0]
+    total, owned = totals(back)
     done, waiting, sent = [], [], {}
     ids = rows["doc_id"].to_pylist()
     for part, (first, many, place, h, c) in parts:
-        n_h, n_c = total[np.searchsorted(key, h)], total[np.searchsorted(key, c)]
+        at_c = np.searchsorted(key, c)
+        n_h, n_c, mine = total[np.searchsorted(key, h)], total[at_c], owned[at_c]
         doc = np.searchsorted(part.ends, first, side="right")
         cut = np.searchsorted(doc, np.arange(part.n + 1))
         grouped = np.flatnonzero(n_h > n_c)
         for k in grouped.tolist():
-            if n_c[k] == 1 or int(c[k]) not in sent:  # one of equal snippets stands for all
+            if mine[k] and int(c[k]) not in sent:  # one of equal snippets stands for all
                 row = part.first + int(doc[k]) if n_c[k] == 1 else None
                 sent[int(c[k])] = (blk, row, int(h[k].view(np.int64)), int(c[k].view(np.int64)), int(place[k] - first[k]), part.data[first[k] : first[k] + many[k] - 1 + WIDTH].tobytes())
         for i in range(part.n):
@@ -231,8 +238,17 @@ def _judge(rows: pa.Table, back: pa.Table) -> pa.Table:
     return pa.concat_tables([_made(0, done, *names), _made(1, waiting, "blk", "row", "doc_id", "body", "runs"), _made(2, list(sent.values()), "blk", "row", "h", "c", "o", "body")])
 
 
-def repeated(bodies: list[bytes], group: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
-    """For each snippet, which of its windows another snippet of its group has at the same offset from the named string."""
+def _least(values: np.ndarray) -> list[np.ndarray]:
+    """Minima of all stretches whose length is a power of two."""
+    out, step = [values], 1
+    while 2 * step <= len(values):
+        out.append(np.minimum(out[-1][:-step], out[-1][step:]))
+        step *= 2
+    return out
+
+
+def repeated(bodies: list[bytes]) -> list[np.ndarray]:
+    """For each snippet, which of its windows stand in another place of these snippets."""
     part = next(slices(pa.array(bodies, pa.large_binary()).view(pa.large_string()), most=1 << 62))
     data, starts, ends = part.data, part.starts, part.ends
     sums = prefix_sums(BYTE_EXACT[data], _BASE)
@@ -244,41 +260,55 @@ def repeated(bodies: list[bytes], group: np.ndarray, offset: np.ndarray) -> list
     owner = np.minimum(np.searchsorted(ends, border, side="left"), part.n - 1)
     inside = (border - PHRASE_CONTEXT >= starts[owner]) & (border <= ends[owner])
     border, owner = border[inside], owner[inside]
-    reach = np.zeros(len(border), dtype=np.int64)
-    if len(border) > 1:
+    many = ends - starts - WIDTH + 1
+    window = _windows(starts, many)
+    out = np.zeros(len(window), dtype=bool)
+    first = np.searchsorted(border, window + PHRASE_CONTEXT)
+    some = np.flatnonzero((border[np.minimum(first, len(border) - 1)] <= window + WIDTH) & (first < len(border))) if len(border) else np.zeros(0, dtype=np.int64)
+    if len(some):
         last = np.append(owner[1:] != owner[:-1], True)
         phrase = np.flatnonzero(~last)
-        _, symbol = np.unique(span_hash(sums, border[phrase], border[phrase + 1], _BASE), return_inverse=True)
+        _, symbol = np.unique(span_hash(sums, border[phrase], border[np.minimum(phrase + 1, len(border) - 1)], _BASE), return_inverse=True)
         s = np.zeros(len(border), dtype=np.int64)
         s[phrase] = symbol + len(border)
         s[last] = np.arange(np.count_nonzero(last))  # each snippet ends in a symbol of its own, below all phrases
         order = np.array(suffix_array(s.tolist()), dtype=np.int64)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
         one, two = order[:-1], order[1:]
         same, length = np.arange(len(one)), np.zeros(len(one), dtype=np.int64)
         while len(same):
             same = same[s[one[same] + length[same]] == s[two[same] + length[same]]]
             length[same] += 1
-        shared = border[one + length] - border[one]
-        np.maximum.at(reach, one, shared)
-        np.maximum.at(reach, two, shared)
-    many = ends - starts - WIDTH + 1
-    window = _windows(starts, many)
-    snippet = np.repeat(np.arange(part.n), many)
-    begin = np.searchsorted(border, window + PHRASE_CONTEXT)
-    finish = np.searchsorted(border, window + WIDTH, side="right") - 1
-    none = begin > finish
-    at = np.where(none, 0, begin)
-    alive = none | (border[np.where(none, 0, finish)] - border[at] <= reach[at]) if len(border) else np.ones(len(window), dtype=bool)
-    out = np.zeros(len(window), dtype=bool)
-    some = np.flatnonzero(alive)
-    text = span_hash(sums, window[some], window[some] + WIDTH, _BASE)
-    place = (offset[snippet[some]] - (window[some] - starts[snippet[some]])).astype(np.uint64)
-    _, back, times = np.unique(mix(text ^ mix(group[snippet[some]] + place * _SALT)), return_inverse=True, return_counts=True)
-    out[some] = times[back] > 1
+        common = _least(border[one + length] - border[one])
+        # windows with the same bytes before their first border and behind their last one, in the order of the array
+        final = np.searchsorted(border, window[some] + WIDTH, side="right") - 1
+        at, end = border[first[some]], border[final]
+        around = mix(span_hash(sums, window[some], at, _BASE) ^ mix(span_hash(sums, end, window[some] + WIDTH, _BASE) + _SALT))
+        place = rank[first[some]]
+        by = np.lexsort((place, around))
+        pair = np.flatnonzero(around[by][1:] == around[by][:-1])
+        a, b = place[by][pair], place[by][pair + 1]
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
+        reach = np.zeros(len(pair), dtype=np.int64)
+        for k in np.unique(level):
+            own = level == k
+            reach[own] = np.minimum(common[k][a[own]], common[k][b[own] - (1 << k)])
+        hit = by[pair], by[pair + 1]
+        good = reach >= (end - at)[hit[0]]
+        out[some[hit[0][good]]] = out[some[hit[1][good]]] = True
+    rest = np.setdiff1d(np.arange(len(window)), some, assume_unique=True)
+    if len(rest):
+        _, back, times = np.unique(span_hash(sums, window[rest], window[rest] + WIDTH, _BASE), return_inverse=True, return_counts=True)
+        out[rest] = times[back] > 1
     return np.split(out, np.cumsum(many)[:-1])
 
 
-FOUND = "blk int, row bigint, c bigint, bits binary"
+#: A snippet, or some of its windows: they begin at ``first`` in it, the named string at o in body, and all windows of the
+#: group share the bytes from ``a`` to ``b`` counted from there.
+SENT = "blk int, row bigint, h bigint, c bigint, o int, body binary, first int, a int, b int"
+_SENT = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in SENT.split(", ")])
+FOUND = "blk int, row bigint, c bigint, first int, bits binary"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,71 +317,81 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        blk, row, h, c, o, body = zip(*held, strict=True)
-        bits = repeated(list(body), np.array(h, dtype=np.int64).view(np.uint64), np.array(o, dtype=np.int64))
-        open_ = [k for k, r in enumerate(row) if r is not None]
+        blk, row, _, c, body, first = zip(*held, strict=True)
+        bits = repeated(list(body))
+        open_ = [k for k, r in enumerate(row) if r is not None and bits[k].any()]
         return pa.record_batch(
-            [pa.array([blk[k] for k in open_], pa.int32()), pa.array([row[k] for k in open_], pa.int64()), pa.array([c[k] for k in open_], pa.int64()), pa.array([np.packbits(bits[k]).tobytes() for k in open_], pa.binary())],
-            names=["blk", "row", "c", "bits"],
-        )
+            [pa.array([blk[k] for k in open_], pa.int32()), pa.array([row[k] for k in open_], pa.int64()), pa.array([c[k] for k in open_], pa.int64()),
+             pa.array([first[k] for k in open_], pa.int32()), pa.array([np.packbits(bits[k]).tobytes() for k in open_], pa.binary())],
+            names=["blk", "row", "c", "first", "bits"],
+        )
 
     for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in ("blk", "row", "h", "c", "o", "body")), strict=True):
+        for r in zip(*(batch.column(k).to_pylist() for k in ("blk", "row", "h", "c", "body", "first")), strict=True):
             if size > TOGETHER and r[2] != last:
                 yield flush()
                 held, size = [], 0
             held.append(r)
-            size, last = size + len(r[5]), r[2]
+            size, last = size + len(r[4]), r[2]
     if held:
         yield flush()
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of snippets in very large groups, by what it must share to repeat."""
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each snippet's windows in groups that share half of the bytes that they did not share yet."""
     for batch in batches:
-        for blk, row, h, c, o, body in zip(*(batch.column(k).to_pylist() for k in ("blk", "row", "h", "c", "o", "body")), strict=True):
-            data = np.frombuffer(body, dtype=np.uint8)
-            many = len(data) - WIDTH + 1
-            at = np.arange(many)
-            text = span_hash(prefix_sums(BYTE_EXACT[data], _BASE), at, at + WIDTH, _BASE)
-            key = mix(text ^ mix(np.uint64(h & 0xFFFFFFFFFFFFFFFF) + (o - at).astype(np.uint64) * _SALT))
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array([blk] * many, pa.int32()), pa.array([row] * many, pa.int64()), pa.array([c] * many, pa.int64()), pa.array(at.astype(np.int32))], names=["key", "blk", "row", "c", "at"])
+        out = []
+        for blk, row, h, c, o, body, first, a, b in zip(*(batch.column(k).to_pylist() for k in _SENT.names), strict=True):
+            many, right = len(body) - WIDTH + 1, -(-(WIDTH - b + a) // 2)
+            left = WIDTH - b + a - right + 1
+            cut = min(max(o + b + right - WIDTH, 0), many)  # windows from here on have so many bytes on the right
+            for w0, w1, x, y in ((cut, many, a, b + right), (0, cut, a - left, b)):
+                if w1 > w0:
+                    digest = hashlib.blake2b(body[o + x : o + y], digest_size=8, key=(h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little") + (x & 0xFFFF).to_bytes(2, "little")).digest()
+                    out.append((blk, row, int.from_bytes(digest, "little", signed=True), c, o - w0, body[w0 : w1 - 1 + WIDTH], first + w0, x, y))
+        if out:
+            yield pa.record_batch([pa.array(list(v), f.type) for v, f in zip(zip(*out, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
 def _finish(waiting: pa.Table, found: pa.Table) -> pa.Table:
-    bits: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
-    for row, c, b in zip(found["row"].to_pylist(), found["c"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        bits[row, c].append(np.frombuffer(b, dtype=np.uint8))
+    bits: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
+    for row, c, first, b in zip(*(found[k].to_pylist() for k in ("row", "c", "first", "bits")), strict=True):
+        bits[row, c].append((first, np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8)))))
     out = []
     for row, doc_id, body, raw in zip(*(waiting[k].to_pylist() for k in ("row", "doc_id", "body", "runs")), strict=True):
         windows = [np.zeros(0, dtype=np.int64)]
         for begin, many, c in np.frombuffer(raw, dtype=np.int64).reshape(-1, 3).tolist():
             if c == -1:
                 windows.append(begin + np.arange(many))
-            for b in bits.get((row, c), ()):
-                windows.append(begin + np.flatnonzero(np.unpackbits(b)[:many]))
+            windows += [begin + first + at for first, at in bits.get((row, c), ())]
         out.append((doc_id, *_verdict(np.frombuffer(body, dtype=np.uint8), np.concatenate(windows))))
     names = [x.split()[0] for x in VERDICT.split(", ")]
     return _made(0, out, *names).select(names)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def groups(sent: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Snippets in groups of at most ``hot``, as rows of SENT; and what of larger groups repeats because all of it is equal."""
+    parts, equal = [], []
+    while True:
+        large = written(sent.groupBy("h").count().where(F.col("count") > hot).select("h"))
+        if large.isEmpty():
+            return functools.reduce(DataFrame.unionByName, [*parts, sent]), equal
+        parts.append(sent.join(large, "h", "left_anti"))
+        rest = sent.join(large, "h", "left_semi")
+        equal.append(rest.where(F.col("b") - F.col("a") >= WIDTH).where("row is not null").select("blk", "row", "c", "first", F.lit(b"\x80").alias("bits")))
+        sent = written(rest.where(F.col("b") - F.col("a") < WIDTH).select(*_SENT.names).mapInArrow(released(_narrowed), SENT))
+
+
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
     rows, n = blocks(docs)
     back = counted(rows, n, _keys)
-    judged = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_judge, JUDGED))
-    sent = judged.where("kind = 2").select("blk", "row", "h", "c", "o", "body")
-    hot = written(sent.groupBy("h").count().where(F.col("count") > HOT).select("h"))
-    if hot.isEmpty():
-        found = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped, FOUND)
-    else:
-        usual = sent.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_grouped, FOUND)
-        single = sent.join(hot, "h", "left_semi").dropDuplicates(["h", "c"]).mapInArrow(_exploded, "key bigint, blk int, row bigint, c bigint, at int")
-        twice = single.groupBy("key").count().where("count > 1").select("key")
-        # a window's bit alone, packed behind as many zeros as windows lie before it
-        bit = F.unhex(F.concat(F.repeat(F.lit("00"), F.floor(F.col("at") / 8).cast("int")), F.lpad(F.hex(F.call_function("shiftright", F.lit(128), F.col("at") % 8)), 2, "0")))
-        found = usual.unionByName(single.join(twice, "key").where("row is not null").select("blk", "row", "c", bit.alias("bits")))
-    last = judged.where("kind = 1").select("blk", "row", "doc_id", "body", "runs").groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_finish, VERDICT)
+    judged = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(released_tables(_judge), JUDGED))
+    sent = judged.where("kind = 2").select("blk", "row", "h", "c", "o", "body", F.lit(0).alias("first"), F.lit(0).alias("a"), F.lit(GRAM).alias("b"))
+    grouped, equal = groups(sent, hot)
+    found = grouped.repartition("h").sortWithinPartitions("h").mapInArrow(released(_grouped), FOUND)
+    found = functools.reduce(DataFrame.unionByName, [found, *equal])
+    last = judged.where("kind = 1").select("blk", "row", "doc_id", "body", "runs").groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(released_tables(_finish), VERDICT)
     names = [x.split()[0] for x in VERDICT.split(", ")]
     return judged.where("kind = 0").select(*names).unionByName(last)
 

@@ -2,7 +2,12 @@ import hashlib
 import random
 from collections import defaultdict
 
-from millrace.llm.suffixes import WIDTH, dedup, suffix_array
+from unittest import mock
+
+import pytest
+
+from millrace.llm import suffixes
+from millrace.llm.suffixes import WIDTH, dedup, repeated, suffix_array
 
 
 def brute(docs):
@@ -33,7 +38,8 @@ def test_suffix_array():
     assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3, 1])
+def test_against_brute_force(spark, hot):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefé ü") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -42,9 +48,30 @@ def test_against_brute_force(spark):
     docs += [(100 + i, prose(20) + passages[i % 4][i : 250 + 7 * i] + prose(30)) for i in range(30)]
     docs += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 300), (204, "x" * 199), (205, "x" * 199)]
     docs += [docs[3], (206, docs[5][1]), (207, passages[0] * 3), (208, prose(3000))]
-    found = dedup(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    docs += [(300 + i, prose(2)[:9] + passages[0][:150] + prose(2 + i % 7)[: 60 + i] + passages[1][100:290]) for i in range(40)]
+    found = dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), hot)
     assert sorted(tuple(r) for r in found.collect()) == brute(docs)
 
 
+def test_windows_of_snippets():
+    rng = random.Random(8)
+    text = lambda n, k=26: bytes(rng.randrange(97, 97 + k) for _ in range(n))
+    common = text(260)
+    bodies = [text(20) + common, text(7) + common + text(30), common[30:235], text(300), text(250, 1), text(230, 1), text(240, 2), b"xy" * 110, text(3) + b"xy" * 105]
+    seen = defaultdict(int)
+    for b in bodies:
+        for i in range(len(b) - WIDTH + 1):
+            seen[b[i : i + WIDTH]] += 1
+    want = [[seen[b[i : i + WIDTH]] > 1 for i in range(len(b) - WIDTH + 1)] for b in bodies]
+    assert [x.tolist() for x in repeated(bodies)] == want
+
+
+def test_the_suffix_order_decides():
+    common = b"".join(b"%d word " % k for k in range(60))
+    with mock.patch.object(suffixes, "suffix_array", lambda s: list(range(len(s)))[::-1]):  # a wrong order, in which equal suffixes are no neighbours
+        wrong = repeated([common, b"other bytes " * 20, b"before " + common])
+    assert sum(x.sum() for x in wrong) < sum(x.sum() for x in repeated([common, b"other bytes " * 20, b"before " + common]))
+
+
 def test_empty_table(spark):
     assert dedup(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
