@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._jobs import released, released_table, small_batches
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS_TO_A_RANGE = 8
 Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 

@@ -63,7 +63,7 @@ def test_toxicity_gate_misses_nothing_that_the_decoder_handles():
 def test_toxicity_language_model_counts_all_documents(spark):
     docs = spark.createDataFrame([(k, f"word{'abcdefghij'[k % 10]} same") for k in range(50)] + [(99, "xylophonist")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
-    assert "xylo" in toxicity.fit(docs, labels).logp
+    assert "xylo" in toxicity.fit(docs, labels).counts
 
 
 def test_benchmark_rows_without_id_contaminate(spark):
