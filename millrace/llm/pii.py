@@ -8,6 +8,11 @@ that hold c, terms whose disclosure reaches ``GENERALISE`` are generalised, thos
 p(c), p(c, t) and p(t) are shares of the different texts, so copies of one text are no evidence. A term needs ``SUPPORT``
 different texts together with the entity, however many there are, which must also have that many different least hashes of
 three words in a row: near copies share that hash as often as they share such threes. Either of two hash functions will do.
+So an entity that stands in fewer different texts discloses nothing by its terms.
+
+Texts stay where they are: only the words of texts with entities are shuffled, then the places of the terms that are
+candidates, and the hashes of all texts. The few documents with disclosing terms are broadcast to the scan that marks
+them, up to ``BROADCAST_TERMS`` of them.
 
 Defined results: null texts are empty. Texts of any length are handled whole. Repeated rows count as rows and give
 equal results. Base spans are never changed by what the method adds; added spans lie outside them. Other columns stay.
@@ -137,53 +142,64 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
-def evidence(docs: DataFrame) -> DataFrame:
-    """(__h, like, terms, entities) of the different texts, terms outside the entities. Written."""
-    one = _keys(docs.select("doc_id", "text")).groupBy("__h").agg(F.first("text").alias("text")).withColumn("b", base_spans(F.col("text")))
-    outside = rewritten(F.col("text"), F.col("b"), [" "] * len(KINDS))
-    terms = F.filter(F.array_distinct(words(outside)), lambda t: (F.length(t) > 2) & t.rlike(_TERM))
+def _terms(text: Column, base: Column) -> Column:
+    """Different terms of a text outside its base spans: words of three characters or more that are no mere numbers."""
+    outside = F.when(F.size(base) == 0, text).otherwise(rewritten(text, base, [" "] * len(KINDS)))
+    return F.filter(F.array_distinct(words(outside)), lambda t: (F.length(t) > 2) & t.rlike(_TERM))
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(__h, like, terms, entities) of the different texts that hold entities. Written."""
+    rows = _keys(docs.select("doc_id", "text")).select("__h", "text", base_spans(F.col("text")).alias("b")).where(F.size("b") > 0)
     entities = F.array_distinct(F.transform("b", lambda x: x["value"]))
-    return written(one.select("__h", F.when(F.size("b") > 0, _likeness(F.col("text"))).alias("like"), terms.alias("terms"), entities.alias("entities")))
+    found = rows.select("__h", F.struct(_likeness(F.col("text")).alias("like"), _terms(F.col("text"), F.col("b")).alias("terms"), entities.alias("entities")).alias("x"))
+    return written(found.groupBy("__h").agg(F.first("x").alias("x")).select("__h", "x.*"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """(c, t, share): terms that reveal an entity, with the share of the entity's information they give away. Written.
+def _frequencies(docs: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
+    """(t, n_t): in how many different texts each of ``terms`` stands; a text in m copies counts 1 / m in each."""
+    rows = _keys(docs.select("doc_id", "text")).select("__h", F.explode(_terms(F.col("text"), base_spans(F.col("text")))).alias("t"))
+    return rows.join(_small(terms), "t").join(copies, "__h", "left").groupBy("t").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("bigint").alias("n_t"))
+
 
-    A share of GENERALISE bounds n_t by the entity's n_c, so terms that are too common for every entity, and pairs
-    whose term is too common for theirs, are left out before pairs are counted; neither can be in the result.
-    """
-    seen = evidence(docs)
-    n = seen.count()
+
+def disclosing(docs: DataFrame) -> DataFrame | None:
+    """(c, t, share): terms that reveal an entity, with the share of the entity's information they give away. Written; None without any."""
+    seen = entity_texts(docs)
+    texts = written(_keys(docs.select("doc_id", "text")).groupBy("__h").agg(F.count("*").alias("m")))
+    n = texts.count()
     entities = written(seen.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= SUPPORT))
-    most = lambda n_c: F.pow(n_c.cast("double"), GENERALISE) * (n + 1.0) ** (1 - GENERALISE) * (1 + 1e-9)
-    everywhere = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    top = entities.agg(F.max(most(F.col("n_c"))).alias("most")).first()["most"] or 0.0
-    rare = written(everywhere.where((F.col("n_t") >= SUPPORT) & (F.col("n_t") <= top)))
-    held = seen.select("__h", F.explode("entities").alias("c")).join(_small(entities), "c").groupBy("__h").agg(F.collect_list(F.struct("c", "n_c")).alias("cs"))
-    own = seen.where(F.size("entities") > 0).select("__h", "like", F.explode("terms").alias("t")).join(_small(rare), "t")
-    pairs = own.join(held, "__h").select("like", F.explode("cs").alias("x"), "t", "n_t").select("like", "x.c", "x.n_c", "t", "n_t").where(F.col("n_t") <= most(F.col("n_c")))
-    both = pairs.groupBy("c", "t").agg(F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"), F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
+    held = seen.select("like", "terms", F.explode("entities").alias("c")).join(_small(entities), "c")
+    pairs = held.select("c", "n_c", "like", F.explode("terms").alias("t"))
+    often = written(pairs.groupBy("c", "t").agg(F.first("n_c").alias("n_c"), F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT))
+    if often.isEmpty():
+        return None
+    rare = _frequencies(docs, often.select("t").distinct(), texts.where("m > 1"))
     share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / F.log2(F.lit(n + 1) / F.col("n_c"))
-    likely = written(both.select("c", "t", share.alias("share")).where(F.col("share") >= GENERALISE))
+    likely = written(often.join(rare, "t").select("c", "t", share.alias("share")).where(F.col("share") >= GENERALISE))
     unlike = pairs.join(_small(likely), ["c", "t"]).groupBy("c", "t", "share").agg(F.count_distinct("like.a").alias("a"), F.count_distinct("like.b").alias("b"))
-    return written(unlike.where(F.greatest("a", "b") >= SUPPORT).select("c", "t", "share"))
+    found = written(unlike.where(F.greatest("a", "b") >= SUPPORT).select("c", "t", "share"))
+    return None if found.isEmpty() else found
 
 
 def added(docs: DataFrame, found: DataFrame, reveal: DataFrame) -> DataFrame:
-    """(__id, __h, more): spans of disclosing terms in the documents that hold their entity, outside the base spans."""
+    """(__id, __h, more): spans of disclosing terms in the documents that hold their entity, outside the base spans. Written."""
     mine = found.where(F.size("entities") > 0).select("__id", "__h", "spans", F.explode("entities").alias("c")).join(reveal, "c")
-    mine = mine.groupBy("__id", "__h").agg(F.first("spans").alias("spans"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("t"))).alias("drop"), F.collect_set("t").alias("t"))
-    rows = _keys(docs.select("doc_id", "text")).select("__id", "__h", "text").join(mine, ["__id", "__h"])
+    mine = written(mine.groupBy("__id", "__h").agg(F.first("spans").alias("spans"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("t"))).alias("drop"), F.collect_set("t").alias("t")))
+    rows = _keys(docs.select("doc_id", "text")).select("__id", "__h", "text").join(_small(mine), ["__id", "__h"])
     hits = F.filter(
         matches(F.col("text"), WORD),
         lambda x: F.array_contains("t", F.lower(x["value"])) & ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])),
     )
     spans = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.when(F.array_contains("drop", F.lower(x["value"])), F.lit(4)).otherwise(F.lit(5)).alias("kind"), x["end"].alias("end")))
-    return rows.select("__id", "__h", spans.alias("more")).dropDuplicates(["__id", "__h"])
+    return written(rows.select("__id", "__h", spans.alias("more")).dropDuplicates(["__id", "__h"]))
+
+
+_NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -191,8 +207,8 @@ def spans(docs: DataFrame) -> DataFrame:
     found = find(docs)
     reveal = disclosing(docs)
     out = found.select("doc_id", "__id", "__h", "spans")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    if reveal.isEmpty():
+    none = F.array().cast(_NONE)
+    if reveal is None:
         return out.withColumn("more", none)
     return out.join(added(docs, found, reveal), ["__id", "__h"], "left").withColumn("more", F.coalesce("more", none))
 
@@ -223,12 +239,18 @@ def rewritten(text: Column, all_spans: Column, by: Sequence[str] = TAGS) -> Colu
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with sanitised texts; null texts stay null, all other columns are kept."""
-    found = spans(docs).select("__id", "__h", F.array_sort(F.concat("spans", "more")).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__h"])
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.join(found, ["__id", "__h"], "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("__spans")))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    """``docs`` with sanitised texts; null texts stay null, all other columns are kept, whatever their names."""
+    text = F.coalesce("text", F.lit(""))
+    bare = lambda b: F.transform(b, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("__id"), F.xxhash64(text).alias("__h"), F.col("text"), bare(base_spans(text)).alias("spans"))
+    reveal = disclosing(docs)
+    if reveal is None:
+        rows = rows.withColumn("more", F.array().cast(_NONE))
+    else:
+        rows = rows.join(_small(added(docs, find(docs), reveal)), ["__id", "__h"], "left")
+    own = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(_NONE))))
+    new = rows.select("row", F.when(F.size(own) > 0, rewritten(F.col("text"), own)).otherwise(F.col("text")).alias("new"))
+    return new.select(*(F.col("new").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
