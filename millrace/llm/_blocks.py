@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._jobs import released, released_table, small_batches
 
 BLOCK_BYTES = 4 << 20
-BLOCKS_TO_A_RANGE = 8
+BLOCKS_TO_A_RANGE = 4
 Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
@@ -185,6 +185,14 @@ def totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, dtype=np.int64), *count]), np.concatenate([np.zeros(0, dtype=bool), *own])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different values, by one sort."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def gathered(pieces: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different keys of all pieces, with how often each comes."""
     found = [x for x in pieces if len(x)]

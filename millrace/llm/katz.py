@@ -55,29 +55,40 @@ def _tokens(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """The n-grams of one block: for order k, grams[k][i] ends with token i, and past[k][i] is its history; 0 where there is none."""
+    """The n-grams of one block. For order k, key[k] has the different ones, sorted; at[k][i] is the number there of the one that ends
+    with token i, and past[k][i] the number of its history in key[k - 1]; both -1 where there is none."""
 
     def __init__(self, part: pa.Table, order: int):
         words, self.bounds = _tokens(part)
         self.train = np.repeat(part["train"].to_numpy().astype(bool), np.diff(self.bounds))
-        self.grams, self.past = {1: words}, {}
+        self.key, self.at, self.past = {}, {}, {}
+        first = self.bounds[:-1]
+        self.key[1], self.at[1] = np.unique(words, return_inverse=True)
+        end = int(np.searchsorted(self.key[1], END))
         for k in range(2, order + 1):
-            before = np.empty_like(words)
-            before[1:] = self.grams[k - 1][:-1]
-            before[self.bounds[:-1]] = END if k == 2 else 0
-            self.past[k] = before
-            self.grams[k] = np.where(before > 0, mix(before * _NEXT + words) & _KEY, np.uint64(0))
+            before = np.empty_like(self.at[k - 1])
+            before[1:] = self.at[k - 1][:-1]
+            before[first] = end if k == 2 else -1
+            valid = np.flatnonzero(before >= 0)
+            own, inverse = np.unique(mix(self.key[k - 1][before[valid]] * _NEXT + words[valid]) & _KEY, return_inverse=True)
+            self.key[k], self.past[k], self.at[k] = own, before, np.full(len(words), -1)
+            self.at[k][valid] = inverse
 
-    def keys(self, k: int) -> np.ndarray:
-        """The different n-grams of order ``k``, sorted; END is always a key of order 1, as a history."""
-        own = np.unique(self.grams[k])
-        own = own[1:] if len(own) and own[0] == 0 else own
-        return np.union1d(own, [END]) if k == 1 else own
+    def place(self, k: int) -> np.ndarray:
+        """A token that each n-gram of order ``k`` ends with."""
+        out = np.zeros(len(self.key[k]), dtype=np.int64)
+        there = np.flatnonzero(self.at[k] >= 0)
+        out[self.at[k][there]] = there
+        return out
 
 
-SENT = "part int, blk int, keys binary, counts binary"
-TABLE = "blk int, part int, totals binary, owned binary, keys binary, tally array<bigint>"
-_TABLE = pa.schema([("blk", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("owned", pa.binary()), ("keys", pa.binary()), ("tally", pa.list_(pa.int64()))])
+SENT = "order int, part int, blk int, keys binary, counts binary"
+TABLE = "order int, blk int, part int, totals binary, owned binary, keys binary, tally array<bigint>"
+_TABLE = pa.schema([("order", pa.int32()), ("blk", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("owned", pa.binary()), ("keys", pa.binary()), ("tally", pa.list_(pa.int64()))])
+
+
+def _with_order(table: pa.Table, k: int) -> pa.Table:
+    return table.add_column(0, "order", pa.array([k] * len(table), pa.int32()))
 
 
 def _tally(counts: np.ndarray) -> list[int]:
@@ -87,33 +98,34 @@ def _tally(counts: np.ndarray) -> list[int]:
 
 
 def _counting(order: int, ranges: int):
-    """Send a block's n-grams of one order: twice the training count, and 1 more where a text that is not for training has it."""
+    """Send a block's n-grams of all orders: twice the training count, and 1 more where a text that is not for training has it."""
 
     def send(part: pa.Table) -> pa.Table:
         blk = part["blk"][0].as_py()
-        own = Grams(opened(part), order)
-        key, at = own.keys(order), own.grams[order]
-        place = np.searchsorted(key, at[at > 0])
-        train = own.train[at > 0]
-        count = np.bincount(place, weights=train, minlength=len(key)).astype(np.int64)
-        asked = np.zeros(len(key), dtype=np.int64)
-        asked[place[~train]] = 1
-        return cut_up(blk, key, lambda s: planes(2 * count[s] + asked[s]), ranges)
+        own, out = Grams(opened(part), order), []
+        for k in range(1, order + 1):
+            there = own.at[k] >= 0
+            train, other = own.at[k][there & own.train], own.at[k][there & ~own.train]
+            value = 2 * np.bincount(train, minlength=len(own.key[k]))
+            value[other] |= 1
+            out.append(_with_order(cut_up(blk, own.key[k], lambda s: planes(value[s]), ranges), k))  # noqa: B023
+        return pa.concat_tables(out)
 
     return send
 
 
 def _summing(part: pa.Table) -> pa.Table:
-    """Totals for every block that asked, in its order of keys; and the range's table with its tally (blk -1)."""
+    """Of one order and range: totals for every block that asked, in its order of keys; and the table with its tally (blk -1)."""
+    k = part["order"][0].as_py()
     part, cut, order, first, keys = met(part)
-    sent_ = np.concatenate([unplanes(x) for x in part["counts"].to_pylist()])
-    count, own = summed(sent_ >> 1, order, first)
-    asked, _ = summed(sent_ & 1, order, first)
-    back = answered(part, cut, 2 * count + (asked > 0), own)
+    sent = np.concatenate([unplanes(x) for x in part["counts"].to_pylist()])
+    count, own = summed(sent >> 1, order, first)
+    asked, _ = summed(sent & 1, order, first)
+    back = _with_order(answered(part, cut, 2 * count + (asked > 0), own), k)
     every = count[order][first]
     seen = every > 0
     one = {
-        "blk": [-1], "part": [part["part"][0].as_py()], "totals": [planes(every[seen])], "owned": [b""],
+        "order": [k], "blk": [-1], "part": [part["part"][0].as_py()], "totals": [planes(every[seen])], "owned": [b""],
         "keys": [packed(keys[first][seen]) if seen.any() else b""], "tally": [_tally(every)],
     }
     back = pa.table([back[f.name] if f.name in back.schema.names else pa.nulls(len(back), f.type) for f in _TABLE], schema=_TABLE)
@@ -162,8 +174,8 @@ class Katz:
         return count - self._discounted(count, k)
 
 
-FOUND = "blk int, part int, keys binary, values binary, asked binary, docs binary, waits binary"
-_FOUND = pa.schema([("blk", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "values", "asked", "docs", "waits"))])
+FOUND = "order int, blk int, part int, keys binary, values binary, asked binary, docs binary, waits binary"
+_FOUND = pa.schema([("order", pa.int32()), ("blk", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "values", "asked", "docs", "waits"))])
 
 
 def _stream(data: pa.Table) -> bytes:
@@ -175,74 +187,66 @@ def _stream(data: pa.Table) -> bytes:
 
 def _judging(order: int, ranges: int, model: Katz):
     """Of one block: its documents' scores short of back-off weights, with the histories they wait for (one row); and for each
-    range what the block's own n-grams add to the histories that anyone asks for, and which ones it asks for itself."""
+    order and range what the block's own n-grams add to the histories that anyone asks for, and which ones it asks for itself."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _FOUND.empty_table()
         blk, docs = docs["blk"][0].as_py(), opened(docs)
         own = Grams(docs, order)
-        count, wanted, first, at = {}, {}, {}, {}
+        total, asked, owned, count = {}, {}, {}, {}
         for k in range(1, order + 1):
-            rows = back.filter(pa.array(back["order"].to_numpy() == k))
-            value, owned = _answers(rows)
-            key = own.keys(k)
-            valid = own.grams[k] > 0
-            at[k] = np.where(valid, np.searchsorted(key, own.grams[k]), 0)
-            count[k] = np.where(valid, (value >> 1)[at[k]], 0) if len(key) else np.zeros(len(valid), dtype=np.int64)
-            wanted[k] = dict(key=key, count=value >> 1, asked=(value & 1) > 0, owned=owned)
-            first[k] = np.unique(at[k][valid], return_index=True)[1]
-            first[k] = np.flatnonzero(valid)[first[k]]
-        history = {k: _of(own.past[k], wanted[k - 1]) for k in range(2, order + 1)}
+            value, owned[k] = _answers(back.filter(pa.array(back["order"].to_numpy() == k)))
+            total[k], asked[k] = np.append(value >> 1, 0), np.append((value & 1) > 0, False)  # number -1: none
+            count[k] = total[k][own.at[k]]
+        past = {k: total[k - 1][own.past[k]] for k in range(2, order + 1)}
         n = len(own.bounds) - 1
         row = np.repeat(np.arange(n), np.diff(own.bounds))
         value = model.seen(count[1], None, 1)
         done = np.ones(len(value), dtype=np.int64)  # highest order that knows the token
         for k in range(2, order + 1):
-            value = np.where(count[k] > 0, model.seen(count[k], history[k][0], k), value)
+            value = np.where(count[k] > 0, model.seen(count[k], past[k], k), value)
             done = np.where(count[k] > 0, k, done)
-        waits_row, waits_key = [], []
-        for k in range(2, order + 1):
-            some = np.flatnonzero((done < k) & (history[k][0] > 0))
-            waits_row.append(row[some])
-            waits_key.append(own.past[k][some])
-        waits_row, waits_key = np.concatenate([np.zeros(0, dtype=np.int64), *waits_row]), np.concatenate([np.zeros(0, dtype=np.uint64), *waits_key])
-        asked, place = np.unique(waits_key, return_inverse=True)
-        pair, times = np.unique(waits_row * max(len(asked), 1) + place, return_counts=True)
         add = lambda x: np.add.reduceat(x, own.bounds[:-1])
         base = np.log10((count[1] + 1) / (model.tokens + model.types + 1))
         result = pa.table({
             "doc_id": docs["doc_id"], "held_out": pa.array(~own.train[own.bounds[:-1]]), "n_tokens": np.diff(own.bounds), "n_known": add((count[1] > 0).astype(np.int64)),
             "base": add(base), "score": add(np.log10(value)),
         })
-        waits = pa.table({"row": pair // max(len(asked), 1), "ask": pair % max(len(asked), 1), "n": times})
-        key, taken, lower = [asked], [np.zeros(len(asked))], [np.zeros(len(asked))]
+        waits, pieces, asks = [], [], 0
         for k in range(2, order + 1):
+            some = np.flatnonzero((done < k) & (past[k] > 0))
+            mine = np.zeros(len(own.key[k - 1]), dtype=bool)
+            mine[own.past[k][some]] = True
+            number = np.cumsum(mine) - 1
+            many = int(mine.sum())
+            pair, times = np.unique(row[some] * max(many, 1) + number[own.past[k][some]], return_counts=True)
+            waits.append(pa.table({"row": pair // max(many, 1), "ask": asks + pair % max(many, 1), "n": times}))
+            asks += many
             # each different training n-gram adds to its history once, in the block that owns it
-            some = first[k][(wanted[k]["owned"] & (wanted[k]["count"] > 0))[at[k][first[k]]]]
-            some = some[history[k][1][some]]
-            shorter = model.seen(count[k - 1][some], history[k - 1][0][some] if k > 2 else None, k - 1)
-            key.append(own.past[k][some])
-            taken.append(model.taken(count[k][some], k))
-            lower.append(shorter)
-        key, place = np.unique(np.concatenate(key), return_inverse=True)
-        sums = [np.bincount(place, weights=np.concatenate(x), minlength=len(key)) for x in (taken, lower)]
-        total = np.zeros(len(key), dtype=np.int64)
-        for k in range(2, order + 1):
-            spot = np.minimum(np.searchsorted(wanted[k - 1]["key"], key), len(wanted[k - 1]["key"]) - 1)
-            total = np.where(wanted[k - 1]["key"][spot] == key, wanted[k - 1]["count"][spot], total)
-        mine = np.isin(key, asked, assume_unique=True)
-        cut = cuts(key, ranges)
-        parts = [p for p in range(ranges) if cut[p + 1] > cut[p]]
-        spans = [slice(cut[p], cut[p + 1]) for p in parts]
-        m = len(parts)
-        pieces = pa.table(
-            [pa.array([blk] * m, pa.int32()), pa.array(parts, pa.int32()), pa.array([packed(key[s]) for s in spans], pa.binary()), pa.array([_stream(pa.table({"c": total[s], "taken": sums[0][s], "lower": sums[1][s]})) for s in spans], pa.binary()),
-             pa.array([np.packbits(mine[s]).tobytes() for s in spans], pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+            place = own.place(k)[owned[k] & (total[k][:-1] > 0)]
+            place = place[asked[k - 1][own.past[k][place]]]
+            to = own.past[k][place]
+            shorter = model.seen(count[k - 1][place], past[k - 1][place] if k > 2 else None, k - 1)
+            taken = np.bincount(to, weights=model.taken(count[k][place], k), minlength=len(mine))
+            lower = np.bincount(to, weights=shorter, minlength=len(mine))
+            send = np.flatnonzero(mine | (lower > 0))
+            key, cut = own.key[k - 1][send], cuts(own.key[k - 1][send], ranges)
+            parts = [p for p in range(ranges) if cut[p + 1] > cut[p]]
+            spans = [slice(cut[p], cut[p + 1]) for p in parts]
+            m = len(parts)
+            pieces.append(pa.table(
+                [pa.array([k] * m, pa.int32()), pa.array([blk] * m, pa.int32()), pa.array(parts, pa.int32()), pa.array([packed(key[s]) for s in spans], pa.binary()),
+                 pa.array([_stream(pa.table({"c": total[k - 1][send[s]], "taken": taken[send[s]], "lower": lower[send[s]]})) for s in spans], pa.binary()),
+                 pa.array([np.packbits(mine[send[s]]).tobytes() for s in spans], pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+                schema=_FOUND,
+            ))
+        whole = pa.table(
+            [pa.array([0], pa.int32()), pa.array([blk], pa.int32()), pa.array([-1], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([_stream(result)], pa.binary()),
+             pa.array([_stream(pa.concat_tables(waits)) if waits else None], pa.binary())],
             schema=_FOUND,
         )
-        whole = pa.table([pa.array([blk], pa.int32()), pa.array([-1], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([_stream(result)], pa.binary()), pa.array([_stream(waits)], pa.binary())], schema=_FOUND)
-        return pa.concat_tables([whole, pieces])
+        return pa.concat_tables([whole, *pieces])
 
     return run
 
@@ -255,34 +259,25 @@ def _answers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, dtype=np.int64), *value]), np.concatenate([np.zeros(0, dtype=bool), *own])
 
 
-def _of(keys: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Count of each history, and whether anyone asks for it; 0 and no where there is none."""
-    if not len(known["key"]):
-        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    spot = np.minimum(np.searchsorted(known["key"], keys), len(known["key"]) - 1)
-    there = known["key"][spot] == keys
-    return np.where(there, known["count"][spot], 0), there & known["asked"][spot]
-
-
-WEIGHTS = "blk int, part int, weights binary, keys binary"
+WEIGHTS = "order int, blk int, part int, weights binary, keys binary"
 
 
 def _weighing(part: pa.Table) -> pa.Table:
-    """log10 of the back-off weights of a range's histories: for the blocks that ask, and as a table (blk -1)."""
+    """log10 of the back-off weights of the histories of one order and range: for the blocks that ask, and as a table (blk -1)."""
     part = part.sort_by("blk")
     values = [pa.ipc.open_stream(x).read_all() for x in part["values"].to_pylist()]
     part = part.append_column("counts", pa.array([planes(v["c"].to_numpy()) for v in values], pa.binary()))
     part, cut, order, first, keys = met(part)
     joined = pa.concat_tables(values)
-    count = joined["c"].to_numpy()
     taken, lower = (summed(joined[c].to_numpy(), order, first)[0] for c in ("taken", "lower"))
-    weight = np.log10((SPARE + taken) / (count + SPARE) / (1 - lower))
+    weight = np.log10((SPARE + taken) / (joined["c"].to_numpy() + SPARE) / (1 - lower))
     out = []
     for i, asked in enumerate(part["asked"].to_pylist()):
         own = weight[cut[i] : cut[i + 1]]
         out.append(own[np.unpackbits(np.frombuffer(asked, dtype=np.uint8), count=len(own)).astype(bool)].tobytes())
     return pa.table({
-        "blk": pa.array([*part["blk"].to_pylist(), -1], pa.int32()), "part": pa.array([*part["part"].to_pylist(), part["part"][0].as_py()], pa.int32()),
+        "order": pa.array([part["order"][0].as_py()] * (len(out) + 1), pa.int32()), "blk": pa.array([*part["blk"].to_pylist(), -1], pa.int32()),
+        "part": pa.array([*part["part"].to_pylist(), part["part"][0].as_py()], pa.int32()),
         "weights": pa.array([*out, weight[order][first].tobytes()], pa.binary()), "keys": pa.array([None] * len(out) + [packed(keys[first])], pa.binary()),
     })
 
@@ -292,10 +287,11 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 
 def _finishing(whole: pa.Table, weights: pa.Table) -> pa.Table:
     out = []
-    rows = sorted(zip(weights["part"].to_pylist(), weights["weights"].to_pylist(), strict=True))
-    weight = np.concatenate([np.zeros(0), *(np.frombuffer(w, dtype=np.float64) for _, w in rows)])
+    rows = sorted(zip(*(weights[c].to_pylist() for c in ("order", "part", "weights")), strict=True))
+    weight = np.concatenate([np.zeros(0), *(np.frombuffer(w, dtype=np.float64) for *_, w in rows)])
     for docs, waits in zip(whole["docs"].to_pylist(), whole["waits"].to_pylist(), strict=True):
-        docs, waits = pa.ipc.open_stream(docs).read_all(), pa.ipc.open_stream(waits).read_all()
+        docs = pa.ipc.open_stream(docs).read_all()
+        waits = pa.ipc.open_stream(waits).read_all() if waits else pa.table({"row": np.zeros(0, dtype=np.int64), "ask": np.zeros(0, dtype=np.int64), "n": np.zeros(0, dtype=np.int64)})
         more = np.bincount(waits["row"].to_numpy(), weights=waits["n"].to_numpy() * weight[waits["ask"].to_numpy()], minlength=len(docs))
         out.append(pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"], "n_known": docs["n_known"], "base_score": docs["base"],
@@ -307,17 +303,11 @@ def _finishing(whole: pa.Table, weights: pa.Table) -> pa.Table:
 
 
 def ngram_tables(rows: DataFrame, n: int, order: int = ORDER) -> tuple[DataFrame, Katz]:
-    """Written tables of all orders up to ``order`` (column order; see TABLE: blk -1 is the table, the others answer blocks), and the model's constants."""
-    ranges, tables, tallies = range_count(n), [], []
-    for k in range(1, order + 1):
-        pieces = rows.groupBy("blk").applyInArrow(released_table(_counting(k, ranges)), SENT)
-        tables.append(written(pieces.groupBy("part").applyInArrow(released_table(_summing), TABLE)))
-        found = dict(tables[-1].where("blk = -1").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col")).collect())
-        tallies.append([found.get(i, 0) for i in range(DISCOUNTED + 3)])
-    out = tables[0].withColumn("order", F.lit(1))
-    for k, t in enumerate(tables[1:], 2):
-        out = out.unionByName(t.withColumn("order", F.lit(k)))
-    return out, Katz(tallies)
+    """Written tables of all orders up to ``order`` (see TABLE: blk -1 is the table, the others answer blocks), and the model's constants."""
+    pieces = rows.groupBy("blk").applyInArrow(released_table(_counting(order, range_count(n))), SENT)
+    tables = written(pieces.groupBy("order", "part").applyInArrow(released_table(_summing), TABLE))
+    found = {(k, i): x for k, i, x in tables.where("blk = -1").select("order", F.posexplode("tally")).groupBy("order", "pos").agg(F.sum("col")).collect()}
+    return tables, Katz([[found.get((k, i), 0) for i in range(DISCOUNTED + 3)] for k in range(1, order + 1)])
 
 
 def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
@@ -327,7 +317,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     back = tables.where("blk >= 0").select("blk", "part", "totals", "owned", "order")
     found = written(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(released_tables(_judging(order, range_count(n), model)), FOUND))
     discard(back)
-    weights = written(found.where("part >= 0").groupBy("part").applyInArrow(released_table(_weighing), WEIGHTS))
+    weights = written(found.where("part >= 0").groupBy("order", "part").applyInArrow(released_table(_weighing), WEIGHTS))
     whole = found.where("part = -1").select("blk", "docs", "waits")
     scored = whole.groupBy("blk").cogroup(weights.where("blk >= 0").groupBy("blk")).applyInArrow(released_tables(_finishing), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import blocks, counted, opened, totals
+from ._blocks import blocks, counted, distinct, opened, totals
 from ._jobs import released, released_tables, table, written
 from ._text import _BASE, BYTE_EXACT, Slice, byte_windows, mix, prefix_sums, slices, span_hash
 
@@ -208,7 +208,7 @@ def _judge(rows: pa.Table, back: pa.Table) -> pa.Table:
     """Of one block. Kind 0: documents that need nothing more; 1: documents with open snippets; 2: snippets of groups."""
     blk, rows = rows["blk"][0].as_py(), opened(rows)
     parts = [(part, snippets(part)) for part in slices(rows["text"])]
-    key = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.concatenate(x[3:]) for _, x in parts)]))
+    key = distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.concatenate(x[3:]) for _, x in parts)]))
     total, owned = totals(back)
     done, waiting, sent = [], [], {}
     ids = rows["doc_id"].to_pylist()
