@@ -2,8 +2,8 @@
 
 Equal vectors are one class with a weight. Every class is normalised and hashed by quantised Gaussian projections
 into ``tables`` buckets; members of a bucket are compared by cosine in double precision. A pair is counted in the first
-table that brings it together, so counts add up without a list of pairs, and a bucket hands on a spanning forest
-instead of its pairs. A bucket with more than ``BUCKET`` members is dealt out in pairs of blocks that cover all its
+table that brings it together (rows carry their buckets in the tables before), so counts add up without a list of pairs,
+and a bucket hands on a spanning forest instead of its pairs. Vectors travel as they came, floats in four bytes. A bucket with more than ``BUCKET`` members is dealt out in pairs of blocks that cover all its
 pairs, so no task holds more than two blocks.
 
 Number of tables and projections follow from the number of vectors: at the threshold a pair is missed by all tables
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components, forest
-from ._jobs import table, written
+from ._jobs import released, small_batches, table, written
 
 THRESHOLD = 0.95
 MISS, STRANGERS = 1e-3, 8
@@ -67,8 +67,8 @@ class Tables:
         return np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(32)), axis=2)
 
 
-def _normalised(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
+def _normalised(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # very large and very small parts neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -81,7 +81,9 @@ def usable(embedding):
 
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``rows`` (vec_id, embedding)."""
-    rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = small_batches(rows).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     valid = rows.where(usable("embedding"))
     classes = written(
         valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("cls", F.monotonically_increasing_id())
@@ -95,39 +97,39 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             width = lists.value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(width):
                 own = batch.filter(pa.array(width == d))
-                raw = own.column("embedding").flatten().to_numpy().reshape(len(own), d)
+                raw = own.column("embedding").flatten().to_numpy().reshape(len(own), d).astype(kind)
                 vectors = [x.tobytes() for x in raw]
-                code = Tables(int(d), k, tables).codes(_normalised(vectors)).view(np.int64)
-                for part in range(0, len(own), 1024):
-                    some = code[part : part + 1024]
+                code = Tables(int(d), k, tables).codes(_normalised(vectors, kind)).view(np.int64)
+                for part in range(0, len(own), 256):
+                    some = code[part : part + 256]
                     m = len(some)
                     repeat = np.repeat(np.arange(m), tables)
                     yield pa.record_batch(
                         [
                             pa.array(np.tile(np.arange(tables), m).astype(np.int32)), pa.array(np.full(m * tables, d, dtype=np.int32)), pa.array(some.ravel()),
                             own.column("cls").slice(part, m).take(pa.array(repeat)), own.column("weight").slice(part, m).take(pa.array(repeat)),
-                            pa.array(vectors[part : part + m], pa.binary()).take(pa.array(repeat)),
+                            pa.array(vectors[part : part + m], pa.binary()).take(pa.array(repeat)), pa.array([c[:t].tobytes() for c in some for t in range(tables)], pa.binary()),
                         ],
-                        names=["t", "width", "code", "cls", "weight", "vector"],
+                        names=["t", "width", "code", "cls", "weight", "vector", "before"],
                     )
 
-    dealt = classes.select("cls", "weight", "embedding").mapInArrow(hashed, "t int, width int, code bigint, cls bigint, weight bigint, vector binary")
+    dealt = classes.select("cls", "weight", "embedding").mapInArrow(released(hashed), "t int, width int, code bigint, cls bigint, weight bigint, vector binary, before binary")
     key = ["t", "width", "code"]
     crowded = dealt.groupBy(*key).count().where(F.col("count") > BUCKET).select(*key, F.ceil(F.col("count") * 2 / BUCKET).cast("int").alias("s"))
     block = F.pmod(F.xxhash64("cls"), F.col("s")).cast("int")
     pairs = (
         dealt.join(crowded, key, "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("blk", block)
         .withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
-        .select(*key, F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "cls", "weight", "vector")
+        .select(*key, F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "cls", "weight", "vector", "before")
     )
     keys = [*key, "one", "two"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, keys):
             if group.num_rows > 1:
-                yield from _compared(group, threshold, k, tables)
+                yield from _compared(group, threshold, kind)
 
-    found = written(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u bigint, v bigint, n bigint"))
+    found = written(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(compare), "u bigint, v bigint, n bigint"))
     counts = found.where("n > 0").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n"))
     parts = components(found.where("n = 0").select("u", "v")).select(F.col("node").alias("cls"), "component")
     known = classes.join(counts, "cls", "left").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -164,12 +166,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compared(group: pa.Table, threshold: float, k: int, tables: int) -> Iterator[pa.RecordBatch]:
+def _compared(group: pa.Table, threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Links of one bucket (or pair of blocks) that no earlier table has: weighted counts, and a spanning forest with n = 0."""
-    t, d, one, two = (group[c][0].as_py() for c in ("t", "width", "one", "two"))
+    t, one, two = (group[c][0].as_py() for c in ("t", "one", "two"))
     cls, weight, blk = (group[c].to_numpy() for c in ("cls", "weight", "blk"))
     order = np.argsort(cls, kind="stable")
-    x = _normalised(group["vector"].to_pylist())[order]
+    x = _normalised(group["vector"].to_pylist(), kind)[order]
     cls, weight, blk = cls[order], weight[order], blk[order]
     left, right = (np.arange(len(cls)),) * 2 if one == two else (np.flatnonzero(blk == one), np.flatnonzero(blk == two))
     a, b = np.nonzero(x[left] @ x[right].T >= threshold)
@@ -177,9 +179,7 @@ def _compared(group: pa.Table, threshold: float, k: int, tables: int) -> Iterato
     keep = a < b if one == two else np.ones(len(a), dtype=bool)
     a, b = a[keep], b[keep]
     if t and len(a):
-        own = np.unique(np.concatenate([a, b]))
-        code = np.zeros((len(cls), t), dtype=np.uint64)
-        code[own] = Tables(d, k, tables).codes(x[own])[:, :t]
+        code = np.frombuffer(b"".join(group["before"].to_pylist()), dtype=np.int64).reshape(len(cls), t)[order]
         keep = np.ones(len(a), dtype=bool)
         for part in range(0, len(a), 200_000):
             keep[part : part + 200_000] = ~(code[a[part : part + 200_000]] == code[b[part : part + 200_000]]).any(axis=1)
