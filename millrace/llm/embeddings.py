@@ -197,3 +197,17 @@ def _compared(group: pa.Table, threshold: float, kind: str) -> Iterator[pa.Recor
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.95),
+r AS (SELECT x AS node, x AS root FROM p UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.node),
+m AS (SELECT node, min(root) AS comp FROM r GROUP BY node),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(m.comp, vec_id) AS BIGINT) AS component_id, coalesce(m.comp, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.node = vec_id
+"""

@@ -357,3 +357,24 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] =
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), 3, (90, 100))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+f AS (SELECT s, row_number() OVER (ORDER BY s) AS id, len(s) AS n FROM (SELECT DISTINCT s FROM g WHERE len(s) > 0)),
+e AS (SELECT id, n, unnest(s) AS t FROM f),
+k AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM e)),
+a AS (SELECT id, n, t FROM k WHERE pos <= n - (9 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT x.id AS x, y.id AS y, x.n + y.n AS total FROM a x JOIN a y ON x.t = y.t AND x.id < y.id),
+p AS (SELECT x, y FROM (SELECT x, y, total, count(*) AS both_ FROM c JOIN e d ON d.id = x JOIN e h ON h.id = y AND h.t = d.t GROUP BY ALL) WHERE 100 * both_ >= 90 * (total - both_)),
+q AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x AS node, x AS root FROM q UNION SELECT q.y, r.root FROM r JOIN q ON q.x = r.node),
+m AS (SELECT node, min(root) AS comp FROM r GROUP BY node),
+l AS (SELECT g.doc_id, g.s, coalesce(m.comp, f.id) AS comp FROM g JOIN f ON g.s = f.s LEFT JOIN m ON m.node = f.id),
+o AS (SELECT comp, min(doc_id) AS component_id FROM l GROUP BY comp),
+z AS (SELECT DISTINCT s, component_id FROM l JOIN o USING (comp))
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, CAST(CASE WHEN len(g.s) > 0 THEN z.component_id ELSE g.doc_id END AS BIGINT) AS component_id
+FROM g LEFT JOIN z ON z.s = g.s
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .chat import op2_chat_formatting
 from .decontam import OP3_SQL, op3_benchmark_decontamination
-from .embeddings import op9_embedding_near_dedup
-from .jaccard import op5_ngram_jaccard_join
+from .embeddings import OP9_SQL, op9_embedding_near_dedup
+from .jaccard import OP5_SQL, op5_ngram_jaccard_join
 from .katz import op7_lm_scoring
 from .pii import op4_pii
 from .pieces import op8_sentencepiece
@@ -20,4 +20,4 @@ QUERIES = {
         op10_suffix_array_dedup,
     )
 }
-SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
+SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL}
