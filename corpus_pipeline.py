@@ -6,8 +6,6 @@ work on all that the stage before kept, handle null and empty texts as their ope
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _jobs.table(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's output goes when the next one's has been written."""
+    docs, before = _jobs.table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{_jobs.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = _jobs.written(docs, "snappy")
+            _jobs.discard(*before)
+            before = [docs]
     return docs

@@ -5,5 +5,4 @@ from __future__ import annotations
 from .plans import changes, trade, traffic
 
 QUERIES = {**traffic.QUERIES, **trade.QUERIES, **changes.QUERIES}
-WITHOUT_SQL = traffic.WITHOUT_SQL
 SQL = {**traffic.SQL, **trade.SQL, **changes.SQL}

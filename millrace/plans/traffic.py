@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import split_words, tokens
+from millrace.functions.text import split_words
 from millrace.operators import keyed, rules, windows
 from millrace.sources import serving
 
@@ -70,11 +70,10 @@ def is_new_repair_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.repaired_is_new(log, "mid", order=ORDER).select("event_id", "mid", "is_new")
 
 
-def _keywords(spark: SparkSession, sf_dir: str, tokenizer=lambda c: tokens(c, "[A-Za-z0-9]+")) -> DataFrame:
-    """By default words of ASCII letters and digits, as the SQL has them; a document's time is its id in seconds."""
+def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every script; a document's time is its id in seconds."""
     docs = table(spark, sf_dir, "documents").select("text", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias("ts"))
-    words = split_words(docs, "text", "keyword", tokenizer)
-    return windows.tumbling(words, "ts", "10 seconds", ["keyword"], F.count("keyword").alias("keyword_count"))
+    return windows.tumbling(split_words(docs, "text", "keyword"), "ts", "10 seconds", ["keyword"], F.count("keyword").alias("keyword_count"))
 
 
 def keyword_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +84,6 @@ def keyword_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keywords(spark, sf_dir).groupBy("cur_date", "keyword").agg(total("keyword_count", "keyword_count"))
 
 
-def keyword_window_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every script, by the operator's own pattern."""
-    return _keywords(spark, sf_dir, tokens)
-
-
-def keyword_totals_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keywords(spark, sf_dir, tokens).groupBy("cur_date", "keyword").agg(total("keyword_count", "keyword_count"))
-
-
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five channel figures of every day."""
     return serving.channel_figures(page_view_window(spark, sf_dir), "cur_date")
@@ -107,7 +97,7 @@ _PAGE_VIEW = f"""
 _KEYWORDS = f"""
     SELECT {edges_sql("ts", 10)}, keyword, COUNT(keyword) AS keyword_count FROM (
         SELECT TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts, unnest(CASE WHEN len(w) = 0 OR w IS NULL THEN [NULL] ELSE w END) AS keyword
-        FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS w FROM documents)) GROUP BY ALL"""
+        FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))) AS w FROM documents)) GROUP BY ALL"""
 SQL = {
     "page_view_window": _PAGE_VIEW,
     "home_detail_uv_window": f"""
@@ -150,5 +140,6 @@ QUERIES = {
     f.__name__: f
     for f in (page_view_window, home_detail_uv_window, login_back_window, register_window, cart_uu_window, payment_uu_window, visitor_first_visit, is_new_repair, is_new_repair_mixed, keyword_window, keyword_totals, channel_stats)
 }
-#: Without SQL: DuckDB's lower and character classes need not be Spark's.
-WITHOUT_SQL = {f.__name__: f for f in (keyword_window_unicode, keyword_totals_unicode)}
+#: The same queries under their earlier names.
+QUERIES |= {"keyword_window_unicode": keyword_window, "keyword_totals_unicode": keyword_totals}
+SQL |= {f"{k}_unicode": SQL[k] for k in ("keyword_window", "keyword_totals")}

@@ -18,8 +18,8 @@ def test_keywords_of_every_script(spark, tmp_path):
     for k, t in rows:
         totals.update(words(t))
         windows.update((k // 10, w) for w in words(t))
-    found = queries["keyword_totals_unicode"](spark, str(tmp_path)).collect()
+    found = queries["keyword_totals"](spark, str(tmp_path)).collect()
     assert {r.keyword: r.keyword_count for r in found if r.keyword is not None} == totals
     assert totals["\u00e9t\u00e9"] == 1 and totals["\u043c\u0438\u0440"] == 1 and None in {r.keyword for r in found}
-    found = queries["keyword_window_unicode"](spark, str(tmp_path)).where("keyword is not null").collect()
+    found = queries["keyword_window"](spark, str(tmp_path)).where("keyword is not null").collect()
     assert Counter((r.keyword, r.keyword_count) for r in found) == Counter((w, n) for (_, w), n in windows.items())
