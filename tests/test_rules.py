@@ -105,3 +105,10 @@ def test_serving_answers(spark):
     assert [s["data"] for s in answer["data"]["series"]] == [[3, 2], [0, 4], [None, 2.0], [None, 1.0], [None, 0.25]]
     words = serving.keyword_stats(spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-01", "b", 5), ("2024-01-01", "a", 2)], "cur_date string, keyword string, keyword_count bigint"), "2024-01-01")
     assert json.loads(serving.keyword_json(words).first().value) == {"status": 0, "msg": "", "data": [{"name": "b", "value": 5}, {"name": "a", "value": 3}]}
+
+
+def test_jdbc_table(spark):
+    url, driver = "jdbc:derby:memory:millrace;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(1, "a"), (2, "b")], "order_id bigint, sku_name string").write.format("jdbc").options(url=url, dbtable="details", driver=driver).mode("overwrite").save()
+    found = files.jdbc_table(spark, url, "SELECT * FROM details", camel=True, driver=driver)
+    assert found.columns == ["orderId", "skuName"] and sorted(map(tuple, found.collect())) == [(1, "a"), (2, "b")]
