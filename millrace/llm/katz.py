@@ -1,7 +1,9 @@
 """Language model scores: Katz back-off n-grams with Good-Turing discounts, counted over all training documents.
 
 For every order the counts of all n-grams are summed in ranges of the key space (``_blocks``) and written: the n-gram
-tables, in one partition for each range. Each block of documents gets back the counts of what it holds. An n-gram seen
+tables, in one partition for each range. Each block of documents gets back the counts of what it holds. From order 3 on
+a block does not send what it knows: an n-gram with an unseen part has count 0, and one with a part that stands once in
+the training texts and in no other text has count 1 (it is tallied, but in no table, as nothing can ask for it). An n-gram seen
 r times after history h has the probability d(r) r / (c(h) + SPARE). Any other word takes its probability after the
 shorter history times a(h), recursively down to single words; a(h) is the weight that makes the probabilities after h
 sum to one exactly: a(h) = left(h) / (1 - sum over the words seen after h of their probability after the shorter
@@ -32,7 +34,7 @@ from ._blocks import answered, blocks, cut_up, cuts, met, opened, packed, planes
 from ._jobs import discard, fold, released_table, released_tables, table, written
 from ._text import NON_SPACE, mix, slices, word_hashes
 
-ORDER = 2
+ORDER = 3
 DISCOUNTED = 5
 SPARE = 0.5
 END = np.uint64(0xEA09E667F3BCC900)
@@ -82,7 +84,7 @@ class Grams:
         return out
 
 
-SENT = "order int, part int, blk int, keys binary, counts binary"
+SENT = "order int, part int, blk int, keys binary, counts binary, alone bigint"
 TABLE = "order int, blk int, part int, totals binary, owned binary, keys binary, tally array<bigint>"
 _TABLE = pa.schema([("order", pa.int32()), ("blk", pa.int32()), ("part", pa.int32()), ("totals", pa.binary()), ("owned", pa.binary()), ("keys", pa.binary()), ("tally", pa.list_(pa.int64()))])
 
@@ -91,6 +93,17 @@ def _with_order(table: pa.Table, k: int) -> pa.Table:
     return table.add_column(0, "order", pa.array([k] * len(table), pa.int32()))
 
 
+def _pieces(own: Grams, k: int, blk: int, ranges: int, send: np.ndarray | slice = slice(None), alone: int = 0) -> pa.Table:
+    """A block's n-grams of one order for their ranges: twice the training count, and 1 more where a text that is not for training has it."""
+    there = own.at[k] >= 0
+    train, other = own.at[k][there & own.train], own.at[k][there & ~own.train]
+    value = 2 * np.bincount(train, minlength=len(own.key[k]))
+    value[other] |= 1
+    value = value[send]
+    out = _with_order(cut_up(blk, own.key[k][send], lambda s: planes(value[s]), ranges), k)
+    return out.append_column("alone", pa.array([alone] * bool(len(out)) + [0] * (len(out) - 1), pa.int64()))
+
+
 def _tally(counts: np.ndarray) -> list[int]:
     """How many different n-grams there are, their occurrences, and how many occur 1, 2, .. DISCOUNTED + 1 times."""
     own = counts[counts > 0]
@@ -98,18 +111,52 @@ def _tally(counts: np.ndarray) -> list[int]:
 
 
 def _counting(order: int, ranges: int):
-    """Send a block's n-grams of all orders: twice the training count, and 1 more where a text that is not for training has it."""
-
     def send(part: pa.Table) -> pa.Table:
         blk = part["blk"][0].as_py()
-        own, out = Grams(opened(part), order), []
+        own = Grams(opened(part), order)
+        return pa.concat_tables([_pieces(own, k, blk, ranges) for k in range(1, order + 1)])
+
+    return send
+
+
+class Known:
+    """Totals of a block's n-grams by order, as far as they came back: total[k], asked[k] (by any text that is not for training), owned[k]
+    (this block stands for it). Number -1 is none."""
+
+    def __init__(self, own: Grams, back: pa.Table, order: int):
+        self.own, self.total, self.asked, self.owned = own, {}, {}, {}
+        orders = back["order"].to_numpy()
         for k in range(1, order + 1):
-            there = own.at[k] >= 0
-            train, other = own.at[k][there & own.train], own.at[k][there & ~own.train]
-            value = 2 * np.bincount(train, minlength=len(own.key[k]))
-            value[other] |= 1
-            out.append(_with_order(cut_up(blk, own.key[k], lambda s: planes(value[s]), ranges), k))  # noqa: B023
-        return pa.concat_tables(out)
+            value, owned = _answers(back.filter(pa.array(orders == k)))
+            total, asked = value >> 1, (value & 1) > 0
+            if k > 2:
+                send, count = self.to_send(k)
+                for x, y in ((count, total), (flag := np.zeros(len(send), dtype=bool), asked), (mine := np.ones(len(send), dtype=bool), owned)):
+                    x[send] = y
+                total, asked, owned = count, flag, mine
+            self.total[k], self.asked[k], self.owned[k] = np.append(total, 0), np.append(asked, False), owned
+
+    def to_send(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams of order ``k`` a range must count, and the counts of the others."""
+        place = self.own.place(k)
+        parts = self.own.past[k][place], self.own.at[k - 1][place]
+        seen, alone = (self.total[k - 1][parts[0]] > 0) & (self.total[k - 1][parts[1]] > 0), np.zeros(len(place), dtype=bool)
+        for x in parts:
+            alone |= (self.total[k - 1][x] == 1) & ~self.asked[k - 1][x]
+        send = seen & ~alone
+        if len(send) and not send.any():
+            send[0] = True  # every block answers for itself
+        return send, (seen & alone).astype(np.int64)
+
+
+def _counting_more(k: int, ranges: int):
+    def send(docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.schema([("order", pa.int32()), ("part", pa.int32()), ("blk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("alone", pa.int64())]).empty_table()
+        blk = docs["blk"][0].as_py()
+        own = Grams(opened(docs), k)
+        go, count = Known(own, back, k - 1).to_send(k)
+        return _pieces(own, k, blk, ranges, np.flatnonzero(go), int(count[~go].sum()))
 
     return send
 
@@ -124,9 +171,12 @@ def _summing(part: pa.Table) -> pa.Table:
     back = _with_order(answered(part, cut, 2 * count + (asked > 0), own), k)
     every = count[order][first]
     seen = every > 0
+    tally, alone = _tally(every), sum(part["alone"].to_pylist())
+    for i in (0, 1, 2):
+        tally[i] += alone
     one = {
         "order": [k], "blk": [-1], "part": [part["part"][0].as_py()], "totals": [planes(every[seen])], "owned": [b""],
-        "keys": [packed(keys[first][seen]) if seen.any() else b""], "tally": [_tally(every)],
+        "keys": [packed(keys[first][seen]) if seen.any() else b""], "tally": [tally],
     }
     back = pa.table([back[f.name] if f.name in back.schema.names else pa.nulls(len(back), f.type) for f in _TABLE], schema=_TABLE)
     return pa.concat_tables([back, pa.table(one, schema=_TABLE)])
@@ -194,11 +244,9 @@ def _judging(order: int, ranges: int, model: Katz):
             return _FOUND.empty_table()
         blk, docs = docs["blk"][0].as_py(), opened(docs)
         own = Grams(docs, order)
-        total, asked, owned, count = {}, {}, {}, {}
-        for k in range(1, order + 1):
-            value, owned[k] = _answers(back.filter(pa.array(back["order"].to_numpy() == k)))
-            total[k], asked[k] = np.append(value >> 1, 0), np.append((value & 1) > 0, False)  # number -1: none
-            count[k] = total[k][own.at[k]]
+        known = Known(own, back, order)
+        total, asked, owned = known.total, known.asked, known.owned
+        count = {k: total[k][own.at[k]] for k in range(1, order + 1)}
         past = {k: total[k - 1][own.past[k]] for k in range(2, order + 1)}
         n = len(own.bounds) - 1
         row = np.repeat(np.arange(n), np.diff(own.bounds))
@@ -304,8 +352,12 @@ def _finishing(whole: pa.Table, weights: pa.Table) -> pa.Table:
 
 def ngram_tables(rows: DataFrame, n: int, order: int = ORDER) -> tuple[DataFrame, Katz]:
     """Written tables of all orders up to ``order`` (see TABLE: blk -1 is the table, the others answer blocks), and the model's constants."""
-    pieces = rows.groupBy("blk").applyInArrow(released_table(_counting(order, range_count(n))), SENT)
-    tables = written(pieces.groupBy("order", "part").applyInArrow(released_table(_summing), TABLE))
+    ranges = range_count(n)
+    summed_ = lambda pieces: written(pieces.groupBy("order", "part").applyInArrow(released_table(_summing), TABLE))
+    tables = summed_(rows.groupBy("blk").applyInArrow(released_table(_counting(min(order, 2), ranges)), SENT))
+    for k in range(3, order + 1):
+        back = tables.where("blk >= 0").select("order", "blk", "part", "totals", "owned")
+        tables = tables.unionByName(summed_(rows.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(released_tables(_counting_more(k, ranges)), SENT)))
     found = {(k, i): x for k, i, x in tables.where("blk = -1").select("order", F.posexplode("tally")).groupBy("order", "pos").agg(F.sum("col")).collect()}
     return tables, Katz([[found.get((k, i), 0) for i in range(DISCOUNTED + 3)] for k in range(1, order + 1)])
 
