@@ -9,7 +9,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from millrace.llm import chat, decontam, embeddings, jaccard, katz, pieces, pii
+from millrace.llm import decontam, embeddings, jaccard, katz, pieces, pii
 from millrace.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
