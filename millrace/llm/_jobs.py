@@ -111,12 +111,17 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents (doc_id, text, label) outside the held-out fold.
+#: Bytes of text of a labelled sample, beside its bound on rows.
+SAMPLE_BYTES = 128 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int, most: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``rows`` labelled documents (doc_id, text, label) outside the held-out fold, of at most ``most`` bytes. Written.
 
     The bound is taken on ``labels`` by a hash of doc_id, so it is the same set on every run; that bounded table
-    is what is broadcast to the scan of the documents. Labels that are null are not used; an id with several
-    labels counts with its largest, one with several texts with the least of them.
+    is what is broadcast to the scan of the documents. Where the texts are too long together, rows go by the same hash.
+    Labels that are null are not used; an id with several labels counts with its largest, one with several texts with
+    the least of them.
     """
     keep = fold(F.col("doc_id"), modulus) != held_out
     few = (
@@ -124,4 +129,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    total = 0
+    for place, size in sorted(tuple(r) for r in sample.select(F.xxhash64("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0))).collect()):
+        total += size
+        if total > most:
+            return sample.where(F.xxhash64("doc_id") < place)
+    return sample

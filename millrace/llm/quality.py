@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import fold, labelled_sample, release, released, small_batches, table
+from ._jobs import discard, fold, labelled_sample, release, released, small_batches, table
 from ._text import ALNUM, BYTE_EXACT, NON_SPACE, Slice, gram_hashes, slices, span_hash, prefix_sums, _BASE
 
 #: Weights of the model: 2**BITS.
@@ -118,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     examples.sort(key=lambda x: (len(x[0]), x[2], x[0].tobytes()))  # the same order on every run
     model = ftrl(examples)
     examples.clear()
+    discard(sample)
     release()
     return model
 

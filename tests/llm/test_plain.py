@@ -112,3 +112,15 @@ def test_disclosure_against_plain_counts(spark):
         own = {w: s for (c, w), s in want.items() if c in entities[t]}
         new = " ".join("[EMAIL]" if "@" in w else "" if own.get(w, 0) >= pii.REMOVE else "[GENERAL]" if w in own else w for w in t.split())
         assert by_id[i] == new
+
+
+def test_a_labelled_sample_is_bounded_in_rows_and_bytes(spark):
+    from millrace.llm._jobs import labelled_sample
+
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(60)] + [(3, "a" * 100), (60, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)] + [(5, None), (7, 0)], "doc_id bigint, good int")
+    every = {r.doc_id: (r.label, r.text) for r in labelled_sample(docs, labels, "good", 4, 2, 1000).collect()}
+    assert len(every) > 30 and every.get(3, (1, "a" * 100)) == (1, "a" * 100)
+    assert len(labelled_sample(docs, labels, "good", 4, 2, 10).collect()) == 10
+    few = {r.doc_id for r in labelled_sample(docs, labels, "good", 4, 2, 1000, 1050).collect()}
+    assert 10 <= len(few) <= 11 and few <= set(every)
