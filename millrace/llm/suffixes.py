@@ -40,8 +40,8 @@ from ._jobs import released, released_tables, table, written
 from ._text import _BASE, BYTE_EXACT, Slice, byte_windows, mix, prefix_sums, slices, span_hash
 
 WIDTH, GRAM = 200, 64
-#: Different snippets of one group; larger groups are split by more bytes.
-HOT = 500
+#: Different snippets of one group (of 336 bytes at most each: 2.7 MB in one suffix array); larger groups are split by more bytes.
+HOT = 8_000
 #: Bytes of snippets in one suffix array.
 TOGETHER = 1 << 18
 _TOP = np.uint64(1 << 63)
