@@ -33,6 +33,8 @@ GENERALISE, REMOVE = 0.85, 0.95
 SUPPORT = 3
 #: Rows of terms or entities that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: The same for texts that come more than once: a hash and a count of each.
+BROADCAST_COPIES = 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The contract's patterns, in forms that never search a run of characters twice: a match can begin only where a run
 #: begins or the match before ended, and what cannot give back characters does not try to.
@@ -156,14 +158,14 @@ def entity_texts(docs: DataFrame) -> DataFrame:
     return written(found.groupBy("__h").agg(F.first("x").alias("x")).select("__h", "x.*"))
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+def _small(rows: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _frequencies(docs: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
     """(t, n_t): in how many different texts each of ``terms`` stands; a text in m copies counts 1 / m in each."""
     rows = _keys(docs.select("doc_id", "text")).select("__h", F.explode(_terms(F.col("text"), base_spans(F.col("text")))).alias("t"))
-    return rows.join(_small(terms), "t").join(copies, "__h", "left").groupBy("t").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("bigint").alias("n_t"))
+    return rows.join(_small(terms), "t").join(_small(copies, BROADCAST_COPIES), "__h", "left").groupBy("t").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("bigint").alias("n_t"))
 
 
 
