@@ -36,7 +36,7 @@ class Centroids:
 
     def __init__(self, points: list[list[int]]):
         self.points = points
-        self.matrix = np.array(points, dtype=np.int64).reshape(len(points), -1)
+        self.matrix = np.array(points, dtype=np.int64).reshape(len(points), len(points[0]) if points else 0)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the nearest centroid of each row, and the squared distance as a whole number."""

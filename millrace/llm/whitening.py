@@ -70,7 +70,8 @@ def jacobi(r: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
                 continue
             turned = True
             p, q, alpha, beta, gamma = p[some], q[some], alpha[some], beta[some], gamma[some]
-            zeta = (beta - alpha) / (2 * gamma)
+            with np.errstate(over="ignore"):  # an infinite quotient turns by nothing
+                zeta = (beta - alpha) / (2 * gamma)
             t = np.where(zeta >= 0, 1.0, -1.0) / (np.abs(zeta) + np.hypot(1.0, zeta))
             c = 1 / np.hypot(1.0, t)
             s = c * t
