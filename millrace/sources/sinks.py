@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import renamed, to_snake
+from millrace.sources.committed import Committed
 
 
 def as_json(df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
@@ -41,17 +42,13 @@ def latest_by_key(key: Sequence[str], order: Sequence[str], write: Callable[[Dat
 
 
 def routed_to(path: str, by: str = "sink_table") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes each row to the folder its column ``by`` names."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={number}")
-
-    return each
+    """A foreachBatch function that appends each row to the table its column ``by`` names, all tables by one commit."""
+    return Committed(path).routed(by)
 
 
-def routed_table(spark: SparkSession, path: str, name: str, by: str = "sink_table") -> DataFrame:
-    """The rows that ``routed_to`` wrote for one name; other folders are not read."""
-    return spark.read.parquet(path).where(F.col(by) == name).drop(by, "batch")
+def routed_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The rows that ``routed_to`` committed for one name; other tables are not read. None where there were none."""
+    return Committed(path).table(spark, name)
 
 
 class Dimension:
