@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import changes, trade, traffic
+from .plans import changes, envelopes, trade, traffic
 
-QUERIES = {**traffic.QUERIES, **trade.QUERIES, **changes.QUERIES}
-SQL = {**traffic.SQL, **trade.SQL, **changes.SQL}
+QUERIES = {**traffic.QUERIES, **trade.QUERIES, **changes.QUERIES, **envelopes.QUERIES}
+SQL = {**traffic.SQL, **trade.SQL, **changes.SQL, **envelopes.SQL}
