@@ -48,7 +48,7 @@ SIMILARITY = (80, 100)
 #: Shingles of so large a share of the hash space come first in the order and are counted: this times (1 - similarity).
 COUNTED = 2.5
 #: Shingles of the sets that are compared in one piece (one larger set goes alone).
-GROUP = 100_000
+GROUP = 400_000
 _D1, _D2 = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
 _SET = np.uint64(0x6A09E667F3BCC908)
 
