@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import split_words
-from millrace.operators import keyed, rules, windows
+from millrace.operators import keyed, rules, segmentation, windows
 from millrace.sources import serving
 
 from .inputs import MONEY, PAGE_LOG_SQL, edges_sql, page_log, table
@@ -143,3 +143,20 @@ QUERIES = {
 #: The same queries under their earlier names.
 QUERIES |= {"keyword_window_unicode": keyword_window, "keyword_totals_unicode": keyword_totals}
 SQL |= {f"{k}_unicode": SQL[k] for k in ("keyword_window", "keyword_totals")}
+
+
+#: Letters as Han characters: texts of the documents stand in for searches in a script without spaces.
+_HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+
+
+def keyword_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of texts without spaces. Every whole document, its letters as Han characters and its spaces gone, is cut by the dictionary
+    of the words that stand in the documents. SQL has no best path; tests compare with every cut of short texts."""
+    docs = table(spark, sf_dir, "documents").select(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", _HAN).alias("text"))
+    dictionary = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{_HAN}]+"), F.lit(0)))).alias("word"))
+    joined = docs.select(F.regexp_replace("text", r"[ \t\n\r]+", "").alias("text"))
+    words = segmentation.segmented(joined, "text", dictionary, "keyword")
+    return words.groupBy("keyword").agg(F.count("keyword").alias("keyword_count"))
+
+
+QUERIES |= {"keyword_segmented": keyword_segmented}

@@ -16,7 +16,7 @@ def same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-12))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
