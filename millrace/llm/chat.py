@@ -1,18 +1,19 @@
 """Chat formatting in budgeted windows.
 
 Turn texts are escaped, wrapped in the template's marks and counted in tokens, each by itself. Prefix sums of those
-counts, taken by Spark over stretches of ``CHUNK`` turn numbers, choose spans of whole turns that fit a token budget: a
+counts, taken by Spark over stretches of ``CHUNK`` turns, choose spans of whole turns that fit a token budget: a
 span ends where the prefix sum passes its start's by more than what is left of the budget. Every window after a
 conversation's first repeats the system turn and, as far as prefix sums allow, a limited stretch of the turns before it;
 only assistant texts that are new in a window lie under its loss mask, so each is a target once. ``read_back`` restores
 turns and targets from the windows alone.
 
 A stretch is cut by itself: it gets the last turns of the stretch before as history, and the system turn by a join. So a
-conversation of any length is spread over tasks, and memory is bounded by a stretch.
+conversation of any length is spread over tasks, and memory is bounded by a stretch. Stretches count a conversation's turns in their order,
+whatever their numbers: sparse, huge or missing numbers give the same windows as 0, 1, 2 and so on.
 
 Defined results: null texts and roles are empty; turns with the same number are taken by role, then text; a null
 turn number comes first; repeated rows are turns of their own. A turn longer than the budget gets a window of its
-own, whole (a system turn stays with the turn after it). Turns without a number are a stretch of their own. A null conv_id is one more conversation. No rows in, no rows
+own, whole (a system turn stays with the turn after it). A null conv_id is one more conversation. No rows in, no rows
 out; other columns are ignored.
 """
 
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._jobs import released, small_batches, table
+from ._order import ranked
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUDGET, HISTORY = 512, 128
-#: Turn numbers of one stretch.
+#: Turns of one stretch.
 CHUNK = 1024
 #: The template's marks, other strings with a meaning for chat models, and the vocabulary's split pattern.
 OPEN, CLOSE = "<s>", "</s>"
@@ -104,6 +106,18 @@ def choose(tokens: list[int], past: int, system: int | None, system_first: bool,
     return out
 
 
+def stretches_of(turns: DataFrame, chunk: int) -> DataFrame:
+    """``turns`` with ``chunk``: the number of each turn's stretch. Only conversations of more than one stretch are ranked."""
+    longer = turns.groupBy("conv_id").count().where(F.col("count") > chunk).select(F.col("conv_id").alias("__c"))
+    first = turns.withColumn("chunk", F.lit(0).cast("bigint"))
+    if longer.isEmpty():
+        return first
+    same = F.col("conv_id").eqNullSafe(F.col("__c"))
+    begin = [F.col("turn").asc(), F.col("role").asc(), F.substring("text", 1, 64).asc()]
+    rest = ranked(turns.join(longer, same, "left_semi"), "conv_id", begin, ["turn", "role", "text"])
+    return first.join(longer, same, "left_anti").unionByName(rest.withColumn("chunk", F.floor(F.col("__rank") / chunk)).drop("__rank"))
+
+
 def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
     """(conv_id, window, text, repeated, turns, tokens, loss) of every window; loss spans are code points of ``text``.
 
@@ -119,7 +133,7 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
             yield pa.record_batch([*batch.columns, pa.array(size, pa.int64())], names=[*batch.schema.names, "tokens"])
 
     turns = small_batches(rows).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = turns.mapInArrow(released(count), "conv_id bigint, turn bigint, role string, text string, tokens bigint").withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**40))))
+    counted = stretches_of(turns, chunk).mapInArrow(released(count), "conv_id bigint, turn bigint, role string, text string, chunk bigint, tokens bigint")
     own, order = ["conv_id", "chunk"], ["turn", "role", "text"]
     upto = F.sum("tokens").over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rest = F.sum("tokens").over(Window.partitionBy(*own)) - F.col("upto") + F.col("tokens")

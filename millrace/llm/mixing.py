@@ -17,15 +17,13 @@ a name are one source, the last. Repeated rows are documents of their own. A bud
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import released, small_batches, table, written
+from ._jobs import table, written
+from ._order import running
 
 WEIGHTS, MOST = (1, 2, 3), 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,28 +37,6 @@ def sizes(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def running(rows: DataFrame, order: Sequence[Column], amount: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``amount`` (bigint) over all rows that come earlier in ``order``.
-
-    Rows are range-sorted once; tasks add up their own range, and the sums of the ranges before it (one number for each range) are added.
-    """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            own = batch.column(amount).to_numpy()
-            ends = np.cumsum(own) + total
-            yield batch.append_column("__part", pa.array(np.full(len(own), part, dtype=np.int64))).append_column("before", pa.array(ends - own))
-            total = int(ends[-1]) if len(own) else total
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", `__part` bigint, before bigint"
-    placed = written(small_batches(rows).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(released(add), schema))
-    ranges = placed.groupBy("__part").agg(F.sum(amount).alias("__s"))
-    offset = F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.select("__part", offset.alias("__o"))  # as many rows as there are ranges
-    return placed.join(F.broadcast(offsets), "__part").withColumn("before", F.col("before") + F.col("__o")).drop("__part", "__o")
-
-
 def targets(sources: DataFrame, budget: int, most: int) -> DataFrame:
     """``sources`` (size, weight) with ``target``: the budget by weight, at most ``most`` times the size, the excess shared again until none is above."""
     bound, free, before = F.col("size") * most, F.col("size") > 0, None

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import _lattice, centroids, mixing, whitening
+from millrace.llm import _lattice, _order, centroids, mixing, whitening
 
 SF = "/root/testdata/sf0.001"
 VEC = "vec_id bigint, embedding array<double>, q string, width string, n string, place string"
@@ -286,7 +286,7 @@ def test_the_mix_is_in_order_and_ends_at_the_budget(spark):
 def test_running_sums(spark):
     rng = random.Random(1)
     rows = [(rng.choice("abc"), rng.randint(0, 9), rng.randint(0, 5)) for _ in range(300)]
-    out = mixing.running(spark.createDataFrame(rows, "k string, o bigint, v bigint").repartition(5), [F.col("k").asc(), F.col("o").asc(), F.col("v").asc()], "v").collect()
+    out = _order.running(spark.createDataFrame(rows, "k string, o bigint, v bigint").repartition(5), [F.col("k").asc(), F.col("o").asc(), F.col("v").asc()], "v").collect()
     at, want = 0, []
     for k, o, v in sorted(rows):
         want.append((k, o, v, at))

@@ -41,7 +41,7 @@ def test_windows(spark, budget, history, chunk):
             assert sum(count(*t) for t in past) <= history
             alone = count(*fresh[0]) + sum(count(*t) for t in system)
             assert w.tokens <= budget or len(fresh) == 1 and not past or (j == 0 and len(fresh) == 2 and fresh[0][0] == "system")
-            if chunk > 1000 and c != 51:  # (turns without a number are a stretch of their own) as much history as fits, and no room left for the next turn
+            if chunk > 1000:  # as much history as fits, and no room left for the next turn
                 room = min(history, budget - alone)
                 start = len(new)
                 least = 1 if turns[0][0] == "system" else 0
@@ -67,3 +67,35 @@ def test_escaping_round_trip():
 
 def test_no_rows(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [1024, 8])
+def test_numbers_of_turns_only_give_their_order(spark, chunk):
+    """Huge, negative, sparse, equal and missing numbers give the windows of 0, 1, 2 and so on."""
+    schema = "conv_id bigint, turn bigint, role string, text string, tokens string, chunk string, number string, __rank string"
+    turns = [("user" if k % 2 else "assistant", f"text {k:03} " * (1 + k % 7)) for k in range(40)]
+    plain = [(1, k, r, t) for k, (r, t) in enumerate(turns)]
+    ways = {
+        "huge": lambda k: 10**18 + k, "negative": lambda k: -(2**63) + 3 * k, "sparse": lambda k: 2000 * k, "ends": lambda k: (2**63 - 1) - 7 * (40 - k), "pairs": lambda k: k // 2,
+    }
+    run = lambda rows: sorted(tuple(w) for w in chat.format_conversations(spark.createDataFrame([(*r, *["x"] * 4) for r in rows], schema).repartition(3), 128, 40, chunk=chunk).collect())
+    want = run(plain)
+    assert len(want) > 3
+    for name, number in ways.items():
+        assert run([(1, number(k), r, t) for _, k, r, t in plain]) == want, name
+    same = sorted((r, t) for r, t in turns)  # without numbers, or with one for all, role and text give the order
+    want = run([(1, k, r, t) for k, (r, t) in enumerate(same)])
+    assert run([(1, None, r, t) for r, t in turns]) == want and run([(1, 5, r, t) for r, t in turns]) == want
+
+
+def test_ranks_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import _order
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, None] + [7] * 9), rng.randint(0, 30), rng.choice("ab")) for _ in range(500)]
+    found = _order.ranked(spark.createDataFrame(rows, "k bigint, o bigint, v string").repartition(6), "k", [F.col("o").asc()], ["o", "v"]).collect()
+    for k in (1, 2, 7, None):
+        own = sorted((r["__rank"], r.o, r.v) for r in found if r.k == k)
+        assert own == [(i, *x) for i, x in enumerate(sorted((o, v) for kk, o, v in rows if kk == k))]
