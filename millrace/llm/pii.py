@@ -11,8 +11,8 @@ three words in a row: near copies share that hash as often as they share such th
 So an entity that stands in fewer different texts discloses nothing by its terms.
 
 Texts stay where they are: only the words of texts with entities are shuffled, then the places of the terms that are
-candidates, and the hashes of all texts. The few documents with disclosing terms are broadcast to the scan that marks
-them, up to ``BROADCAST_TERMS`` of them.
+candidates, and the hashes of all texts. Entities and terms are paired only where both stand in ``SUPPORT`` texts with entities. The few
+documents with disclosing terms are broadcast to the scan that marks them while they are small (``BROADCAST_BYTES``).
 
 Defined results: null texts are empty. Texts of any length are handled whole. Repeated rows count as rows and give
 equal results. Base spans are never changed by what the method adds; added spans lie outside them. Other columns stay.
@@ -31,10 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "term", "general")
 TAGS = tuple("" if k == "term" else f"[{k.upper()}]" for k in KINDS)
 GENERALISE, REMOVE = 0.85, 0.95
 SUPPORT = 3
-#: Rows of terms or entities that are broadcast at most; more are joined by a shuffle.
-BROADCAST_TERMS = 100_000
-#: The same for texts that come more than once: a hash and a count of each.
-BROADCAST_COPIES = 1_000_000
+#: Bytes (as JSON) of terms, entities, copies or added spans that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The contract's patterns, in forms that never search a run of characters twice: a match can begin only where a run
 #: begins or the match before ended, and what cannot give back characters does not try to.
@@ -56,15 +54,19 @@ def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0), lambda s, v: s + v)
 
 
-def running(widths: Column) -> Column:
-    """Running totals of an array, by blocks so that long arrays cost little more than their length."""
+def _most(x: Column) -> Column:
+    return F.coalesce(F.array_max(x), F.lit(0))
+
+
+def running(widths: Column, total: Callable[[Column], Column] = _total, both: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running totals (or maxima) of an array, by blocks so that long arrays cost little more than their length."""
     whole = lambda i: F.floor(i / _BLOCK).cast("int")
 
     def blocked(w: Column) -> Column:
         n = whole(F.size(w) + (_BLOCK - 1))
-        sums = F.transform(F.sequence(F.lit(0), n - 1), lambda b: _total(F.slice(w, b * _BLOCK + 1, F.lit(_BLOCK))))
-        before = lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda b: _total(F.slice(s, F.lit(1), b)))
-        return let(sums, lambda s: let(before(s), lambda p: F.transform(w, lambda _, i: F.get(p, whole(i)) + _total(F.slice(w, whole(i) * _BLOCK + 1, i % _BLOCK + 1)))))
+        sums = F.transform(F.sequence(F.lit(0), n - 1), lambda b: total(F.slice(w, b * _BLOCK + 1, F.lit(_BLOCK))))
+        before = lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda b: total(F.slice(s, F.lit(1), b)))
+        return let(sums, lambda s: let(before(s), lambda p: F.transform(w, lambda _, i: both(F.get(p, whole(i)), total(F.slice(w, whole(i) * _BLOCK + 1, i % _BLOCK + 1))))))
 
     return let(widths, lambda w: F.when(F.size(w) > 0, blocked(w)).otherwise(F.array().cast("array<int>")))
 
@@ -145,9 +147,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column, base: Column) -> Column:
-    """Different terms of a text outside its base spans: words of three characters or more that are no mere numbers."""
+    """Different terms of a text outside its base spans: words that are no mere numbers."""
     outside = F.when(F.size(base) == 0, text).otherwise(rewritten(text, base, [" "] * len(KINDS)))
-    return F.filter(F.array_distinct(words(outside)), lambda t: (F.length(t) > 2) & t.rlike(_TERM))
+    return F.filter(F.array_distinct(words(outside)), lambda t: t.rlike(_TERM))
 
 
 def entity_texts(docs: DataFrame) -> DataFrame:
@@ -158,15 +160,15 @@ def entity_texts(docs: DataFrame) -> DataFrame:
     return written(found.groupBy("__h").agg(F.first("x").alias("x")).select("__h", "x.*"))
 
 
-def _small(rows: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= most else rows
+def _small(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0] or 0
+    return F.broadcast(rows) if size <= most else rows
 
 
 def _frequencies(docs: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
     """(t, n_t): in how many different texts each of ``terms`` stands; a text in m copies counts 1 / m in each."""
     rows = _keys(docs.select("doc_id", "text")).select("__h", F.explode(_terms(F.col("text"), base_spans(F.col("text")))).alias("t"))
-    return rows.join(_small(terms), "t").join(_small(copies, BROADCAST_COPIES), "__h", "left").groupBy("t").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("bigint").alias("n_t"))
-
+    return rows.join(_small(terms), "t").join(_small(copies), "__h", "left").groupBy("t").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("bigint").alias("n_t"))
 
 
 def disclosing(docs: DataFrame) -> DataFrame | None:
@@ -175,8 +177,10 @@ def disclosing(docs: DataFrame) -> DataFrame | None:
     texts = written(_keys(docs.select("doc_id", "text")).groupBy("__h").agg(F.count("*").alias("m")))
     n = texts.count()
     entities = written(seen.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= SUPPORT))
-    held = seen.select("like", "terms", F.explode("entities").alias("c")).join(_small(entities), "c")
-    pairs = held.select("c", "n_c", "like", F.explode("terms").alias("t"))
+    held = seen.select("__h", "like", F.explode("entities").alias("c")).join(_small(entities), "c")
+    stood = seen.join(held.select("__h").distinct(), "__h", "left_semi").select("__h", F.explode("terms").alias("t"))
+    common = written(stood.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("t"))
+    pairs = held.join(stood.join(_small(common), "t"), "__h").select("c", "n_c", "like", "t")
     often = written(pairs.groupBy("c", "t").agg(F.first("n_c").alias("n_c"), F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT))
     if often.isEmpty():
         return None
@@ -225,19 +229,23 @@ def rewritten(text: Column, all_spans: Column, by: Sequence[str] = TAGS) -> Colu
     """The text with every span replaced by its tag (removed terms by nothing); overlapping spans are replaced in order of their starts."""
     tags = F.array(*map(F.lit, by))
 
-    def cut(chunks: Column) -> Column:
+    def cut(x: Column) -> Column:
+        chunks, own = x["chunks"], x["own"]
+
         def between(a: Column, b: Column) -> Column:
             one, two = F.floor(a / 64).cast("int"), F.floor((b - 1) / 64).cast("int")
             return F.when(b > a, F.substring(F.array_join(F.slice(chunks, one + 1, two - one + 1), ""), a % 64 + 1, b - a)).otherwise(F.lit(""))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-        def step(state: Column, s: Column) -> Column:
-            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(between(state["at"], s["start"]), F.get(tags, s["kind"]))).alias("out"))
+        def joined(upto: Column) -> Column:
+            """Pieces between the spans, each from the furthest end before it, with the spans' tags."""
+            before = F.concat(F.array(F.lit(0)), F.slice(upto, F.lit(1), F.size(upto) - 1))
+            pieces = F.zip_with(own, before, lambda s, at: F.concat(between(at, s["start"]), F.get(tags, s["kind"])))
+            return F.concat(F.array_join(pieces, ""), between(F.element_at(upto, -1), F.length(text)))
 
-        return F.aggregate(all_spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), between(s["at"], F.length(text))))
+        return let(running(F.transform(own, lambda s: s["end"]), _most, F.greatest), joined)
 
-    return F.when(F.size(all_spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit("(?s).{1,64}"), F.lit(0)), cut))
+    parts = F.struct(F.regexp_extract_all(text, F.lit("(?s).{1,64}"), F.lit(0)).alias("chunks"), all_spans.alias("own"))
+    return F.when(F.size(all_spans) == 0, text).otherwise(let(parts, cut))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
