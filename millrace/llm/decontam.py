@@ -3,7 +3,8 @@
 A-Z is lower-cased and words are runs of digits, letters and bytes beyond ASCII. An item gives every window of
 ``width`` consecutive words, or itself whole when it has fewer (but some). Document windows of the same lengths are
 hashed from prefix sums, looked up, and every hit is compared word for word before it counts. The benchmark goes
-out in blocks of bounded size (usually one), each with a pass over the rows, so no broadcast grows with it.
+out in blocks of bounded size (usually one). Each has a pass over the rows, whose results are written before the next block goes out, so what is
+broadcast or held by a worker does not grow with it.
 
 Defined results: null and empty texts have no words, are never contaminated, and name no items. An item without
 words (null, empty, marks only) has no window; one without id hits but names no item. Items that share a window are all
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import released, small_batches, table
+from ._jobs import discard, released, small_batches, table, written
 from ._text import ALNUM, LOWER, Slice, gram_hashes, slices, word_hashes
 
 WIDTH = 13
-#: Text of the benchmark that one broadcast holds at most (one longer item goes alone).
-BLOCK_CHARS = 16 << 20
+#: Bytes of the benchmark's text that one broadcast is made of; its windows take about six times as much.
+BLOCK_BYTES = 8 << 20
 #: A document is contaminated when its hit words are at least one in so many.
 ONE_IN = 20
 FILTER_BITS = 20
@@ -34,15 +35,23 @@ FILTER_BITS = 20
 
 @dataclass
 class Windows:
-    """The windows of one block of items: by length, sorted hashes and for each the windows behind it (their words, and the items that have them)."""
+    """The windows of one block of items in flat arrays: about 24 bytes for each, and the items' words once.
 
-    by_length: dict[int, tuple[np.ndarray, list[list[tuple[bytes, list[str]]]]]]
+    ``words`` holds every item's words joined by blanks; a window is a piece of it. By length: sorted ``hashes`` of the different windows,
+    where each begins and ends in ``words``, and the numbers of its items (``items[first[k]:first[k + 1]]``) in ``names``.
+    """
+
+    words: bytes
+    names: list[str]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     maybe: dict[int, np.ndarray]
 
     @classmethod
     def of(cls, items: list[tuple[str | None, str | None]], width: int) -> Windows:
-        known: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
-        ids = [k if k is None else str(k) for k, _ in items]
+        names = sorted({str(k) for k, _ in items if k is not None})
+        number = {k: n for n, k in enumerate(names)}
+        pieces, size = [], 0
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for part in slices(pa.array([t for _, t in items], pa.large_string())):
             hashes, start, end, bounds = word_hashes(part, ALNUM)
             folded = LOWER[part.data].tobytes()
@@ -51,18 +60,37 @@ class Windows:
                 length = min(width, last - first)
                 if not length:
                     continue
+                pieces.append(b" ".join(folded[a:b] for a, b in zip(start[first:last].tolist(), end[first:last].tolist(), strict=True)) + b" ")
+                ends = np.cumsum(end[first:last] - start[first:last] + 1) + size - 1  # of each word in ``words``
+                begins = np.append(size, ends[:-1] + 1)
                 grams = gram_hashes(hashes[first:last], length)
-                for k, g in enumerate(grams.tolist()):
-                    words = b" ".join(folded[start[j] : end[j]] for j in range(first + k, first + k + length))
-                    known.setdefault(length, {}).setdefault(g, {}).setdefault(words, set()).add(ids[part.first + i])
+                item = items[part.first + i][0]
+                own = np.full(len(grams), -1 if item is None else number[str(item)], dtype=np.int32)
+                found.setdefault(length, []).append((grams, begins[: len(grams)].astype(np.int64), ends[length - 1 :].astype(np.int64), own))
+                size += len(pieces[-1])
+        words = b"".join(pieces)
         by_length, maybe = {}, {}
-        for length, grams in known.items():
-            order = sorted(grams)
-            hashes = np.array(order, dtype=np.uint64)
-            by_length[length] = (hashes, [[(w, sorted(x for x in names if x is not None)) for w, names in grams[g].items()] for g in order])
+        for length in list(found):
+            parts = found.pop(length)
+            hashes, begin, end, item = (np.concatenate(c) for c in zip(*parts, strict=True))
+            del parts
+            order = np.argsort(hashes, kind="stable")
+            hashes, begin, end, item = hashes[order], begin[order], end[order], item[order]
+            group = np.arange(len(hashes))
+            for k in (np.flatnonzero(hashes[1:] == hashes[:-1]) + 1).tolist():  # the same window of several items, or two windows with one hash
+                other = k - 1
+                while other >= 0 and hashes[other] == hashes[k]:
+                    if words[begin[group[other]] : end[group[other]]] == words[begin[k] : end[k]]:
+                        group[k] = group[other]
+                        break
+                    other -= 1
+            kept, own = np.unique(group, return_inverse=True)
+            pairs = np.unique(own[item >= 0] * np.int64(len(names) + 1) + item[item >= 0])
+            first = np.searchsorted(pairs // (len(names) + 1), np.arange(len(kept) + 1))
+            by_length[length] = (hashes[kept], begin[kept], end[kept], first, (pairs % (len(names) + 1)).astype(np.int32))
             maybe[length] = np.zeros(1 << FILTER_BITS, dtype=bool)
-            maybe[length][(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return cls(by_length, maybe)
+            maybe[length][(by_length[length][0] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        return cls(words, names, by_length, maybe)
 
     def hits(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
         """start and end byte of each word, per-document bounds, whether it is hit, and the items of each document."""
@@ -70,7 +98,7 @@ class Windows:
         change = np.zeros(len(hashes) + 1, dtype=np.int32)
         items: dict[int, set[str]] = {}
         folded = None
-        for length, (known, windows) in self.by_length.items():
+        for length, (known, begin, finish, first, item) in self.by_length.items():
             grams = gram_hashes(hashes, length)
             at = np.flatnonzero(self.maybe[length][(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             if not len(at):
@@ -84,20 +112,22 @@ class Windows:
                 if folded is None:
                     folded = LOWER[part.data].tobytes()
                 own = b" ".join(folded[start[j] : end[j]] for j in range(i, i + length))
-                for words, names in windows[k]:
-                    if own == words:
+                while k < len(known) and known[k] == grams[i]:
+                    if own == self.words[begin[k] : finish[k]]:
                         change[i] += 1
                         change[i + length] -= 1
-                        items.setdefault(d, set()).update(names)
+                        items.setdefault(d, set()).update(self.names[x] for x in item[first[k] : first[k + 1]].tolist())
+                        break
+                    k += 1
         return start, end, bounds, np.cumsum(change)[:-1] > 0, items
 
 
-def blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of about ``most`` characters; each block is all the driver ever holds."""
-    size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+def blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_BYTES) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of about ``most`` bytes of text; each block is all the driver ever holds. Items without an id are dealt by their text."""
+    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // most))
     for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select(F.col("item_id").cast("string"), "text").collect()
+        rows = benchmark.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(n)) == k).select(F.col("item_id").cast("string"), "text").collect()
         yield Windows.of([(r[0], r[1]) for r in rows], width)
 
 
@@ -109,13 +139,19 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, most: int, keep: l
     """(row, n_words, hits, items): every row of ``docs`` with all its columns (or ``keep``) in ``row``, so that no names clash; text comes too."""
     out = small_batches(docs).select(F.struct(*(keep if keep is not None else ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
     kind = out.schema["row"].dataType.simpleString()
+    shared = None
     for k, windows in enumerate(blocks(benchmark, width, most)):
+        if shared is not None:  # one block lives at a time: what the one before found is written
+            before, out = out if k > 1 else None, written(out)
+            shared.destroy()
+            if before is not None:
+                discard(before)
         shared = docs.sparkSession.sparkContext.broadcast(windows)
         out = out.mapInArrow(released(_scanner(shared, k == 0)), f"row {kind}, text string, {FOUND}")
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, most: int = BLOCK_CHARS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (columns ``keep``; all by default) with n_words, the maximal runs of hit words (numbers, last excluded) and the items found.
 
     One scan for each block of the benchmark and no shuffle.
@@ -162,12 +198,12 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
     return judged(_found(docs, benchmark, width, most)).where(~F.col("contaminated")).select("row.*")
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_CHARS) -> DataFrame:
+def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_BYTES) -> DataFrame:
     """All documents, every run of hit words cut from their texts (the marks between its words too)."""
     found = _found(docs, benchmark, width, most)
 

@@ -75,7 +75,7 @@ def test_benchmark_in_several_blocks(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     judged = lambda most: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.items), r.contaminated) for r in decontam.judged(decontam.scan(docs, bench, keep=["doc_id"], most=most)).collect())
-    assert judged(300) == judged(decontam.BLOCK_CHARS)
+    assert judged(300) == judged(decontam.BLOCK_BYTES)
 
 
 def test_windows_that_share_a_hash(monkeypatch):
@@ -90,6 +90,32 @@ def test_windows_that_share_a_hash(monkeypatch):
     assert hit.tolist() == [False, True, True, False, True, True, False, False] and items == {0: {"b"}, 1: {"a"}}
 
 
+    windows = decontam.Windows.of([(k, t) for k, t in zip("abcdef", ["red green", "blue green"] * 3, strict=True)] + [(None, "red green")], 2)
+    *_, items = windows.hits(next(slices(pa.array(["a blue green b", "red green", "green red"]))))
+    assert items == {0: {"b", "d", "f"}, 1: {"a", "c", "e"}}
+
+
+def test_items_without_an_id_are_dealt_over_the_blocks(spark):
+    rng = __import__("random").Random(1)
+    text = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) + str(rng.randint(0, 99)) for _ in range(20))
+    items = [(None if k % 2 else k, text()) for k in range(40)]
+    bench = spark.createDataFrame([*items, (None, None), (7, "")], "item_id bigint, text string")
+    sizes = [sum(len(g[0]) for g in w.by_length.values()) for w in decontam.blocks(bench, 13, most=300)]
+    assert len(sizes) > 5 and max(sizes) < sum(sizes) / 2
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, (_, t) in enumerate(items)], DOC)
+    for most in (300, 1 << 20):
+        found = decontam.judged(decontam.scan(docs, bench, most=most)).collect()
+        assert {r.doc_id: (r.n_hit, r["items"]) for r in found} == {k: (20, [] if i is None else [str(i)]) for k, (i, _) in enumerate(items)}
+
+
+def test_bytes_of_a_block():
+    rng = __import__("random").Random(2)
+    items = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400))) for k in range(200)]
+    windows = decontam.Windows.of(items, 13)
+    size = len(windows.words) + sum(a.nbytes for g in windows.by_length.values() for a in g)
+    assert size < 7 * sum(len(t) for _, t in items) and len(windows.by_length[13][0]) == 200 * 388
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
