@@ -11,7 +11,8 @@
    monotonous text, are compared whole.)
 4. A group of more than ``HOT`` snippets is split by more of the bytes around the named string: half of what its windows
    do not share yet, to the right where a window has them there and else to the left. So each window goes to one smaller
-   group, with all windows equal to it; after eight rounds at most the windows of a group are equal.
+   group, with all windows equal to it; after eight rounds at most the windows of a group are equal. Pieces with the same bytes
+   become one, as equal snippets do in step 2: their windows repeat.
 
 The suffix array: suffixes are grouped by their first symbol; groups are taken in descending order, and the members' nearest
 places before them that are in lower groups (previous-smaller pointers) rise within their own group by how many members point to
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import blocks, counted, distinct, opened, totals
@@ -40,8 +41,8 @@ from ._jobs import released, released_tables, table, written
 from ._text import _BASE, BYTE_EXACT, Slice, byte_windows, mix, prefix_sums, slices, span_hash
 
 WIDTH, GRAM = 200, 64
-#: Different snippets of one group (of 336 bytes at most each: 2.7 MB in one suffix array); larger groups are split by more bytes.
-HOT = 8_000
+#: Different snippets of one group (of 336 bytes at most each); larger groups are split by more bytes.
+HOT = 500
 #: Bytes of snippets in one suffix array.
 TOGETHER = 1 << 18
 _TOP = np.uint64(1 << 63)
@@ -369,17 +370,41 @@ def _finish(waiting: pa.Table, found: pa.Table) -> pa.Table:
     return _made(0, out, *names).select(names)
 
 
+def _all_bits(n: Column) -> Column:
+    """``n`` ones as packed bits."""
+    last = F.element_at(F.array(*(F.lit(f"{0xFF00 >> k & 0xFF:02X}" if k else "") for k in range(8))), (n % 8 + 1).cast("int"))
+    return F.unhex(F.concat(F.repeat(F.lit("FF"), F.floor(n / 8).cast("int")), last))
+
+
+def merged(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of SENT, of rows with the same bytes one that needs no answer; and the answers of those rows, all of whose windows repeat. Bytes are compared, not hashes."""
+    key = ["h", "o", "body"]
+    alone = F.col("__n") == 1
+    rest = [c for c in _SENT.names if c not in key]
+    classes = written(sent.groupBy(*key).agg(F.count("*").alias("__n"), F.first(F.struct(*rest)).alias("x")))
+    several = classes.where(~alone).select(*key)
+    answers = sent.where("row is not null").join(several, key, "left_semi").select("blk", "row", "c", "first", _all_bits(F.octet_length("body") - (WIDTH - 1)).alias("bits"))
+    one = classes.select(*key, F.col("x.blk").alias("blk"), F.when(alone, F.col("x.row")).alias("row"), *(F.col("x")[c].alias(c) for c in rest if c not in ("blk", "row")))
+    return one.select(*_SENT.names), answers
+
+
 def groups(sent: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Snippets in groups of at most ``hot``, as rows of SENT; and what of larger groups repeats because all of it is equal."""
+    """Snippets in groups of at most ``hot``, as rows of SENT; and the answers of pieces of larger groups that came more than once.
+
+    Windows of one row begin at different distances from the named string, so they differ: a row that is alone in its group repeats nothing and goes.
+    What is the same in many snippets is one row from the round on that cuts it free, so rounds make at most a few rows for each snippet.
+    """
     parts, equal = [], []
     while True:
-        large = written(sent.groupBy("h").count().where(F.col("count") > hot).select("h"))
+        sizes = written(sent.groupBy("h").count().where("count > 1"))
+        large = sizes.where(F.col("count") > hot)
+        parts.append(sent.join(sizes.where(F.col("count") <= hot), "h", "left_semi"))
         if large.isEmpty():
-            return functools.reduce(DataFrame.unionByName, [*parts, sent]), equal
-        parts.append(sent.join(large, "h", "left_anti"))
+            return functools.reduce(DataFrame.unionByName, parts), equal
         rest = sent.join(large, "h", "left_semi")
-        equal.append(rest.where(F.col("b") - F.col("a") >= WIDTH).where("row is not null").select("blk", "row", "c", "first", F.lit(b"\x80").alias("bits")))
-        sent = written(rest.where(F.col("b") - F.col("a") < WIDTH).select(*_SENT.names).mapInArrow(released(_narrowed), SENT))
+        parts.append(rest.where(F.col("b") - F.col("a") >= WIDTH))  # different windows with one hash
+        sent, answers = merged(written(rest.where(F.col("b") - F.col("a") < WIDTH).select(*_SENT.names).mapInArrow(released(_narrowed), SENT)))
+        equal.append(answers)
 
 
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:

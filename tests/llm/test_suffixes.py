@@ -75,3 +75,33 @@ def test_the_suffix_order_decides():
 
 def test_empty_table(spark):
     assert dedup(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+@pytest.mark.parametrize("many", [150, 600])
+def test_rows_of_the_rounds_grow_with_the_snippets(spark, many, monkeypatch):
+    """Texts around one long passage, some of them edited in it: groups far above the bound, rounds that make few rows for each snippet."""
+    rng = random.Random(many)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = text(420)
+    docs = [(k, text(rng.randint(0, 150)) + (passage if k % 5 else passage[:200] + str(k) + passage[200 + len(str(k)) :]) + text(rng.randint(0, 150))) for k in range(many)]
+    made, real = [], suffixes.merged
+    monkeypatch.setattr(suffixes, "merged", lambda sent: (made.append((sent.count(), sent.select("row", "blk", "c").distinct().count())), real(sent))[1])
+    found = dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), 20)
+    assert sorted(tuple(r) for r in found.collect()) == brute(docs)
+    assert len(made) >= 3 and all(rows <= 6 * many for rows, _ in made) and sum(rows for rows, _ in made) <= 36 * many
+
+
+def test_pieces_with_the_same_bytes_are_one(spark):
+    body = lambda c, n: bytes([c]) * n
+    rows = [(1, k, 5, 10 + k, 3, body(97, 210), k, -1, 70) for k in range(4)] + [(1, None, 5, 20, 3, body(97, 210), 0, -1, 70), (2, 7, 5, 30, 4, body(97, 210), 0, -1, 70), (2, 8, 6, 31, 3, body(98, 200), 2, 0, 80)]
+    one, answers = suffixes.merged(spark.createDataFrame(rows, suffixes.SENT))
+    assert sorted((r.h, r.o, r.row is None) for r in one.collect()) == [(5, 3, True), (5, 4, False), (6, 3, False)]
+    assert sorted((r.blk, r.row, r.c, r.first, bytes(r.bits)) for r in answers.collect()) == [(1, k, 10 + k, k, b"\xff\xe0") for k in range(4)]
+
+
+def test_all_bits(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    got = {r.id: bytes(r.b) for r in spark.range(1, 140).select("id", suffixes._all_bits(F.col("id")).alias("b")).collect()}
+    assert got == {n: np.packbits(np.ones(n, dtype=bool)).tobytes() for n in range(1, 140)}
