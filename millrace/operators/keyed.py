@@ -8,9 +8,12 @@ rest are window functions over what is left.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, TimestampNTZType, TimestampType
 
 
 def _by(keys: Sequence[str], order: Sequence[str]):
@@ -23,8 +26,45 @@ def firsts(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str], co
     return df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__r")).select(*(F.col("__r")[c].alias(c) for c in (columns if columns is not None else df.columns)))
 
 
+def packed(df: DataFrame, order: Sequence[str], last: Column | None = None) -> Column | None:
+    """One decimal that sorts as ``order`` (a time and a whole number at most, neither null), then as ``last`` (0 or 1); None where the columns are others.
+
+    Decimals have a fixed width, so their minima are hash aggregates; those of structs sort every row.
+    """
+    kinds = [df.schema[c].dataType for c in order]
+    if not 1 <= len(order) <= 2 or not isinstance(kinds[0], TimestampType | TimestampNTZType | IntegralType) or not all(isinstance(k, IntegralType) for k in kinds[1:]):
+        return None
+    whole = lambda x: x.cast("decimal(20,0)")
+    first = F.col(order[0])
+    micros = whole(first if isinstance(kinds[0], IntegralType) else F.unix_micros(first.cast("timestamp")))
+    rest = whole(F.col(order[1])) + F.lit(Decimal(2**63)).cast("decimal(20,0)") if len(order) == 2 else F.lit(0).cast("decimal(20,0)")
+    low = (rest * 2 + (whole(last) if last is not None else 0)).cast("decimal(21,0)")
+    return (micros.cast("decimal(17,0)") * F.lit(Decimal(2**65)).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+
+
+def first_times(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """(keys, ts): the first time of each key and day, by a hash aggregate that is combined before its shuffle."""
+    return df.groupBy(*keys, F.to_date(ts).alias("__day")).agg(F.min(ts).alias(ts)).select(*keys, ts)
+
+
+def first_of_day_flags(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], flag: str) -> DataFrame:
+    """``df`` with ``flag``: 1 on the first row in ``order`` of each key and day, else 0.
+
+    The firsts are a hash aggregate, joined back by key and day: one row for each, which Spark broadcasts while it is small. Rows of a busy key
+    stay where they are. Rows that tie in ``order`` count as one first together, so make it total.
+    """
+    place = packed(df, order)
+    if place is None:
+        place = F.struct(*order)
+    rows = df.withColumn("__day", F.to_date(ts)).withColumn("__at", place)
+    names = {k: f"__k{i}" for i, k in enumerate([*keys, "__day"])}
+    first = rows.groupBy(*names).agg(F.min("__at").alias("__first")).select(*(F.col(k).alias(n) for k, n in names.items()), "__first")
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return rows.join(first, on, "left").withColumn(flag, F.coalesce((F.col("__at") == F.col("__first")).cast("int"), F.lit(0))).drop("__day", "__at", "__first", *names.values())
+
+
 def firsts_of_day(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """The first row of each key and day."""
+    """The first row of each key and day. Where only keys and time are wanted, ``first_times`` does it without sorting."""
     return firsts(df, [*keys, F.to_date(ts)], order, columns)
 
 
@@ -47,10 +87,14 @@ def first_visit(df: DataFrame, key: str, ts: str = "ts", is_new: str = "is_new",
 
     Rows that are neither new ("1") nor known ("0") do not count. Of rows that tie in ``order`` (by default ``ts``) a known one is first.
     """
-    day = F.to_date(ts)
-    known = F.when(F.col(is_new) == "0", F.date_sub(day, 1)).otherwise(day)
-    first = F.min(F.struct(*(order or [ts]), known.alias("__visit")))
-    return df.where(F.col(is_new).isin("0", "1")).groupBy(key).agg(first["__visit"].alias("first_visit"))
+    known = F.col(is_new) == "0"
+    rows = df.where(F.col(is_new).isin("0", "1"))
+    place = packed(df, order or [ts], F.when(known, 0).otherwise(1))
+    if place is None:
+        day = F.when(known, F.date_sub(F.to_date(ts), 1)).otherwise(F.to_date(ts))
+        return rows.groupBy(key).agg(F.min(F.struct(*(order or [ts]), day.alias("__visit")))["__visit"].alias("first_visit"))
+    first = rows.groupBy(key).agg(F.min(place).alias("__p"), F.min_by(ts, place).alias("__t") if (order or [ts])[0] != ts else F.min(ts).alias("__t"))
+    return first.select(key, F.date_sub(F.to_date("__t"), F.when(F.col("__p") % 2 == 0, 1).otherwise(0)).alias("first_visit"))
 
 
 def repaired_is_new(df: DataFrame, key: str, ts: str = "ts", is_new: str = "is_new", order: Sequence[str] | None = None) -> DataFrame:

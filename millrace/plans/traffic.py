@@ -9,7 +9,7 @@ from millrace.functions.text import split_words
 from millrace.operators import keyed, rules, segmentation, windows
 from millrace.sources import serving
 
-from .inputs import MONEY, PAGE_LOG_SQL, edges_sql, page_log, table
+from .inputs import PAGE_LOG_SQL, edges_sql, page_log, table
 
 ORDER = ["ts", "event_id"]
 
@@ -19,23 +19,20 @@ def total(column, name):
 
 
 def page_view_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All views and each visitor's first ones of a day are summed together: two partial aggregates instead of a sort of every view."""
-    log = page_log(spark, sf_dir)
-    dims = ["ch", "vc", "ar", "is_new"]
-    views = log.select("ts", *dims, F.lit(0).alias("uv"), "sv", F.lit(1).alias("pv"), "dur")
-    visitors = keyed.firsts_of_day(log, ["mid"], "ts", ORDER, [*ORDER, *dims]).select("ts", *dims, F.lit(1).alias("uv"), F.lit(0).alias("sv"), F.lit(0).alias("pv"), F.lit(None).cast(MONEY).alias("dur"))
-    return windows.tumbling(views.unionByName(visitors), "ts", "10 seconds", dims, total("uv", "uv_ct"), total("sv", "sv_ct"), total("pv", "pv_ct"), F.sum("dur").cast("double").alias("dur_sum"))
+    """Each visitor's first view of a day is flagged by a hash aggregate that is joined back; one aggregate gives all figures."""
+    log = keyed.first_of_day_flags(page_log(spark, sf_dir), ["mid"], "ts", ORDER, "uv")
+    return windows.tumbling(log, "ts", "10 seconds", ["ch", "vc", "ar", "is_new"], total("uv", "uv_ct"), total("sv", "sv_ct"), F.count("*").alias("pv_ct"), F.sum("dur").cast("double").alias("dur_sum"))
 
 
 def home_detail_uv_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = rules.home_or_detail(page_log(spark, sf_dir), "event_type", home="view", detail="click")
-    first = keyed.firsts_of_day(log, ["mid", "event_type"], "ts", ORDER, [*ORDER, "event_type"])
+    first = keyed.first_times(log, ["mid", "event_type"], "ts")
     return windows.tumbling(first, "ts", "10 seconds", [], F.count_if(F.col("event_type") == "view").alias("home_uv_ct"), F.count_if(F.col("event_type") == "click").alias("good_detail_uv_ct"))
 
 
 def login_back_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = page_log(spark, sf_dir).where("event_type = 'signup'")
-    first = keyed.firsts_of_day(log, ["mid"], "ts", ORDER, ["mid", *ORDER]).withColumn("back", keyed.returning(["mid"], "ts", ORDER))
+    first = keyed.first_times(log, ["mid"], "ts").withColumn("back", keyed.returning(["mid"], "ts", ["ts"]))
     return windows.tumbling(first, "ts", "10 seconds", [], F.count("*").alias("uu_ct"), total("back", "back_ct"))
 
 
@@ -44,14 +41,14 @@ def register_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cart_uu_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = keyed.firsts_of_day(page_log(spark, sf_dir).where("event_type = 'click'"), ["mid"], "ts", ORDER, ["ts", "event_id"])
+    first = keyed.first_times(page_log(spark, sf_dir).where("event_type = 'click'"), ["mid"], "ts")
     return windows.tumbling(first, "ts", "10 seconds", [], F.count("*").alias("cart_add_uu_ct"))
 
 
 def payment_uu_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A payer's first row of all is the first of its days' first rows."""
     log = page_log(spark, sf_dir).where("event_type = 'purchase'")
-    first = keyed.firsts_of_day(log, ["mid"], "ts", ORDER, ["mid", *ORDER]).withColumn("new", keyed.first_ever(["mid"], ORDER))
+    first = keyed.first_times(log, ["mid"], "ts").withColumn("new", keyed.first_ever(["mid"], ["ts"]))
     return windows.tumbling(first, "ts", "5 seconds", [], F.count("*").alias("payment_suc_unique_user_ct"), total("new", "payment_suc_new_user_ct"))
 
 

@@ -1,12 +1,11 @@
 """Sinks: JSON records with snake_case names, partitioned and routed tables, keyed upserts and dimensions in micro-batches.
 
-Sinks of micro-batches write a batch's number into the path, so that a repeated batch replaces its own files.
+Sinks of micro-batches commit by the batch's number (``millrace.sources.committed``), so that a repeated batch changes nothing.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,68 +53,57 @@ def routed_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 class Dimension:
     """A keyed table kept up by micro-batches of changes: nulls leave a column as it is, deletes remove the row.
 
-    Rows lie in ``buckets`` folders by a hash of their key. A micro-batch merges and writes the buckets it touches, each
-    in a folder with its number; readers take the latest of each bucket, and earlier ones but the last are deleted.
-    Every column keeps the order of its last change, so changes may come late. Deleted keys are kept as such.
+    Rows lie in ``buckets`` folders by a hash of their key. A micro-batch merges and writes the buckets it touches, and one commit puts all of
+    them in place, so readers see a micro-batch whole or not at all. Every column keeps the order of its last change, so changes may come late.
+    Deleted keys are kept as such.
     """
 
     def __init__(self, path: str, key: str, columns: Sequence[str], order: Sequence[str] = ("ts",), buckets: int = 64):
-        self.path, self.key, self.columns, self.order, self.buckets = path, key, list(columns), list(order), buckets
-
-    def _folders(self, spark: SparkSession) -> dict[int, list[int]]:
-        """Numbers of the batches that wrote each bucket; one listing of at most a few folders a bucket."""
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/number=*")
-        found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path) or []
-        out: dict[int, list[int]] = {}
-        for x in found:
-            if m := re.search(r"bucket=(\d+)/number=(\d+)$", str(x.getPath())):
-                out.setdefault(int(m[1]), []).append(int(m[2]))
-        return out
-
-    def _stored(self, spark: SparkSession, folders: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.path}/bucket={b}/number={n}" for b, n in folders.items()]
-        return spark.read.parquet(*paths) if paths else None
+        self.store, self.key, self.columns, self.order, self.buckets = Committed(path), key, list(columns), list(order), buckets
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def merge(self, batch: DataFrame, deleted: Column, number: int) -> None:
-        """Take in the changes of one micro-batch; repeating a number gives the same table."""
+        """Take in the changes of one micro-batch; repeating a number changes nothing."""
         spark = batch.sparkSession
+        if self.store.done(spark, number):
+            return
         order = F.struct(*self.order)
         last = [F.max(F.when(~deleted & F.col(c).isNotNull(), F.struct(order.alias("at"), F.col(c).alias("v")))).alias(c) for c in self.columns]
         new = batch.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max(F.when(deleted, order)).alias("gone"), F.max(F.when(~deleted, order)).alias("put"), *last)
-        new = new.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).persist()
+        new = new.persist()
         try:
-            touched = [r[0] for r in new.select("bucket").distinct().collect()]
-            before = {b: max((k for k in ns if k < number), default=None) for b, ns in self._folders(spark).items() if b in touched}
-            old = self._stored(spark, {b: n for b, n in before.items() if n is not None})
-            every = new if old is None else old.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).select(*new.columns).unionByName(new)
-            merged = every.groupBy("bucket", self.key).agg(*(F.max(c).alias(c) for c in ("gone", "put", *self.columns)))
-            stage = f"{self.path}/_stage-{number}"
-            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(stage)
-            path = spark._jvm.org.apache.hadoop.fs.Path
-            fs = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-            for b in touched:
-                to = path(f"{self.path}/bucket={b}/number={number}")
-                fs.delete(to, True)
-                fs.mkdirs(to.getParent())
-                fs.rename(path(f"{stage}/bucket={b}"), to)
-            fs.delete(path(stage), True)
-            for b, ns in self._folders(spark).items():
-                for n in sorted(ns)[:-2]:
-                    fs.delete(path(f"{self.path}/bucket={b}/number={n}"), True)
+            touched = [str(r[0]) for r in new.select(self._bucket(F.col(self.key))).distinct().collect()]
+            old = self.store.table(spark, "rows", touched)
+            every = new if old is None else old.select(*new.columns).unionByName(new)
+            merged = every.groupBy(self.key).agg(*(F.max(c).alias(c) for c in ("gone", "put", *self.columns))).withColumn("bucket", self._bucket(F.col(self.key)))
+            self.store.commit(spark, {"rows": (merged.drop("bucket").schema, self.store.stage(merged.repartition("bucket"), "bucket") if touched else {})}, number)
         finally:
             new.unpersist()
 
     def sink(self, deleted: Column) -> Callable[[DataFrame, int], None]:
         return lambda batch, number: self.merge(batch, deleted, number)
 
-    def table(self, spark: SparkSession) -> DataFrame | None:
-        """The rows as they are now; None before the first batch."""
-        stored = self._stored(spark, {b: max(ns) for b, ns in self._folders(spark).items()})
+    def table(self, spark: SparkSession, buckets: Sequence[str] | None = None) -> DataFrame | None:
+        """The rows as they are now, of all buckets or some; None before the first batch."""
+        stored = self.store.table(spark, "rows", buckets)
         if stored is None:
             return None
         since = lambda c: F.col("gone").isNull() | (F.col(c) >= F.col("gone"))
         return stored.where(F.col("put").isNotNull() & since("put")).select(self.key, *(F.when(since(f"{c}.at"), F.col(f"{c}.v")).alias(c) for c in self.columns))
 
+    def look_up(self, batch: DataFrame, key: str, columns: Mapping[str, str], how: str = "left") -> DataFrame:
+        """A micro-batch with columns (theirs to ours) of the rows that its column ``key`` names, as they are now. Only the buckets that hold its keys are read."""
+        stored = self.store.table(batch.sparkSession, "rows", [])
+        if stored is None:
+            none = batch.withColumns({n: F.lit(None) for n in columns.values()})
+            return none if how == "left" else none.where(F.lit(False))
+        own = F.col(key).cast(stored.schema[self.key].dataType)
+        touched = [str(r[0]) for r in batch.where(own.isNotNull()).select(self._bucket(own)).distinct().collect()]  # at most self.buckets numbers
+        side = self.table(batch.sparkSession, touched).select(F.col(self.key).alias("__key"), *(F.col(c).alias(n) for c, n in columns.items()))
+        return batch.join(side, own == F.col("__key"), how).drop("__key")
+
 
 def create_table(spark: SparkSession, name: str, columns: str, partitioned_by: Sequence[str] = ()) -> bool:
     """Create a Parquet table; False, and nothing done, where it exists or no columns are given."""

@@ -44,9 +44,9 @@ class Upserts:
     def sink(self, kind: str = "kind", order: str = "seq") -> Callable[[DataFrame, int], None]:
         return lambda batch, number: self.write(batch, number, kind, order) and None
 
-    def records(self, spark: SparkSession) -> DataFrame:
+    def records(self, spark: SparkSession, version: int | None = None) -> DataFrame:
         """(key, value, number): every record since the last compaction, tombstones with a null value."""
-        found = self.store.table(spark, "log")
+        found = self.store.table(spark, "log", version=version)
         return spark.createDataFrame([], _RECORD) if found is None else found
 
     def texts(self, spark: SparkSession) -> DataFrame:
@@ -58,13 +58,13 @@ class Upserts:
         top = records.groupBy(F.col("key").alias("__k")).agg(F.max("number").alias("__n"))
         return records.join(top, F.col("key") == F.col("__k")).where("number = __n").select("key", "value", "number")
 
-    def _base(self, spark: SparkSession, buckets: Sequence[int] | None = None) -> DataFrame:
-        found = self.store.table(spark, "base", None if buckets is None else [str(b) for b in buckets])
+    def _base(self, spark: SparkSession, buckets: Sequence[int] | None = None, version: int | None = None) -> DataFrame:
+        found = self.store.table(spark, "base", None if buckets is None else [str(b) for b in buckets], version)
         return spark.createDataFrame([], _RECORD) if found is None else found.select("key", "value", "number")
 
-    def table(self, spark: SparkSession, schema: str) -> DataFrame:
-        """Rows as they are now, with the columns of ``schema``."""
-        now = self._last(self._base(spark).unionByName(self.records(spark))).where("value is not null")
+    def table(self, spark: SparkSession, schema: str, version: int | None = None) -> DataFrame:
+        """Rows as they are now, or were at a version, with the columns of ``schema``."""
+        now = self._last(self._base(spark, version=version).unionByName(self.records(spark, version))).where("value is not null")
         return now.select(F.inline(F.array(F.from_json("value", schema, EXACT))))
 
     def compact(self, spark: SparkSession) -> None:

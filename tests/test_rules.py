@@ -112,3 +112,24 @@ def test_jdbc_table(spark):
     spark.createDataFrame([(1, "a"), (2, "b")], "order_id bigint, sku_name string").write.format("jdbc").options(url=url, dbtable="details", driver=driver).mode("overwrite").save()
     found = files.jdbc_table(spark, url, "SELECT * FROM details", camel=True, driver=driver)
     assert found.columns == ["orderId", "skuName"] and sorted(map(tuple, found.collect())) == [(1, "a"), (2, "b")]
+
+
+def test_first_rows_are_hash_aggregates(spark):
+    from millrace import catalogue
+
+    names = ("page_view_window", "home_detail_uv_window", "login_back_window", "cart_uu_window", "payment_uu_window", "visitor_first_visit", "is_new_repair", "is_new_repair_mixed", "channel_stats")
+    for name in names:
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan, name
+
+
+def test_flags_of_first_rows(spark):
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    rows = [(1, day(1, 5), 9), (1, day(1, 5), -3), (1, day(1, 7), 1), (1, day(2), 4), (None, day(1), 1), (None, day(1), 2), (2, None, 5), (2, dt.datetime(1960, 1, 1, 3), 8), (2, dt.datetime(1960, 1, 1, 2), 9)]
+    df = spark.createDataFrame(rows, "mid bigint, ts timestamp, id bigint")
+    want = {(1, -3), (1, 4), (None, 1), (2, 9)}
+    for given in (df, df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), df.withColumn("id", F.lpad((F.col("id") + 50).cast("string"), 3, "0"))):  # the last order cannot be packed
+        found = keyed.first_of_day_flags(given, ["mid"], "ts", ["ts", "id"], "first").where("first = 1 and ts is not null").select("mid", "id").collect()
+        assert {(r.mid, int(r.id) - 50 if isinstance(r.id, str) else r.id) for r in found} == want
+    times = keyed.first_times(df.where("ts is not null"), ["mid"], "ts").collect()
+    assert sorted((r.mid or 0, r.ts) for r in times) == [(0, day(1)), (1, day(1, 5)), (1, day(2)), (2, dt.datetime(1960, 1, 1, 2))]
