@@ -2,8 +2,9 @@
 
 Equal vectors are one class with a weight. Every class is normalised and hashed by quantised Gaussian projections
 into ``tables`` buckets; members of a bucket are compared by cosine in double precision. A pair is counted in the first
-table that brings it together (rows carry their buckets in the tables before), so counts add up without a list of pairs,
-and a bucket hands on a spanning forest instead of its pairs. Vectors travel as they came, floats in four bytes. A bucket with more than ``BUCKET`` members is dealt out in pairs of blocks that cover all its
+table that brings it together (the buckets of linked members in the tables before are computed again from their vectors, number for number
+as at first), so counts add up without a list of pairs, and a bucket hands on a spanning forest instead of its pairs. Vectors travel as they
+came, floats in four bytes, once for each table: bytes are linear in the tables. A bucket with more than ``BUCKET`` members is dealt out in pairs of blocks that cover all its
 pairs, so no task holds more than two blocks.
 
 Number of tables and projections follow from the number of vectors: at the threshold a pair is missed by all tables
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ THRESHOLD = 0.95
 MISS, STRANGERS = 1e-3, 8
 #: Members of a bucket that are compared in one piece.
 BUCKET = 2048
+#: A vector with more than one row in so many is dealt over several keys when ids are joined back.
+PIECES = 2000
 #: Width of a quantisation step, in units of the normalised vectors; near the best for cosine 0.95.
 STEP = 2.0
 
@@ -58,15 +62,24 @@ class Tables:
         self.m = random.integers(1, 2**62, k * tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.k, self.tables = k, tables
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """One 64-bit bucket for each vector and table."""
-        step = np.floor((x @ self.a + self.b) / STEP).astype(np.int64).view(np.uint64)
-        mixed = (step * self.m).reshape(len(x), self.tables, self.k)
+    def codes(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """One 64-bit bucket for each vector and table (or each of the first ``tables``), the same whatever other vectors and tables are computed with it."""
+        tables = self.tables if tables is None else tables
+        sums = np.tile(self.b[: self.k * tables], (len(x), 1))
+        for j in range(x.shape[1]):  # one entry after the other: products of matrices would round by their shapes
+            sums += x[:, j : j + 1] * self.a[j, : self.k * tables]
+        step = np.floor(sums / STEP).astype(np.int64).view(np.uint64)
+        mixed = (step * self.m[: self.k * tables]).reshape(len(x), tables, self.k)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         return np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(32)), axis=2)
 
 
+@lru_cache(4)
+def projections(width: int, k: int, tables: int) -> Tables:
+    return Tables(width, k, tables)
+
+
 def _normalised(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # very large and very small parts neither overflow nor vanish
@@ -88,8 +101,8 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = written(
         valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("cls", F.monotonically_increasing_id())
     )
-    n = classes.count()
-    k, tables = plan(n, threshold)
+    distinct, n = classes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    k, tables = plan(distinct, threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,43 +112,46 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 own = batch.filter(pa.array(width == d))
                 raw = own.column("embedding").flatten().to_numpy().reshape(len(own), d).astype(kind)
                 vectors = [x.tobytes() for x in raw]
-                code = Tables(int(d), k, tables).codes(_normalised(vectors, kind)).view(np.int64)
                 for part in range(0, len(own), 256):
-                    some = code[part : part + 256]
+                    some = projections(int(d), k, tables).codes(_normalised(vectors[part : part + 256], kind)).view(np.int64)
                     m = len(some)
                     repeat = np.repeat(np.arange(m), tables)
                     yield pa.record_batch(
                         [
                             pa.array(np.tile(np.arange(tables), m).astype(np.int32)), pa.array(np.full(m * tables, d, dtype=np.int32)), pa.array(some.ravel()),
                             own.column("cls").slice(part, m).take(pa.array(repeat)), own.column("weight").slice(part, m).take(pa.array(repeat)),
-                            pa.array(vectors[part : part + m], pa.binary()).take(pa.array(repeat)), pa.array([c[:t].tobytes() for c in some for t in range(tables)], pa.binary()),
+                            pa.array(vectors[part : part + m], pa.binary()).take(pa.array(repeat)),
                         ],
-                        names=["t", "width", "code", "cls", "weight", "vector", "before"],
+                        names=["t", "width", "code", "cls", "weight", "vector"],
                     )
 
-    dealt = classes.select("cls", "weight", "embedding").mapInArrow(released(hashed), "t int, width int, code bigint, cls bigint, weight bigint, vector binary, before binary")
+    dealt = classes.select("cls", "weight", "embedding").mapInArrow(released(hashed), "t int, width int, code bigint, cls bigint, weight bigint, vector binary")
     key = ["t", "width", "code"]
     crowded = dealt.groupBy(*key).count().where(F.col("count") > BUCKET).select(*key, F.ceil(F.col("count") * 2 / BUCKET).cast("int").alias("s"))
     block = F.pmod(F.xxhash64("cls"), F.col("s")).cast("int")
     pairs = (
         dealt.join(crowded, key, "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("blk", block)
         .withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
-        .select(*key, F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "cls", "weight", "vector", "before")
+        .select(*key, F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "cls", "weight", "vector")
     )
     keys = [*key, "one", "two"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, keys):
             if group.num_rows > 1:
-                yield from _compared(group, threshold, kind)
+                yield from _compared(group, threshold, kind, k, tables)
 
     found = written(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(compare), "u bigint, v bigint, n bigint"))
     counts = found.where("n > 0").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n"))
     parts = components(found.where("n = 0").select("u", "v")).select(F.col("node").alias("cls"), "component")
     known = classes.join(counts, "cls", "left").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = valid.join(known, "embedding").select("vec_id", "n_links", "component_id")
+    most = max(n // PIECES, 1000)
+    pieces = F.ceil(F.col("weight") / most).cast("int")
+    common = classes.where(F.col("weight") > most).select("embedding", pieces.alias("pieces"))  # at most PIECES vectors have so many rows
+    dealt_ids = valid.join(F.broadcast(common), "embedding", "left").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    known = known.join(least, "component").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    linked = dealt_ids.join(known, ["embedding", "piece"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable("embedding")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -166,7 +182,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compared(group: pa.Table, threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
+def _compared(group: pa.Table, threshold: float, kind: str, projected: int, tables: int) -> Iterator[pa.RecordBatch]:
     """Links of one bucket (or pair of blocks) that no earlier table has: weighted counts, and a spanning forest with n = 0."""
     t, one, two = (group[c][0].as_py() for c in ("t", "one", "two"))
     cls, weight, blk = (group[c].to_numpy() for c in ("cls", "weight", "blk"))
@@ -179,10 +195,13 @@ def _compared(group: pa.Table, threshold: float, kind: str) -> Iterator[pa.Recor
     keep = a < b if one == two else np.ones(len(a), dtype=bool)
     a, b = a[keep], b[keep]
     if t and len(a):
-        code = np.frombuffer(b"".join(group["before"].to_pylist()), dtype=np.int64).reshape(len(cls), t)[order]
+        linked = np.unique(np.concatenate([a, b]))
+        table_ = projections(x.shape[1], projected, tables)
+        code = np.concatenate([table_.codes(x[linked[part : part + 256]], t) for part in range(0, len(linked), 256)])
+        one_, two_ = np.searchsorted(linked, a), np.searchsorted(linked, b)
         keep = np.ones(len(a), dtype=bool)
         for part in range(0, len(a), 200_000):
-            keep[part : part + 200_000] = ~(code[a[part : part + 200_000]] == code[b[part : part + 200_000]]).any(axis=1)
+            keep[part : part + 200_000] = ~(code[one_[part : part + 200_000]] == code[two_[part : part + 200_000]]).any(axis=1)
         a, b = a[keep], b[keep]
     if not len(a):
         return

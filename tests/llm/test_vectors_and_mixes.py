@@ -292,3 +292,33 @@ def test_running_sums(spark):
         want.append((k, o, v, at))
         at += v
     assert sorted((r.k, r.o, r.v, r.before) for r in out) == sorted(want)
+
+
+# ---- op9
+
+
+def test_codes_do_not_depend_on_their_company():
+    from millrace.llm import embeddings
+
+    x = np.random.default_rng(3).standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = embeddings.Tables(64, 9, 12)
+    whole = tables.codes(x)
+    for some in ([0], [5, 17, 299], range(100)):
+        for t in (1, 7, 12):
+            assert (tables.codes(x[list(some)], t) == whole[list(some), :t]).all()
+
+
+def test_links_of_near_vectors_are_counted_once(spark):
+    """Clusters of near vectors meet in many tables, and one vector holds a third of all rows."""
+    from millrace.llm import embeddings
+
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((12, 24))
+    rows = [(k, (centres[k % 12] + 0.08 * rng.standard_normal(24)).tolist()) for k in range(240)]
+    rows += [(1000 + k, rows[0][1]) for k in range(120)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: int(n) for (i, _), n in zip(rows, (x @ x.T >= 0.95).sum(axis=1) - 1, strict=True)}
+    found = embeddings.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)).collect()
+    assert {r.vec_id: r.n_links for r in found} == want and len({r.component_id for r in found}) == 12
