@@ -44,8 +44,8 @@ def channel_json(stats: DataFrame) -> DataFrame:
     return stats.agg(rows.alias("r")).select(_answer(F.struct(F.transform("r", lambda x: x["ch"]).alias("categories"), F.array(*series).alias("series"))))
 
 
-def keyword_json(stats: DataFrame, most: int = 1000) -> DataFrame:
-    """(value): one JSON answer with the ``most`` commonest keywords (a display shows no more), by falling count, then name."""
-    top = stats.orderBy(F.desc("keyword_count"), "keyword").limit(most)
+def keyword_json(stats: DataFrame, most: int | None = None) -> DataFrame:
+    """(value): one JSON answer with all keywords, by falling count, then name. It is one value, so a display of a large vocabulary asks for the ``most`` commonest."""
+    top = stats if most is None else stats.orderBy(F.desc("keyword_count"), "keyword").limit(most)
     rows = F.sort_array(F.collect_list(F.struct((-F.col("keyword_count")).alias("k"), F.col("keyword").alias("name"))))
     return top.agg(rows.alias("r")).select(_answer(F.transform("r", lambda x: F.struct(x["name"].alias("name"), (-x["k"]).alias("value")))))
