@@ -65,5 +65,10 @@ def routing(config: Callable[[SparkSession], DataFrame], keys: Sequence[tuple[st
 
 
 def order_counts(stream: DataFrame, ts: str, size: str, key: str, order_id: str, amount: str, delay: str = DELAY) -> DataFrame:
-    """Sum and number of different orders of each window and key; streams cannot count distinct values, so a set is kept."""
-    return windowed(stream, ts, size, [key], F.sum(amount).alias("order_amount"), F.size(F.collect_set(order_id)).alias("order_count"), delay=delay)
+    """Sum and number of different orders of each window and key.
+
+    Streams cannot count distinct values, so orders are aggregated first, and their rows are counted: state is one row of a few dozen bytes for
+    each open window, key and order, spread by all three, and none grows with the orders of a window. Rows without an order add to the sum only.
+    """
+    orders = stream.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("__w"), key, order_id).agg(F.sum(amount).alias("__amount"))
+    return tumbling(orders, "__w", size, [key], F.sum("__amount").alias("order_amount"), F.count(order_id).alias("order_count"))

@@ -108,6 +108,23 @@ def test_unique_by_day_and_counts(spark, stream, tmp_path):
     assert sorted((r.k, r.order_amount, r.order_count) for r in out) == [(1, 9.0, 1), (1, 12.0, 2), (2, 1.0, 1)]
 
 
+def test_order_counts_equal_the_batch_operator(spark, tmp_path):
+    rng = __import__("random").Random(6)
+    batches = [[(rng.choice(["a", "b", None]), T + dt.timedelta(seconds=20 * j + rng.randint(0, 19)), rng.choice([1, 2, 3, 4, None]), rng.randint(1, 9)) for _ in range(30)] for j in range(4)]
+    schema = "p string, ts timestamp, o bigint, amount bigint"
+    end = [[("z", T + dt.timedelta(hours=j), 1, 1)] for j in (1, 2)]
+    df = jobs.order_counts(streamed(spark, tmp_path, batches + end, schema), "ts", "10 seconds", "p", "o", "amount", delay="30 seconds")
+    assert "collect_set" not in df._jdf.queryExecution().analyzed().toString()
+    query = df.writeStream.format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    batch = windows.tumbling(spark.createDataFrame([r for b in batches for r in b], schema), "ts", "10 seconds", ["p"], F.sum("amount").alias("order_amount"), F.count_distinct("o").alias("order_count"))
+    got = {tuple(r) for r in spark.table("counts").collect() if r.p != "z"}
+    assert got == {tuple(r) for r in batch.collect()} and len(got) > 10
+    rows = [p.stateOperators for p in query.recentProgress if p.stateOperators]
+    most = max(max(o.numRowsTotal for o in ops) for ops in rows)
+    assert most <= sum(len(set(b)) for b in batches) and rows[-1][0].numRowsTotal <= 3  # a row for each window, key and order; closed windows are gone
+
+
 def test_interval_join(spark, tmp_path):
     a = streamed(spark, tmp_path, [[(1, T), (2, T)], [(9, T + dt.timedelta(days=2))]], "ak bigint, at timestamp", "a")
     b = streamed(spark, tmp_path, [[(1, T + dt.timedelta(minutes=10)), (2, T + dt.timedelta(minutes=20))], [(9, T + dt.timedelta(days=2))]], "bk bigint, bt timestamp", "b")
