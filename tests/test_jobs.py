@@ -123,3 +123,35 @@ def test_routing_in_a_stream(spark, tmp_path):
     write = sinks.routed_to(f"{tmp_path}/out")
     jobs.Job("versions", source, lambda df: df, rules.routing([("table", "source_table")], write), f"{tmp_path}/cp").run(spark, once=True).awaitTermination(120)
     assert sorted(r.data["id"] for r in sinks.routed_table(spark, f"{tmp_path}/out", "facts").collect()) == ["1", "3"]
+
+
+def change(table, kind, ts, database="shop", **data):
+    return (json.dumps({"database": database, "table": table, "type": kind, "ts": ts, "data": data}),)
+
+
+def rule(op, ts, before=None, after=None):
+    names = ("source_table", "sink_table", "sink_columns", "sink_row_key")
+    return (json.dumps({"op": op, "before": before and dict(zip(names, before, strict=True)), "after": after and dict(zip(names, after, strict=True)), "ts_ms": ts}),)
+
+
+def test_dimensions_from_raw_records(spark, tmp_path):
+    from millrace.streaming.dimensions import DimensionJob
+
+    dims = DimensionJob(f"{tmp_path}/dims", "shop", buckets=4)
+    raw = lambda *rows: spark.createDataFrame(list(rows), "value string")
+    rows = lambda name: sorted(map(tuple, dims.table(spark, name).collect())) if dims.table(spark, name) is not None else None
+    dims.configure(raw(rule("r", 1, after=("sku_info", "dim_sku", "id,name,price", "id")), ("{broken",), rule("c", 2, after=("brand", "dim_brand", "id,name", "id"))), 0)
+    log = [
+        [change("sku_info", "bootstrap-start", 1), change("sku_info", "bootstrap-insert", 1, id="1", name="a", price="5", more="x"), change("brand", "insert", 1, id="7", name="b"), change("other", "insert", 1, id="1"), ("{",), (None,)],
+        [change("sku_info", "update", 2, id="1", name="a2"), change("sku_info", "insert", 2, id="2", name="c", price="1"), change("brand", "delete", 2, id="7", name="b"), change("sku_info", "insert", 2, "elsewhere", id="9")],
+    ]
+    source = lambda s: streamed(s, tmp_path, log, "value string")
+    dims.job(source, f"{tmp_path}/cp").run(spark, once=True).awaitTermination(200)
+    assert rows("dim_sku") == [("1", "a2", "5"), ("2", "c", "1")] and rows("dim_brand") == [] and rows("dim_other") is None
+    for number, batch in enumerate(log):  # repeated micro-batches
+        dims.merge(raw(*batch), number)
+    assert rows("dim_sku") == [("1", "a2", "5"), ("2", "c", "1")] and rows("dim_brand") == []
+    dims.configure(raw(rule("u", 3, ("sku_info", "dim_sku", "id,name,price", "id"), ("sku_info", "dim_sku", "id,price", "id")), rule("d", 4, before=("brand", "dim_brand", "id,name", "id"))), 1)
+    assert rows("dim_sku") is None and rows("dim_brand") is None  # dropped, to begin anew
+    dims.merge(raw(change("sku_info", "update", 5, id="1", name="n", price="6"), change("brand", "insert", 5, id="8")), 2)
+    assert rows("dim_sku") == [("1", "6")] and rows("dim_brand") is None
