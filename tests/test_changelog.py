@@ -24,6 +24,9 @@ def at(seconds):
 @pytest.fixture(autouse=True)
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # stores of state to commit in each micro-batch
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def batches(spark, df, tmp_path, name="q"):

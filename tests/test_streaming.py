@@ -17,6 +17,9 @@ ROWS = [(1, T, 5.0), (1, T + dt.timedelta(seconds=3), 7.0), (2, T + dt.timedelta
 @pytest.fixture(autouse=True)
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # stores of state to commit in each micro-batch
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def streamed(spark, tmp_path, batches, schema, name="in"):
