@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._jobs import released, small_batches, table
+from ._jobs import released, small_batches, table, written
 from ._order import ranked
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -106,35 +106,20 @@ def choose(tokens: list[int], past: int, system: int | None, system_first: bool,
     return out
 
 
-def stretches_of(turns: DataFrame, chunk: int) -> DataFrame:
-    """``turns`` with ``chunk``: the number of each turn's stretch. Only conversations of more than one stretch are ranked."""
+def stretches_of(turns: DataFrame, chunk: int) -> tuple[DataFrame, bool]:
+    """``turns`` with ``chunk``: the number of each turn's stretch; and whether any conversation has more than one. Only those are ranked."""
     longer = turns.groupBy("conv_id").count().where(F.col("count") > chunk).select(F.col("conv_id").alias("__c"))
     first = turns.withColumn("chunk", F.lit(0).cast("bigint"))
     if longer.isEmpty():
-        return first
+        return first, False
     same = F.col("conv_id").eqNullSafe(F.col("__c"))
     begin = [F.col("turn").asc(), F.col("role").asc(), F.substring("text", 1, 64).asc()]
     rest = ranked(turns.join(longer, same, "left_semi"), "conv_id", begin, ["turn", "role", "text"])
-    return first.join(longer, same, "left_anti").unionByName(rest.withColumn("chunk", F.floor(F.col("__rank") / chunk)).drop("__rank"))
+    return first.join(longer, same, "left_anti").unionByName(rest.withColumn("chunk", F.floor(F.col("__rank") / chunk)).drop("__rank")), True
 
 
-def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, window, text, repeated, turns, tokens, loss) of every window; loss spans are code points of ``text``.
-
-    ``rows`` has conv_id, turn, role, text. ``tokens`` stays within ``budget`` unless one turn alone, with the system
-    turn, is longer. ``history`` bounds the tokens of repeated turns. Windows of a conversation are ordered by ``window``.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(vocabulary)
-        for batch in batches:
-            texts = [head(r) + escape(t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            size = [len(encoding.encode_ordinary(t)) + MARKS_TOKENS for t in texts]
-            yield pa.record_batch([*batch.columns, pa.array(size, pa.int64())], names=[*batch.schema.names, "tokens"])
-
-    turns = small_batches(rows).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = stretches_of(turns, chunk).mapInArrow(released(count), "conv_id bigint, turn bigint, role string, text string, chunk bigint, tokens bigint")
-    own, order = ["conv_id", "chunk"], ["turn", "role", "text"]
+def _with_neighbours(counted: DataFrame, own: list[str], order: list[str], history: int) -> DataFrame:
+    """The turns of every stretch (kind 0), with the last turns of the stretch before as history (-1) and the system turn of the conversation (-2)."""
     upto = F.sum("tokens").over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rest = F.sum("tokens").over(Window.partitionBy(*own)) - F.col("upto") + F.col("tokens")
     number = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
@@ -151,8 +136,29 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
     systems = placed.where("following is not null and k = 1 and number = 1 and has_system").select(F.col("conv_id").alias("c"), *order, "tokens")
     targets = longer.where("k > 1 and has_system").select(F.col("c").alias("conv_id"), F.col("s").alias("chunk"))
     systems = targets.join(systems, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "chunk", *order, "tokens", F.lit(-2).alias("kind"))
-    all_ = base.unionByName(tails).unionByName(systems)
-    ordered = all_.repartition(*own).sortWithinPartitions(*own, "kind", *order)
+    return base.unionByName(tails).unionByName(systems)
+
+
+def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
+    """(conv_id, window, text, repeated, turns, tokens, loss) of every window; loss spans are code points of ``text``.
+
+    ``rows`` has conv_id, turn, role, text. ``tokens`` stays within ``budget`` unless one turn alone, with the system
+    turn, is longer. ``history`` bounds the tokens of repeated turns. Windows of a conversation are ordered by ``window``.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tokenizer(vocabulary)
+        for batch in batches:
+            texts = [head(r) + escape(t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            size = [len(encoding.encode_ordinary(t)) + MARKS_TOKENS for t in texts]
+            yield pa.record_batch([*batch.columns, pa.array(size, pa.int64())], names=[*batch.schema.names, "tokens"])
+
+    turns = small_batches(rows).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed, several = stretches_of(turns, chunk)
+    own, order = ["conv_id", "chunk"], ["turn", "role", "text"]
+    counted = placed.mapInArrow(released(count), "conv_id bigint, turn bigint, role string, text string, chunk bigint, tokens bigint")
+    rows = _with_neighbours(written(counted), own, order, history) if several else counted.select(*own, *order, "tokens", F.lit(0).alias("kind"))
+    ordered = rows.repartition(*own).sortWithinPartitions(*own, "kind", *order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
