@@ -4,7 +4,8 @@ Where a text holds words that look disguised (leet characters inside a word, a l
 letters set apart one by one), a Viterbi search decodes the lattice of what was meant: a character stands for itself or
 for a letter it looks like, a repeated letter or a mark between letters may be left out, a gap between single letters
 may be left out or end a word. Paths are weighed by the channel and by a character language model (Witten-Bell
-interpolation of orders 1 to ORDER, counted over all documents, digits as one symbol). The best path takes the word's
+interpolation of orders 1 to ORDER, counted over all documents: a to z with and without accents, digits as one symbol and
+all other letters as one, so that the n-grams are fewer than 30**ORDER however much text there is, and none is left out). The best path takes the word's
 place where it is likelier, with the prior chance DISGUISED, than the word as written. Addresses, numbers with a short suffix and short
 names with a number (4th, 1990s, MP3) are never decoded. The restored text is scored with word beginnings that the labelled sample shows to be significantly more common in toxic texts than
 chance allows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,10 +36,6 @@ from ._text import _BASE, BYTE_FOLDED, Slice, mix, prefix_sums, slices, span_has
 
 #: Documented bound on the labelled rows that the lexicon is fitted on.
 TRAIN_ROWS = 12_000
-#: Character n-grams that the decoder gets at most, the commonest; rarer ones are backed off from.
-GRAMS = 400_000
-#: Different n-grams after which a task hands on its counts.
-_FLUSH = 1_000_000
 THRESHOLD = 0.5
 FLOOR = 0.02
 #: Share of toxic texts among the labelled texts that hold a word beginning, from which it counts as toxic.
@@ -78,13 +76,24 @@ _ADDRESS = re.compile(r"([\w.%+-]+@[\w-]+(?:\.[\w-]+)+|(?:https?://|www\.)[^\s<>
 #: Numbers with a short suffix, and short names with a number, are plain: 4th, 1990s, 3a, MP3, x86.
 _NUMBERED = re.compile(r"\d+(?:[.,]\d+)*[^\W\d_]{1,3}|[^\W\d_]{1,3}\d+")
 _WORD = re.compile(r"[\w@$!|+€£¡(<]+")
-_DIGITS, _ALPHA = re.compile(r"\d"), re.compile(r"[^\W\d_]")
+_ALPHA = re.compile(r"[^\W\d_]")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
 _INNER = re.compile(r"[0-9@$!|+€£¡(<](?=.*[^\W\d_])|[^\W\d_][0-9@$]{1,2}$")
 
 
 def _class(c: str) -> str:
-    return "#" if c.isdigit() else c
+    """Symbol of a character in the model: a to z, # for digits, * for all other letters."""
+    if "a" <= c <= "z":
+        return c
+    if c.isdigit():
+        return "#"
+    base = unicodedata.normalize("NFKD", c)[:1].lower()
+    return base if "a" <= base <= "z" else "*"
+
+
+#: The model's symbols by number: 0 lies between words, which begin with ^ and end with $.
+_SYMBOLS = "\0^$#*abcdefghijklmnopqrstuvwxyz"
+_NUMBER = {c: k for k, c in enumerate(_SYMBOLS)}
 
 
 @dataclass
@@ -325,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     """Language model from all documents; lexicon from at most ``rows`` labelled rows outside the held-out fold (a bounded sample)."""
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
     counts = sample.groupBy().agg(F.count_if(F.col("label") == 1).alias("a"), F.count("*").alias("n")).first()
-    grams = small_batches(docs).select("text").mapInArrow(released(_character_grams), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(GRAMS).toPandas()
+    grams = small_batches(docs).select("text").mapInArrow(released(_character_grams), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     letters = dict(zip(grams["gram"], grams["n"].tolist(), strict=True))
     shared = sample.sparkSession.sparkContext.broadcast(letters)
 
@@ -381,20 +390,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return ToxicityModel(letters, hashes[strength > 0], strength[strength > 0])
 
 
+def _numbers(points: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Symbol numbers of code points, by a table of the process that is filled as characters come (255: not seen yet)."""
+    found = known[points]
+    if (found == 255).any():
+        for p in np.unique(points[found == 255]).tolist():
+            c = chr(p)
+            known[p] = _NUMBER[_class(c)] if c.isalnum() else 0
+        found = known[points]
+    return found
+
+
 def _character_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter[str] = Counter()
-    counted = lambda: pa.record_batch([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+    """(gram, n): every n-gram of words (letters and digits, with one letter at least) of the texts in lower case."""
+    size = len(_SYMBOLS)
+    total = [np.zeros(size**k, dtype=np.int64) for k in range(1, ORDER + 1)]
+    known = np.full(0x110000, 255, dtype=np.uint8)
     for batch in batches:
-        words = Counter(w for t in batch.column("text").to_pylist() if t for w in re.findall(r"[^\W_]*[^\W\d_][^\W_]*", t.lower()))
-        for word, n in words.items():
-            marked = f"^{re.sub(_DIGITS, '#', word)}$"
-            for k in range(1, ORDER + 1):
-                for i in range(max(0, 1 - k + 1), len(marked) - k + 1):
-                    total[marked[i : i + k]] += n
-            if len(total) > _FLUSH:
-                yield counted()
-                total.clear()
-    yield counted()
+        for part in slices(batch.column("text")):
+            points = np.frombuffer(part.data.tobytes().decode().lower().encode("utf-32-le"), dtype=np.uint32)
+            x = np.concatenate([[0], _numbers(points, known), [0]]).astype(np.uint8)
+            edge = np.flatnonzero(np.diff((x > 0).view(np.int8)))
+            start, end = edge[0::2] + 1, edge[1::2] + 1
+            letters = np.append(0, np.cumsum(x > _NUMBER["#"], dtype=np.int32))
+            some = letters[end] > letters[start]
+            start, length = start[some], (end - start)[some]
+            # the words one after another, each between ^ and $
+            to = np.cumsum(length + 2) - length - 2
+            own = np.full(int((length + 2).sum()), 0, dtype=np.int64)
+            at = np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+            inner = np.ones(len(own), dtype=bool)
+            inner[to] = inner[to + length + 1] = False
+            own[inner] = x[at]
+            own[to], own[to + length + 1] = _NUMBER["^"], _NUMBER["$"]
+            ends = own == _NUMBER["$"]
+            code, whole = own, np.ones(len(own), dtype=bool)  # whole: the n-gram lies within one word
+            total[0] += np.bincount(code[own != _NUMBER["^"]], minlength=size)
+            for k in range(2, ORDER + 1):
+                code, whole = code[:-1] * size + own[k - 1 :], whole[:-1] & ~ends[k - 2 : len(own) - 1]
+                total[k - 1] += np.bincount(code[whole], minlength=size**k)
+    grams, numbers = [], []
+    for k, counts in enumerate(total, 1):
+        some = np.flatnonzero(counts)
+        grams += ["".join(_SYMBOLS[d] for d in row) for row in np.stack([some // size**i % size for i in range(k - 1, -1, -1)], axis=1).tolist()]
+        numbers.append(counts[some])
+    yield pa.record_batch([pa.array(grams, pa.string()), pa.array(np.concatenate(numbers))], names=["gram", "n"])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

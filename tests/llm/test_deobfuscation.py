@@ -1,13 +1,16 @@
 """The noisy channel: disguised and plain words, and the search against all paths."""
 
+import inspect
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from millrace.llm.toxicity import DISGUISED, ORDER, Channel, _character_grams, _class
+from millrace.llm.toxicity import DISGUISED, ORDER, Channel, _character_grams, _class, fit
 
 PROSE = """
 you are a stupid idiot and a bad loser so go home now please it is so good and very good of you to say so
@@ -63,3 +66,19 @@ def test_the_character_model_sums_to_one(channel):
     symbols = {g[-1] for g in channel.counts}
     for past in ("", "^", "^b", "sto", "oo#", "zzz"):
         assert math.isclose(sum(channel.chance(past + c) for c in symbols) + (500 - len(symbols)) * channel.chance(past + "\0"), 1, rel_tol=1e-9)
+
+
+def test_every_gram_is_counted():
+    """Also beyond 400,000 different ones (the former bound on what the decoder gets): over one alphabet of symbols, and equal to a plain count."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcé1ñж中_ .") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(30)] + [None, "", "7 12", "²x"]
+    want = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            if any(_class(c) != "#" for c in w):
+                marked = "^" + "".join(map(_class, w)) + "$"
+                want.update(marked[i : i + k] for k in range(1, ORDER + 1) for i in range(len(marked) - k + 1) if marked[i : i + k] != "^")
+    got = next(_character_grams(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    assert dict(zip(got["gram"].to_pylist(), got["n"].to_pylist(), strict=True)) == want
+    assert {_class(c) for c in map(chr, range(0x3000)) if c.isalnum()} <= set("abcdefghijklmnopqrstuvwxyz#*")
+    assert "limit(" not in inspect.getsource(fit)
