@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import date_time_to_millis
 from millrace.operators import changes, keyed, orders, windows
+from millrace.sources import files
 
 from .inputs import LINE_ORDER, edges_sql, table
 
@@ -38,26 +37,35 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     cancel_time = time + 1000 + F.col("o_custkey") % 600
     old = F.create_map(F.lit("order_status"), F.when(F.col("o_orderkey") % 3 == 0, "1002").otherwise("1001"))
     never = F.lit(False)
-    logs = [
-        o.select(_record("order_info", "insert", time, F.col("o_orderkey") % 11 == 0, id=F.col("o_orderkey"), user_id=F.col("o_custkey"), province_id=F.col("o_custkey") % 34, order_status=F.lit("1001"))),
-        o.where("o_orderstatus <> 'O'").select(_record(
+    # one row of the table gives all its records, so that each table is read, and the lines' first rows are found, once
+    of_order = [
+        _record("order_info", "insert", time, F.col("o_orderkey") % 11 == 0, id=F.col("o_orderkey"), user_id=F.col("o_custkey"), province_id=F.col("o_custkey") % 34, order_status=F.lit("1001")),
+        F.when(F.col("o_orderstatus") != "O", _record(
             "order_info", "update", cancel_time, never, old, id=F.col("o_orderkey"), order_status=F.when(F.col("o_orderstatus") == "F", "1005").otherwise("1002"), operate_time=F.date_format(F.timestamp_seconds(cancel_time), "yyyy-MM-dd HH:mm:ss"),
         )),
-        d.select(_record("order_detail", "insert", line_time, F.col("l_partkey") % 50 == 0, id=ident, order_id=F.col("l_orderkey"), sku_id=F.col("l_partkey"), sku_num=F.col("l_quantity").cast("int"))),
-        d.where("l_discount > 0.05").select(_record("order_detail_activity", "insert", line_time, never, order_detail_id=ident, activity_id=F.col("l_suppkey") % 5, activity_rule_id=F.col("l_suppkey"))),
-        d.where("l_tax > 0.04").select(_record("order_detail_coupon", "insert", line_time, never, order_detail_id=ident, coupon_id=F.col("l_suppkey") % 7)),
     ]
-    return reduce(DataFrame.union, logs)
+    of_line = [
+        _record("order_detail", "insert", line_time, F.col("l_partkey") % 50 == 0, id=ident, order_id=F.col("l_orderkey"), sku_id=F.col("l_partkey"), sku_num=F.col("l_quantity").cast("int")),
+        F.when(F.col("l_discount") > F.expr("0.05"), _record("order_detail_activity", "insert", line_time, never, order_detail_id=ident, activity_id=F.col("l_suppkey") % 5, activity_rule_id=F.col("l_suppkey"))),
+        F.when(F.col("l_tax") > F.expr("0.04"), _record("order_detail_coupon", "insert", line_time, never, order_detail_id=ident, coupon_id=F.col("l_suppkey") % 7)),
+    ]
+    every = [t.select(F.explode(F.array(*records)).alias("value")).where("value is not null") for t, records in ((o, of_order), (d, of_line))]
+    return every[0].union(every[1])
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned records, parsed once and kept by table: each join then reads the records of its own table only."""
+    return files.kept(changes.cleaned(changes.parsed(change_log(spark, sf_dir)), "shop").drop("database"), "table")
 
 
 def order_details_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = orders.order_details(changes.cleaned(changes.parsed(change_log(spark, sf_dir)), "shop"))
+    found = orders.order_details(_log(spark, sf_dir))
     return found.select("id", "order_id", "sku_id", "sku_num", "user_id", "province_id", "activity_id", "activity_rule_id", "coupon_id", "ts")
 
 
 def order_cancel_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details that were cancelled (from placed, by the record's old status) at most 905 seconds before or after their own record."""
-    log = changes.cleaned(changes.parsed(change_log(spark, sf_dir)), "shop")
+    log = _log(spark, sf_dir)
     return orders.cancel_facts(orders.order_details(log), orders.cancellations(log)).select("id", "order_id", "user_id", "sku_id", "activity_id", "coupon_id", "date_id", "cancel_time", "sku_num", "ts")
 
 

@@ -1,10 +1,13 @@
-"""Sources of raw records: a Kafka topic, a folder of text files that stands in for one, and JDBC tables.
+"""Sources of raw records: a Kafka topic, a folder of text files that stands in for one, and JDBC tables; records kept for several readers.
 
 The Kafka source needs Spark's Kafka package, which this environment lacks: that path is not tested here.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +30,22 @@ def jdbc_table(spark: SparkSession, url: str, query: str, camel: bool = False, *
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     found = (reader if "dbtable" in options else reader.option("query", query)).load()
     return renamed(found, to_camel) if camel else found
+
+
+#: Lets a task write several partitions at once, so that it need not sort its rows by them.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def kept(df: DataFrame, *partitions: str) -> DataFrame:
+    """``df``, written once as Parquet under spark.checkpoint.dir (where that is unset, a temporary folder) by ``partitions``, of few values: several readers of
+    parsed records then parse nothing again, and read only what they ask for. The files stay, for results are evaluated later."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/millrace-checkpoints"
+    path = f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    before = spark.conf.get(_WRITERS, None)
+    spark.conf.set(_WRITERS, "16")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    finally:
+        spark.conf.unset(_WRITERS) if before is None else spark.conf.set(_WRITERS, before)
+    return spark.read.schema(df.schema).parquet(path)
