@@ -14,9 +14,9 @@ CHANGE = "`database` string, `table` string, type string, ts bigint, data map<st
 def parsed(raw: DataFrame, schema: str = CHANGE, value: str = "value") -> DataFrame:
     """JSON text into columns; malformed, empty and null texts go, and records without any of the columns.
 
-    The text is parsed behind a generator, which Catalyst does not copy into every expression that uses a column.
+    The text is parsed before a generator, past which Catalyst does not copy it into every expression that uses a column.
     """
-    found = raw.select(F.inline(F.array(F.from_json(value, schema))))
+    found = raw.select(F.from_json(value, schema).alias("__r")).select(F.inline(F.array("__r")))
     return found.where(reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNotNull() for c in found.columns)))
 
 

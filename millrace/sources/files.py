@@ -32,8 +32,13 @@ def jdbc_table(spark: SparkSession, url: str, query: str, camel: bool = False, *
     return renamed(found, to_camel) if camel else found
 
 
-#: Lets a task write several partitions at once, so that it need not sort its rows by them.
-_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+#: Let a task write several partitions at once, so that it need not sort its rows by them; make tasks of a shuffle small, for making and parsing texts takes long
+#: for each byte, and a few large tasks leave cores idle at the end; let the job's shuffle files go when it has ended.
+_WRITING = {
+    "spark.sql.maxConcurrentOutputFileWriters": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+#: Records are read whole and their texts hardly repeat: dictionaries and bounds of columns would be work for nothing.
+_PLAIN = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
 
 
 def kept(df: DataFrame, *partitions: str) -> DataFrame:
@@ -42,10 +47,12 @@ def kept(df: DataFrame, *partitions: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/millrace-checkpoints"
     path = f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    before = spark.conf.get(_WRITERS, None)
-    spark.conf.set(_WRITERS, "16")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+        df.write.options(**_PLAIN).partitionBy(*partitions).parquet(path)
     finally:
-        spark.conf.unset(_WRITERS) if before is None else spark.conf.set(_WRITERS, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
