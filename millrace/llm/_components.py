@@ -2,7 +2,8 @@
 
 Each partition first keeps a spanning forest of its own edges, so what is joined never exceeds the nodes a partition
 knows. Rounds shrink the graph by a constant share whatever its shape; a hub's rows meet in partial aggregates and in
-joins that Spark can split. Every round is written to the shared folder.
+joins that Spark can split. Every round is written to the shared folder. Once at most ``FEW`` edges are left, whatever the
+graph was, their forest is its last round: rounds over so little would cost the driver its memory in jobs, plans and tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ._jobs import written
 
+#: Edges (of 16 bytes) that one task finishes; more are shrunk by rounds first.
+FEW = 16_384
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its component) that span the same components as the edges (a, b)."""
@@ -41,6 +45,11 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+def _moved(rows: DataFrame, parent: DataFrame, c: str) -> DataFrame:
+    """``rows`` with the nodes in column ``c`` replaced by their parents (k, to), where they have one."""
+    return rows.join(parent, F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("to", c)).drop("k", "to")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that an edge (u, v; bigint) touches; a component is named by its smallest node.
 
@@ -49,16 +58,20 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").where("u <> v").mapInArrow(_forests, "u bigint, v bigint"))
     label = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("p", F.col("node"))
     k = 0
-    while not edges.isEmpty():
+    while left := edges.count():
         k += 1
+        if left <= FEW:
+            parent = written(edges.coalesce(1).mapInArrow(_forests, "u bigint, v bigint").select(F.col("u").alias("k"), F.col("v").alias("to")))
+            label = _moved(label, parent, "p")
+            break
         hashed = lambda c: F.xxhash64(F.lit(k), c)  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.struct(hashed("v").alias("h"), "v")).alias("m"))
         parent = written(least.where(F.col("m.h") < hashed("u")).select(F.col("u").alias("k"), F.col("m.v").alias("to")))
         renamed = edges
         for c in ("u", "v"):
-            renamed = renamed.join(parent, F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("to", c)).drop("k", "to")
+            renamed = _moved(renamed, parent, c)
         edges = written(renamed.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().mapInArrow(_forests, "u bigint, v bigint"))
-        label = label.join(parent, F.col("p") == F.col("k"), "left").withColumn("p", F.coalesce("to", "p")).drop("k", "to")
+        label = _moved(label, parent, "p")
     label = written(label)
     return label.join(label.groupBy("p").agg(F.min("node").alias("component")), "p").select("node", "component")

@@ -349,7 +349,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] =
     """
     found = _members(docs, width, similarity).where("doc_id is not null")
     first = found.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.h").alias("h"))
-    kept = first.unionByName(found.where("n = 0").select(F.col("doc_id").alias("id"), "h").distinct())
+    kept = written(first.unionByName(found.where("n = 0").select(F.col("doc_id").alias("id"), "h").distinct()))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
     once = rows.join(kept, ["id", "h"]).groupBy("id", "h").agg(F.first("row").alias("row"))
     return once.unionByName(rows.where("id is null")).select("row.*")

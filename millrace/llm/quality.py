@@ -72,22 +72,29 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 4, al
     Examples are few (see TRAIN_ROWS) and short in features, so this runs where the sample is.
     """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    rate = np.full(1 << BITS, alpha)
-    rate[0] = 0.1
+    rate = lambda index: np.where(index == 0, 0.1, alpha)
+
+    def weights(zi: np.ndarray, ni: np.ndarray, ai: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta * 0.01 + np.sqrt(ni)) / ai + l2))
+
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(passes if examples else 0):
         for k in order.permutation(len(examples)):
             index, value, label = examples[k]
-            zi, ni, ai = z[index], n[index], rate[index]
-            w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta * 0.01 + np.sqrt(ni)) / ai + l2))
+            zi, ni, ai = z[index], n[index], rate(index)
+            w = weights(zi, ni, ai)
             g = (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ai
             z[index] = zi + g - sigma * w
             n[index] = ni + g * g
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta * 0.01 + np.sqrt(n)) / rate + l2))
-    bias = float(w[0])
-    w[0] = 0
-    return QualityModel(w.astype(np.float32), bias)
+    out, bias = np.empty(1 << BITS, dtype=np.float32), 0.0
+    for at in range(0, 1 << BITS, 1 << 16):  # by parts: the driver holds no temporary arrays of the model's size
+        part = slice(at, at + (1 << 16))
+        w = weights(z[part], n[part], rate(np.arange(at, at + (1 << 16))))
+        if at == 0:
+            bias, w[0] = float(w[0]), 0
+        out[part] = w
+    return QualityModel(out, bias)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
