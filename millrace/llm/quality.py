@@ -12,6 +12,7 @@ results. With no usable labelled row every text scores 0.5.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,6 +115,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _compare(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> int:
+    """Order of examples by length, label, then the bytes of their features; no keys are kept for all of them."""
+    x, y = (len(a[0]), a[2]), (len(b[0]), b[2])
+    if x == y:
+        x, y = a[0].tobytes(), b[0].tobytes()
+    return (x > y) - (x < y)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, rows: int = TRAIN_ROWS) -> QualityModel:
     """Fit on at most ``rows`` labelled rows outside the held-out fold (a bounded sample; see the README)."""
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows)
@@ -122,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
         index = np.frombuffer(row["i"], dtype=np.int32)
         value = np.frombuffer(row["v"], dtype=np.float32)
         examples.append((np.append(np.int32(0), index), np.append(np.float32(1), value), row["label"]))
-    examples.sort(key=lambda x: (len(x[0]), x[2], x[0].tobytes()))  # the same order on every run
+    examples.sort(key=functools.cmp_to_key(_compare))  # the same order on every run
     model = ftrl(examples)
     examples.clear()
     discard(sample)
