@@ -149,9 +149,10 @@ _HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏
 def keyword_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of texts without spaces. Every whole document, its letters as Han characters and its spaces gone, is cut by the dictionary
     of the words that stand in the documents. SQL has no best path; tests compare with every cut of short texts."""
-    docs = table(spark, sf_dir, "documents").select(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", _HAN).alias("text"))
-    dictionary = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{_HAN}]+"), F.lit(0)))).alias("word"))
-    joined = docs.select(F.regexp_replace("text", r"[ \t\n\r]+", "").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    dictionary = segmentation.runs_of(docs, "text", f"a-z{_HAN}").select(F.translate("run", letters, _HAN).alias("word"))
+    joined = docs.select(F.translate("text", letters + " \t\n\r", _HAN).alias("text"))
     words = segmentation.segmented(joined, "text", dictionary, "keyword")
     return words.groupBy("keyword").agg(F.count("keyword").alias("keyword_count"))
 
