@@ -153,8 +153,7 @@ def keyword_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = "abcdefghijklmnopqrstuvwxyz"
     dictionary = segmentation.runs_of(docs, "text", f"a-z{_HAN}").select(F.translate("run", letters, _HAN).alias("word"))
     joined = docs.select(F.translate("text", letters + " \t\n\r", _HAN).alias("text"))
-    words = segmentation.segmented(joined, "text", dictionary, "keyword")
-    return words.groupBy("keyword").agg(F.count("keyword").alias("keyword_count"))
+    return segmentation.word_counts(joined, "text", dictionary, "keyword", "keyword_count")
 
 
 QUERIES |= {"keyword_segmented": keyword_segmented}
